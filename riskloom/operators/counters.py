@@ -92,15 +92,14 @@ def anchored_ttl_counter(
 
 
 def refreshed_ttl_counter(
-    df: DataFrame, keys: list[str], ttl_ms: int, name: str = "ordinal", ts: str = "ingest_ms", seq: str = "seq",
-    chunk_ms: int = K.HOUR_MS,
+    df: DataFrame, keys: list[str], ttl_ms: int, name: str = "ordinal", ts: str = "ingest_ms", seq: str = "seq", **kw
 ) -> DataFrame:
     """Counter whose TTL restarts at every row: a gap of ``ttl_ms`` starts again at 1."""
     seen = running(
-        df, keys, {"_prev": ("max", F.col(ts), "before"), "_n": ("sum", F.lit(1))}, ts, seq, chunk_ms
+        df, keys, {"_prev": ("max", F.col(ts), "before"), "_n": ("sum", F.lit(1))}, ts, seq, **kw
     )
     fresh = F.col("_prev").isNull() | (F.col(ts) - F.col("_prev") >= ttl_ms)
-    marked = running(seen, keys, {"_at": ("max", F.when(fresh, F.col("_n")))}, ts, seq, chunk_ms)
+    marked = running(seen, keys, {"_at": ("max", F.when(fresh, F.col("_n")))}, ts, seq, **kw)
     return marked.select(*df.columns, (F.col("_n") - F.col("_at") + 1).cast("long").alias(name))
 
 

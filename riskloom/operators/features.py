@@ -125,7 +125,7 @@ def severity(rules_fired: Column, decision: Column) -> Column:
 
 
 def threat_rollup(
-    df: DataFrame, window_ms: int = K.WINDOW_5M_MS, dismiss_ms: int = 30_000, chunk_ms: int | None = None
+    df: DataFrame, window_ms: int = K.WINDOW_5M_MS, dismiss_ms: int = 30_000, **kw
 ) -> DataFrame:
     """Store-wide threat level after each attempt; needs ``severity``.
 
@@ -133,7 +133,6 @@ def threat_rollup(
     maxima of time replace the deque. Below level 1 the level is resolved until the first row at least
     ``dismiss_ms`` after the first quiet row, then calm.
     """
-    chunk = chunk_ms or max(K.HOUR_MS, 4 * window_ms)
     ts = F.col("ingest_ms")
     keys = ["merchant_id"]
     last = running(
@@ -143,14 +142,14 @@ def threat_rollup(
             "_s2": ("max", F.when(F.col("severity") >= 2, ts)),
             "_s1": ("max", F.when(F.col("severity") >= 1, ts)),
         },
-        chunk_ms=chunk,
+        **kw,
     )
     level = (
         F.when(F.col("_s2") > ts - window_ms, 2).when(F.col("_s1") > ts - window_ms, 1).otherwise(0)
     )
     leveled = last.withColumn("_level", level)
     # The latest loud row precedes a quiet run; the first quiet row after it opens the run.
-    loud = running(leveled, keys, {"_loud": ("max", F.when(F.col("_level") > 0, F.struct("ingest_ms", "seq")))}, chunk_ms=chunk)
+    loud = running(leveled, keys, {"_loud": ("max", F.when(F.col("_level") > 0, F.struct("ingest_ms", "seq")))}, **kw)
     runs = (
         loud.filter((F.col("_level") == 0) & F.col("_loud").isNotNull())
         .groupBy("merchant_id", "_loud").agg(F.min("ingest_ms").alias("_quiet"))

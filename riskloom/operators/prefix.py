@@ -1,8 +1,9 @@
 """Running aggregates that stay parallel inside one key.
 
-A plain ``Window.partitionBy(key)`` puts a whole key on one task. Here time is cut into chunks: every
-chunk is reduced to one row, the short table of chunk rows is scanned per key, and the carried value is
-joined back and combined with a window that is local to ``(key, chunk)``.
+A plain ``Window.partitionBy(key)`` puts a whole key on one task. Keys with more than ``hot_rows`` rows are
+therefore cut into time chunks: every chunk is reduced to one row, the short table of chunk rows is scanned
+per key, and the carried value is joined back and combined with a window local to ``(key, chunk)``. Other
+keys keep a single chunk and need no second pass.
 """
 
 from __future__ import annotations
@@ -12,9 +13,29 @@ from pyspark.sql import functions as F
 
 from riskloom import constants as K
 
+HOT_ROWS = 2_000_000
+
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
+def split_hot(
+    df: DataFrame, keys: list[str], ts: str = "ingest_ms", chunk_ms: int = K.HOUR_MS, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Adds ``_hot`` and ``_chunk``; ``_chunk`` is 0 unless the key is hot.
+
+    At most ``rows / hot_rows`` keys can be hot, which bounds the broadcast side.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = counts.filter(F.col("_rows") > hot_rows).select(*keys, F.lit(True).alias("_is_hot"))
+    marked = df.join(F.broadcast(hot), keys, "left")
+    is_hot = F.coalesce(F.col("_is_hot"), F.lit(False))
+    return marked.select(
+        *df.columns,
+        is_hot.alias("_hot"),
+        F.when(is_hot, F.expr(f"`{ts}` div {int(chunk_ms)}")).otherwise(F.lit(0).cast("long")).alias("_chunk"),
+    )
+
+
 def _merge(op: str, carried: Column, local: Column) -> Column:
     if op == "sum":
         return F.coalesce(carried, F.lit(0)) + F.coalesce(local, F.lit(0))
@@ -28,6 +49,7 @@ def running(
     ts: str = "ingest_ms",
     seq: str = "seq",
     chunk_ms: int = K.HOUR_MS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Running aggregates per key in ``(ts, seq)`` order.
 
@@ -35,10 +57,12 @@ def running(
     or min. ``before`` excludes the current row.
     """
     inputs = {f"_v_{name}": spec[1] for name, spec in measures.items()}
-    base = df.withColumns({"_chunk": F.expr(f"`{ts}` div {int(chunk_ms)}"), **inputs})
+    base = split_hot(df, keys, ts, chunk_ms, hot_rows).withColumns(inputs)
     by = [*keys, "_chunk"]
 
-    totals = base.groupBy(*by).agg(*[_COMBINE[m[0]](f"_v_{n}").alias(f"_t_{n}") for n, m in measures.items()])
+    totals = base.filter("_hot").groupBy(*by).agg(
+        *[_COMBINE[m[0]](f"_v_{n}").alias(f"_t_{n}") for n, m in measures.items()]
+    )
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(*by, *[_COMBINE[m[0]](f"_t_{n}").over(earlier).alias(f"_o_{n}") for n, m in measures.items()])
 
@@ -65,25 +89,27 @@ def reflected_walk(
     ts: str = "ingest_ms",
     seq: str = "seq",
     chunk_ms: int = K.HOUR_MS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``S = max(0, S + increment)`` per key, through ``S_t = C_t - min(0, min C)`` on running sums ``C``."""
     by = [*keys, "_chunk"]
     here = Window.partitionBy(*by).orderBy(ts, seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = (
-        df.withColumns({"_chunk": F.expr(f"`{ts}` div {int(chunk_ms)}"), "_inc": increment.cast("double")})
-        .repartition(*[F.col(c) for c in by])
+        split_hot(df, keys, ts, chunk_ms, hot_rows)
+        .withColumn("_inc", increment.cast("double"))
         .withColumn("_c", F.sum("_inc").over(here))
         .withColumn("_low", F.min("_c").over(here))
     )
-    totals = local.groupBy(*by).agg(F.sum("_inc").alias("_total"), F.min("_c").alias("_dip"))
+    totals = local.filter("_hot").groupBy(*by).agg(F.sum("_inc").alias("_total"), F.min("_c").alias("_dip"))
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.withColumn("_base", F.coalesce(F.sum("_total").over(earlier), F.lit(0.0)))
     carried = carried.select(
         *by, "_base", F.coalesce(F.min(F.col("_base") + F.col("_dip")).over(earlier), F.lit(0.0)).alias("_floor")
     )
-    c = F.col("_base") + F.col("_c")
-    floor = F.least(F.lit(0.0), F.col("_floor"), F.col("_base") + F.col("_low"))
-    return local.join(carried, by).select(*df.columns, (c - floor).alias(name))
+    base = F.coalesce(F.col("_base"), F.lit(0.0))
+    c = base + F.col("_c")
+    floor = F.least(F.lit(0.0), F.coalesce(F.col("_floor"), F.lit(0.0)), base + F.col("_low"))
+    return local.join(carried, by, "left").select(*df.columns, (c - floor).alias(name))
 
 
 def first_occurrence(
@@ -98,9 +124,9 @@ def first_occurrence(
 
 def running_distinct(
     df: DataFrame, keys: list[str], member: str, name: str, before: bool = False, ts: str = "ingest_ms",
-    seq: str = "seq", chunk_ms: int = K.HOUR_MS,
+    seq: str = "seq", **kw,
 ) -> DataFrame:
     """Distinct ``member`` values seen so far per key."""
     flagged = first_occurrence(df, [*keys, member], "_is_new", ts, seq)
     spec = ("sum", F.col("_is_new").cast("long")) + (("before",) if before else ())
-    return running(flagged, keys, {name: spec}, ts, seq, chunk_ms).select(*df.columns, name)
+    return running(flagged, keys, {name: spec}, ts, seq, **kw).select(*df.columns, name)

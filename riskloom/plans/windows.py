@@ -209,7 +209,7 @@ def _reply(spark, sf_dir):
 )
 def _reuse(spark, sf_dir):
     df = enriched(spark, sf_dir).select("attempt_uid", "merchant_id", "event_id", "seq", "ingest_ms", "payload_digest")
-    return counters.event_id_reuse(df, chunk_ms=DAY).select("attempt_uid", "event_id_reuse_count")
+    return counters.event_id_reuse(df).select("attempt_uid", "event_id_reuse_count")
 
 
 @query(
@@ -231,7 +231,7 @@ def _card(spark, sf_dir):
 )
 def _card_refresh(spark, sf_dir):
     df = attempts(spark, sf_dir).select("attempt_uid", "merchant_id", "card_hash", "seq", "ingest_ms")
-    return counters.card_seen(df, 8 * HOUR, "refresh", chunk_ms=DAY).select("attempt_uid", "card_seen_24h")
+    return counters.card_seen(df, 8 * HOUR, "refresh").select("attempt_uid", "card_seen_24h")
 
 
 @query(
@@ -370,7 +370,7 @@ def _threat(spark, sf_dir):
     df = df.select(
         "attempt_uid", "merchant_id", "seq", "ingest_ms", features.severity(F.col("rules_fired"), F.col("rule_tier")).alias("severity")
     )
-    return features.threat_rollup(df, 2 * HOUR, HOUR // 2, chunk_ms=DAY).select("attempt_uid", "threat_state")
+    return features.threat_rollup(df, 2 * HOUR, HOUR // 2).select("attempt_uid", "threat_state")
 
 
 @query(
