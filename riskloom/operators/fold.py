@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom import constants as K
-from riskloom.operators.prefix import HOT_ROWS, split_hot
+from riskloom.operators.prefix import AUTO, HOT_ROWS, _resolve, split_hot
+from riskloom.session import materialize
 
 
 def sorted_runs(batches: Iterator[pd.DataFrame], by: list[str]):
@@ -78,6 +79,7 @@ def finite_state_fold(
     seq: str = "seq",
     chunk_ms: int = K.HOUR_MS,
     hot_rows: int = HOT_ROWS,
+    hot=AUTO,
     link: Callable[[int, tuple, tuple], int] | None = None,
 ) -> DataFrame:
     """Runs a finite-state rule over each key in ``(ts, seq)`` order and adds ``outputs`` to every row.
@@ -88,7 +90,13 @@ def finite_state_fold(
     """
     by = [*keys, "_chunk"]
     picked = df.select(*keys, ts, seq, *[F.col(c).alias(f"_i{n}") for n, c in enumerate(inputs)])
-    narrow = split_hot(picked, keys, ts, chunk_ms, hot_rows)
+    hot = _resolve(picked, keys, hot, hot_rows)
+    if hot is None:
+        narrow = picked.withColumn("_chunk", F.lit(0).cast("long"))
+    else:
+        df = materialize(df, "fold")
+        picked = df.select(*keys, ts, seq, *[F.col(c).alias(f"_i{n}") for n, c in enumerate(inputs)])
+        narrow = split_hot(picked, keys, hot, ts, chunk_ms)
     cols = [f"_i{n}" for n in range(len(inputs))]
 
     def reduce_chunks(batches):
@@ -127,7 +135,6 @@ def finite_state_fold(
             T.StructField("_last", T.ArrayType(T.DoubleType())),
         ]
     )
-    maps = narrow.filter("_hot").repartition(*[F.col(c) for c in by]).sortWithinPartitions(*by, ts, seq).mapInPandas(reduce_chunks, map_schema)
     place = {int(s): i for i, s in enumerate(states)}
 
     def chain(batches):
@@ -146,9 +153,13 @@ def finite_state_fold(
             yield out
 
     start_schema = T.StructType([*key_fields, chunk_field, T.StructField("_start", T.LongType())])
-    starts = (
-        maps.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*by).mapInPandas(chain, start_schema)
-    )
+    if hot is None:
+        started = narrow.withColumn("_start", F.lit(start_state).cast("long"))
+    else:
+        chunks = narrow.filter("_hot").repartition(*[F.col(c) for c in by]).sortWithinPartitions(*by, ts, seq)
+        maps = chunks.mapInPandas(reduce_chunks, map_schema)
+        starts = maps.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*by).mapInPandas(chain, start_schema)
+        started = narrow.join(starts, by, "left").withColumn("_start", F.coalesce("_start", F.lit(start_state).cast("long")))
 
     def replay(batches):
         state, last = None, None
@@ -167,9 +178,7 @@ def finite_state_fold(
 
     out_schema = T.StructType([*key_fields, df.schema[ts], df.schema[seq], *output_schema])
     replayed = (
-        narrow.join(starts, by, "left")
-        .withColumn("_start", F.coalesce("_start", F.lit(start_state).cast("long")))
-        .repartition(*[F.col(c) for c in by])
+        started.repartition(*[F.col(c) for c in by])
         .sortWithinPartitions(*by, ts, seq)
         .mapInPandas(replay, out_schema)
     )

@@ -1,9 +1,10 @@
 """Running aggregates that stay parallel inside one key.
 
-A plain ``Window.partitionBy(key)`` puts a whole key on one task. Keys with more than ``hot_rows`` rows are
-therefore cut into time chunks: every chunk is reduced to one row, the short table of chunk rows is scanned
-per key, and the carried value is joined back and combined with a window local to ``(key, chunk)``. Other
-keys keep a single chunk and need no second pass.
+A plain ``Window.partitionBy(key)`` puts a whole key on one task. That is the plan used while no key is
+large. Keys with more than ``hot_rows`` rows are cut into time chunks: every chunk is reduced to one row,
+the short table of chunk rows is scanned per key, and the carried value is joined back and combined with a
+window local to ``(key, chunk)``. The two passes read the input from the shared scratch folder, so a chain
+of running aggregates costs one extra write per link and never recomputes its lineage.
 """
 
 from __future__ import annotations
@@ -12,22 +13,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import constants as K
+from riskloom.session import materialize
 
-HOT_ROWS = 2_000_000
+HOT_ROWS = 10_000_000
+AUTO = "auto"
 
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def split_hot(
-    df: DataFrame, keys: list[str], ts: str = "ingest_ms", chunk_ms: int = K.HOUR_MS, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Adds ``_hot`` and ``_chunk``; ``_chunk`` is 0 unless the key is hot.
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate; it only picks between plans with equal results."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
 
-    At most ``rows / hot_rows`` keys can be hot, which bounds the broadcast side.
+def find_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The keys with more than ``hot_rows`` rows, or None.
+
+    At most ``rows / hot_rows`` keys qualify, which bounds what reaches the driver and the broadcast. Inputs
+    smaller than one byte per allowed row cannot hold such a key and are not counted.
     """
+    if plan_bytes(df) <= hot_rows:
+        return None
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = counts.filter(F.col("_rows") > hot_rows).select(*keys, F.lit(True).alias("_is_hot"))
-    marked = df.join(F.broadcast(hot), keys, "left")
+    found = counts.filter(F.col("_rows") > hot_rows).select(*keys).collect()
+    return df.sparkSession.createDataFrame(found, df.select(*keys).schema) if found else None
+
+
+def _resolve(df: DataFrame, keys: list[str], hot, hot_rows: int) -> DataFrame | None:
+    return find_hot(df, keys, hot_rows) if isinstance(hot, str) else hot
+
+
+def split_hot(df: DataFrame, keys: list[str], hot: DataFrame, ts: str, chunk_ms: int) -> DataFrame:
+    """Adds ``_hot`` and ``_chunk``; ``_chunk`` is 0 unless the key is hot. Null keys stay in chunk 0."""
+    marked = df.join(F.broadcast(hot.withColumn("_is_hot", F.lit(True))), keys, "left")
     is_hot = F.coalesce(F.col("_is_hot"), F.lit(False))
     return marked.select(
         *df.columns,
@@ -42,6 +60,10 @@ def _merge(op: str, carried: Column, local: Column) -> Column:
     return F.greatest(carried, local) if op == "max" else F.least(carried, local)
 
 
+def _upto(window, measure: tuple):
+    return window.rowsBetween(Window.unboundedPreceding, -1 if len(measure) > 2 else Window.currentRow)
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -50,31 +72,30 @@ def running(
     seq: str = "seq",
     chunk_ms: int = K.HOUR_MS,
     hot_rows: int = HOT_ROWS,
+    hot=AUTO,
 ) -> DataFrame:
     """Running aggregates per key in ``(ts, seq)`` order.
 
     ``measures`` maps an output name to ``(op, column)`` or ``(op, column, "before")``; ``op`` is sum, max
-    or min. ``before`` excludes the current row.
+    or min. ``before`` excludes the current row. ``hot`` may pass a result of ``find_hot`` for these keys.
     """
     inputs = {f"_v_{name}": spec[1] for name, spec in measures.items()}
-    base = split_hot(df, keys, ts, chunk_ms, hot_rows).withColumns(inputs)
+    hot = _resolve(df, keys, hot, hot_rows)
+    if hot is None:
+        here = Window.partitionBy(*keys).orderBy(ts, seq)
+        windows = {n: _COMBINE[m[0]](f"_v_{n}").over(_upto(here, m)) for n, m in measures.items()}
+        filled = {n: F.coalesce(w, F.lit(0)) if measures[n][0] == "sum" else w for n, w in windows.items()}
+        return df.withColumns(inputs).select(*df.columns, *[w.alias(n) for n, w in filled.items()])
+
+    base = split_hot(materialize(df.withColumns(inputs), "running"), keys, hot, ts, chunk_ms)
     by = [*keys, "_chunk"]
-
     totals = base.filter("_hot").groupBy(*by).agg(
         *[_COMBINE[m[0]](f"_v_{n}").alias(f"_t_{n}") for n, m in measures.items()]
     )
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(*by, *[_COMBINE[m[0]](f"_t_{n}").over(earlier).alias(f"_o_{n}") for n, m in measures.items()])
-
     here = Window.partitionBy(*by).orderBy(ts, seq)
-    local = base.withColumns(
-        {
-            f"_l_{n}": _COMBINE[m[0]](f"_v_{n}").over(
-                here.rowsBetween(Window.unboundedPreceding, -1 if len(m) > 2 else Window.currentRow)
-            )
-            for n, m in measures.items()
-        }
-    )
+    local = base.withColumns({f"_l_{n}": _COMBINE[m[0]](f"_v_{n}").over(_upto(here, m)) for n, m in measures.items()})
     joined = local.join(carried, by, "left")
     return joined.select(
         *df.columns, *[_merge(m[0], F.col(f"_o_{n}"), F.col(f"_l_{n}")).alias(n) for n, m in measures.items()]
@@ -90,32 +111,45 @@ def reflected_walk(
     seq: str = "seq",
     chunk_ms: int = K.HOUR_MS,
     hot_rows: int = HOT_ROWS,
+    hot=AUTO,
 ) -> DataFrame:
     """``S = max(0, S + increment)`` per key, through ``S_t = C_t - min(0, min C)`` on running sums ``C``."""
+    hot = _resolve(df, keys, hot, hot_rows)
+    stepped = df.withColumn("_inc", increment.cast("double"))
+    zero = F.lit(0.0)
+    if hot is None:
+        here = Window.partitionBy(*keys).orderBy(ts, seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        walked = stepped.withColumn("_c", F.sum("_inc").over(here)).withColumn("_low", F.min("_c").over(here))
+        return walked.select(*df.columns, (F.col("_c") - F.least(zero, F.col("_low"))).alias(name))
+
     by = [*keys, "_chunk"]
     here = Window.partitionBy(*by).orderBy(ts, seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = (
-        split_hot(df, keys, ts, chunk_ms, hot_rows)
-        .withColumn("_inc", increment.cast("double"))
+        split_hot(materialize(stepped, "walk"), keys, hot, ts, chunk_ms)
         .withColumn("_c", F.sum("_inc").over(here))
         .withColumn("_low", F.min("_c").over(here))
     )
     totals = local.filter("_hot").groupBy(*by).agg(F.sum("_inc").alias("_total"), F.min("_c").alias("_dip"))
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.withColumn("_base", F.coalesce(F.sum("_total").over(earlier), F.lit(0.0)))
+    carried = totals.withColumn("_base", F.coalesce(F.sum("_total").over(earlier), zero))
     carried = carried.select(
-        *by, "_base", F.coalesce(F.min(F.col("_base") + F.col("_dip")).over(earlier), F.lit(0.0)).alias("_floor")
+        *by, "_base", F.coalesce(F.min(F.col("_base") + F.col("_dip")).over(earlier), zero).alias("_floor")
     )
-    base = F.coalesce(F.col("_base"), F.lit(0.0))
-    c = base + F.col("_c")
-    floor = F.least(F.lit(0.0), F.coalesce(F.col("_floor"), F.lit(0.0)), base + F.col("_low"))
-    return local.join(carried, by, "left").select(*df.columns, (c - floor).alias(name))
+    base = F.coalesce(F.col("_base"), zero)
+    floor = F.least(zero, F.coalesce(F.col("_floor"), zero), base + F.col("_low"))
+    return local.join(carried, by, "left").select(*df.columns, (base + F.col("_c") - floor).alias(name))
 
 
 def first_occurrence(
-    df: DataFrame, keys: list[str], name: str, ts: str = "ingest_ms", seq: str = "seq"
+    df: DataFrame, keys: list[str], name: str, ts: str = "ingest_ms", seq: str = "seq", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Flags the earliest row of every distinct ``keys`` value; the minimum is combined before the shuffle."""
+    """Flags the earliest row of every distinct ``keys`` value.
+
+    Small inputs number the rows of a key; large ones combine the minimum before the shuffle and join it back.
+    """
+    if plan_bytes(df) <= hot_rows:
+        order = Window.partitionBy(*keys).orderBy(ts, seq)
+        return df.withColumn(name, F.row_number().over(order) == 1)
     first = df.groupBy(*keys).agg(F.min(F.struct(ts, seq)).alias("_first"))
     first = first.select(*keys, F.col(f"_first.{ts}").alias(ts), F.col(f"_first.{seq}").alias(seq), F.lit(True).alias(name))
     on = list(dict.fromkeys([*keys, ts, seq]))
@@ -124,9 +158,9 @@ def first_occurrence(
 
 def running_distinct(
     df: DataFrame, keys: list[str], member: str, name: str, before: bool = False, ts: str = "ingest_ms",
-    seq: str = "seq", **kw,
+    seq: str = "seq", hot_rows: int = HOT_ROWS, **kw,
 ) -> DataFrame:
     """Distinct ``member`` values seen so far per key."""
-    flagged = first_occurrence(df, [*keys, member], "_is_new", ts, seq)
+    flagged = first_occurrence(df, [*keys, member], "_is_new", ts, seq, hot_rows)
     spec = ("sum", F.col("_is_new").cast("long")) + (("before",) if before else ())
-    return running(flagged, keys, {name: spec}, ts, seq, **kw).select(*df.columns, name)
+    return running(flagged, keys, {name: spec}, ts, seq, hot_rows=hot_rows, **kw).select(*df.columns, name)
