@@ -150,11 +150,7 @@ def threat_rollup(
     leveled = last.withColumn("_level", level)
     # The latest loud row precedes a quiet run; the first quiet row after it opens the run.
     loud = running(leveled, keys, {"_loud": ("max", F.when(F.col("_level") > 0, F.struct("ingest_ms", "seq")))}, **kw)
-    runs = (
-        loud.filter((F.col("_level") == 0) & F.col("_loud").isNotNull())
-        .groupBy("merchant_id", "_loud").agg(F.min("ingest_ms").alias("_quiet"))
-    )
-    joined = loud.join(runs, ["merchant_id", "_loud"], "left")
+    joined = running(loud, [*keys, "_loud"], {"_quiet": ("min", F.when(F.col("_level") == 0, ts))}, **kw)
     state = (
         F.when(F.col("_level") == 2, "under_attack")
         .when(F.col("_level") == 1, "elevated")

@@ -81,22 +81,22 @@ def finite_state_fold(
     hot_rows: int = HOT_ROWS,
     hot=AUTO,
     link: Callable[[int, tuple, tuple], int] | None = None,
+    idle: Callable[[int, list[np.ndarray]], list | None] | None = None,
 ) -> DataFrame:
     """Runs a finite-state rule over each key in ``(ts, seq)`` order and adds ``outputs`` to every row.
 
     ``step(states, row, previous_row)`` maps an array of current states through one row; rows are tuples of
     ``inputs``. ``link(state, last_row, first_row)`` moves a state over the boundary between two chunks.
+    ``idle(state, columns)`` may return the output columns of a run that leaves ``state`` as it is.
     Only keys above ``hot_rows`` are chunked; the others start from ``start_state`` and run in one piece.
     """
     by = [*keys, "_chunk"]
-    picked = df.select(*keys, ts, seq, *[F.col(c).alias(f"_i{n}") for n, c in enumerate(inputs)])
-    hot = _resolve(picked, keys, hot, hot_rows)
+    hot = _resolve(df, keys, hot, hot_rows)
+    named = {f"_i{n}": F.col(c) for n, c in enumerate(inputs)}
     if hot is None:
-        narrow = picked.withColumn("_chunk", F.lit(0).cast("long"))
+        narrow = df.withColumn("_chunk", F.lit(0).cast("long")).withColumns(named)
     else:
-        df = materialize(df, "fold")
-        picked = df.select(*keys, ts, seq, *[F.col(c).alias(f"_i{n}") for n, c in enumerate(inputs)])
-        narrow = split_hot(picked, keys, hot, ts, chunk_ms)
+        narrow = split_hot(materialize(df, "fold"), keys, hot, ts, chunk_ms).withColumns(named)
     cols = [f"_i{n}" for n in range(len(inputs))]
 
     def reduce_chunks(batches):
@@ -161,26 +161,33 @@ def finite_state_fold(
         starts = maps.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*by).mapInPandas(chain, start_schema)
         started = narrow.join(starts, by, "left").withColumn("_start", F.coalesce("_start", F.lit(start_state).cast("long")))
 
+    columns = df.columns
+
     def replay(batches):
         state, last = None, None
         for key, part, opens in sorted_runs(batches, by):
             if opens:
                 state, last = int(part["_start"].iloc[0]), None
-            made = []
-            for row in zip(*[part[c].to_numpy() for c in cols]):
-                after = int(step(np.array([state]), row, last)[0])
-                made.append(outputs(state, after, row, last))
-                state, last = after, row
-            out = part[[*keys, ts, seq]].copy()
-            for field, values in zip(output_schema, zip(*made)):
-                out[field.name] = list(values)
+            arrays = [part[c].to_numpy() for c in cols]
+            out = part[columns].copy()
+            still = idle(state, arrays) if idle is not None else None
+            if still is not None:
+                made = still
+                last = tuple(a[-1] for a in arrays)
+            else:
+                rows = []
+                for row in zip(*arrays):
+                    after = int(step(np.array([state]), row, last)[0])
+                    rows.append(outputs(state, after, row, last))
+                    state, last = after, row
+                made = [list(v) for v in zip(*rows)]
+            for field, values in zip(output_schema, made):
+                out[field.name] = values
             yield out
 
-    out_schema = T.StructType([*key_fields, df.schema[ts], df.schema[seq], *output_schema])
-    replayed = (
-        started.repartition(*[F.col(c) for c in by])
+    return (
+        started.select(*columns, "_chunk", "_start", *cols)
+        .repartition(*[F.col(c) for c in by])
         .sortWithinPartitions(*by, ts, seq)
-        .mapInPandas(replay, out_schema)
+        .mapInPandas(replay, T.StructType([*df.schema.fields, *output_schema]))
     )
-    on = list(dict.fromkeys([*keys, ts, seq]))
-    return df.join(replayed, on)

@@ -41,8 +41,9 @@ def incident_sessions(df: DataFrame, cooldown_ms: int = COOLDOWN_MS, **kw) -> Da
     """Assigns attempts to incidents; needs the entity columns and ``fired``.
 
     A fire opens an incident when the previous fire of the entity is at least two cooldowns back. Attempts
-    belong to it until two cooldowns after its latest fire. Adds ``opens``, ``opened_at``, ``last_fire_ms``,
-    ``warm_since`` (first fire since the entity last cooled) and ``incident_id``, null outside incidents.
+    belong to it until two cooldowns after its latest fire. Adds ``opens``, ``prev_fire_ms``, ``opened_at``,
+    ``last_fire_ms``, ``warm_since`` (first fire since the entity last cooled) and ``incident_id``, the last
+    four null outside incidents.
     """
     ts = F.col("ingest_ms")
     seen = running(df, ENTITY, {"_prev": ("max", F.when(F.col("fired"), ts), "before")}, **kw)
@@ -56,7 +57,7 @@ def incident_sessions(df: DataFrame, cooldown_ms: int = COOLDOWN_MS, **kw) -> Da
     last = F.greatest(F.col("_prev"), F.when(F.col("fired"), ts))
     inside = F.col("_open").isNotNull() & (ts < last + 2 * cooldown_ms)
     return placed.select(
-        *df.columns, "opens",
+        *df.columns, "opens", F.col("_prev").alias("prev_fire_ms"),
         F.when(inside, F.col("_open")).alias("opened_at"),
         F.when(inside, last).alias("last_fire_ms"),
         F.when(inside, F.col("_warm")).alias("warm_since"),
@@ -79,9 +80,10 @@ def action_id(incident: Column, entity_type: Column, entity_key: Column, tier: C
 
 # --- per-incident tables ----------------------------------------------------------------
 def corroborated(rows: DataFrame, **kw) -> DataFrame:
-    """Adds ``corroborated``: two rule families over two buckets within the incident so far.
+    """Adds ``corroborated``: two rule families over two buckets within the incident so far; false outside.
 
-    ``rows`` are the attempts inside incidents, with ``families`` and ``bucket``.
+    ``rows`` come from ``incident_sessions`` with ``families`` and ``bucket``. The entity stays part of the
+    key, so the sessions' partitioning is reused.
     """
     has = F.size("families") > 0
     flags = {
@@ -89,28 +91,27 @@ def corroborated(rows: DataFrame, **kw) -> DataFrame:
         for i, family in enumerate(dict.fromkeys(r[3] for r in K.RULES))
     }
     spans = {"_b0": ("min", F.when(has, F.col("bucket"))), "_b1": ("max", F.when(has, F.col("bucket")))}
-    tracked = running(rows, ["incident_id"], {**flags, **spans}, **kw)
+    tracked = running(rows, [*ENTITY, "incident_id"], {**flags, **spans}, **kw)
     total = sum((F.coalesce(F.col(n), F.lit(0)) for n in flags), F.lit(0))
-    return tracked.select(*rows.columns, ((total >= 2) & F.coalesce(F.col("_b1") > F.col("_b0"), F.lit(False))).alias("corroborated"))
+    met = F.col("incident_id").isNotNull() & (total >= 2) & F.coalesce(F.col("_b1") > F.col("_b0"), F.lit(False))
+    return tracked.select(*rows.columns, met.alias("corroborated"))
 
 
-def detector_merges(rows: DataFrame) -> DataFrame:
+def detector_merges(rows: DataFrame, **kw) -> DataFrame:
     """Fires whose detector the incident does not carry yet; each of them escalates an open incident.
 
     Once a second kind has fired the incident is ``both``, and every later single-detector fire counts as
-    new again. Adds ``merges`` and ``incident_detector`` (the label after the row's incident has ended).
+    new again. Adds ``merges`` and ``incident_detector``, the incident's label after the row.
     """
     at = F.struct("ingest_ms", "seq")
-    opening = rows.filter("opens").select("incident_id", F.col("detector").alias("_d0"))
-    joined = rows.join(opening, "incident_id")
+    keys = [*ENTITY, "incident_id"]
+    known = running(rows, keys, {"_d0": ("max", F.when(F.col("opens"), F.col("detector")))}, **kw)
     other = F.col("fired") & ~F.col("opens") & (F.col("detector") != F.col("_d0"))
-    first = joined.filter(other).groupBy("incident_id").agg(F.min(at).alias("_mixed"))
-    joined = joined.join(first, "incident_id", "left")
-    merges = F.when(at == F.col("_mixed"), True).otherwise(
-        F.col("fired") & ~F.col("opens") & (at > F.col("_mixed")) & (F.col("detector") != "both")
-    )
-    return joined.select(
-        *rows.columns, F.coalesce(merges, F.lit(False)).alias("merges"),
+    mixed = running(known, keys, {"_mixed": ("min", F.when(other, at))}, **kw)
+    later = F.col("fired") & ~F.col("opens") & (at > F.col("_mixed")) & (F.col("detector") != "both")
+    merges = F.coalesce((at == F.col("_mixed")) | later, F.lit(False))
+    return mixed.select(
+        *rows.columns, merges.alias("merges"),
         F.when(F.col("_mixed").isNull(), F.col("_d0")).otherwise("both").alias("incident_detector"),
     )
 
@@ -132,23 +133,17 @@ def incident_metrics(rows: DataFrame) -> DataFrame:
     return grouped.withColumn("time_to_detect_s", (F.col("opened_at") - F.col("first_seen")) / 1000.0)
 
 
-def escalations(rows: DataFrame, transitions: DataFrame | None = None, cooldown_ms: int = COOLDOWN_MS) -> DataFrame:
-    """Escalation events that hit an incident while open, and the first one since it last cooled.
+def escalations(rows: DataFrame, event: Column, cooldown_ms: int = COOLDOWN_MS) -> DataFrame:
+    """Latest escalation of each incident: events count while it is open, the first one per warm stretch.
 
-    ``rows`` come from ``detector_merges``; ``transitions`` from ``tier_transitions``.
+    ``event`` marks the rows that escalate: detector merges and rises of the proposed tier.
     """
-    open_rows = rows.filter(F.col("ingest_ms") - F.col("last_fire_ms") < cooldown_ms)
-    events = open_rows.filter("merges").select("incident_id", "warm_since", "ingest_ms")
-    if transitions is not None:
-        rises = transitions.filter(F.col("from_tier").isNotNull()).select("incident_id", F.col("at").alias("ingest_ms"))
-        events = events.unionByName(
-            open_rows.select("incident_id", "warm_since", "ingest_ms").join(rises, ["incident_id", "ingest_ms"], "left_semi")
-        )
-    firsts = events.groupBy("incident_id", "warm_since").agg(F.min("ingest_ms").alias("_at"))
-    latest = rows.groupBy("incident_id").agg(F.max("warm_since").alias("_latest"))
-    return firsts.join(latest, "incident_id").groupBy("incident_id").agg(
-        F.max_by("_at", "warm_since").alias("escalated_at"),
-        F.max(F.col("warm_since") == F.col("_latest")).alias("escalated"),
+    counts = event & (F.col("ingest_ms") - F.col("last_fire_ms") < cooldown_ms)
+    stretches = rows.groupBy("incident_id", "warm_since").agg(F.min(F.when(counts, F.col("ingest_ms"))).alias("_at"))
+    hit = F.when(F.col("_at").isNotNull(), F.col("warm_since"))
+    return stretches.groupBy("incident_id").agg(
+        F.max_by("_at", hit).alias("escalated_at"),
+        F.coalesce(F.max(hit) == F.max("warm_since"), F.lit(False)).alias("escalated"),
     )
 
 
@@ -183,15 +178,27 @@ def pseudonyms(incidents: DataFrame) -> DataFrame:
     return ranked.select(*ENTITY, F.concat("entity_type", F.lit("_"), F.col("_n")).alias("pseudonym"))
 
 
-def live_incident_count(rows: DataFrame, incidents: DataFrame, cooldown_ms: int = COOLDOWN_MS, name: str = "live_incidents", **kw):
-    """Adds the number of live incidents of the merchant at each attempt, its own opening included."""
-    closes = incidents.select(
-        "merchant_id", (F.col("last_fire_ms") + 2 * cooldown_ms).alias("ingest_ms"), F.lit(-1).cast("long").alias("seq"), F.lit(-1).alias("_d")
+def live_incident_count(rows: DataFrame, cooldown_ms: int = COOLDOWN_MS, name: str = "live_incidents", **kw) -> DataFrame:
+    """Adds the number of live incidents of the merchant at each attempt, its own opening included.
+
+    Every fire schedules a close two cooldowns later, and a fire within that time cancels the close of the
+    fire before it. All events come from the row itself, so the sessions are read once.
+    """
+    def event(at, order, change, row):
+        return F.struct(at.alias("ingest_ms"), order.alias("seq"), F.lit(change).alias("d"), row.alias("row"))
+
+    ts, early = F.col("ingest_ms"), F.lit(-1).cast("long")
+    whole, none = F.struct(*rows.columns), F.lit(None)
+    made = F.array_compact(
+        F.array(
+            F.when(F.col("opens"), event(ts, F.col("seq"), 1, whole)).otherwise(event(ts, F.col("seq"), 0, whole)),
+            F.when(F.col("fired"), event(ts + 2 * cooldown_ms, early, -1, none)),
+            F.when(F.col("fired") & ~F.col("opens"), event(F.col("prev_fire_ms") + 2 * cooldown_ms, early, 1, none)),
+        )
     )
-    probes = rows.select("merchant_id", "ingest_ms", "seq", F.when(F.col("opens"), 1).otherwise(0).alias("_d"), F.struct(*rows.columns).alias("_row"))
-    stacked = probes.unionByName(closes.withColumn("_row", F.lit(None)), allowMissingColumns=True)
-    counted = running(stacked, ["merchant_id"], {"_live": ("sum", F.col("_d"))}, **kw).filter(F.col("_row").isNotNull())
-    return counted.select("_row.*", F.col("_live").cast("long").alias(name))
+    events = rows.select("merchant_id", F.explode(made).alias("_e")).select("merchant_id", "_e.*")
+    counted = running(events, ["merchant_id"], {"_live": ("sum", F.col("d"))}, **kw).filter(F.col("row").isNotNull())
+    return counted.select("row.*", F.col("_live").cast("long").alias(name))
 
 
 # --- narrative --------------------------------------------------------------------------

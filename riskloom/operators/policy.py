@@ -75,10 +75,16 @@ def hysteresis(
     def outputs(before, after, row, previous):
         return int(settle(np.array([before]), row)[0]), bool(row[3]) and before == 0
 
+    def idle(state, columns):
+        """Without an incident and without memory an attempt only reads the cap."""
+        if state != 0 or columns[2].any():
+            return None
+        return [np.zeros(len(columns[2]), dtype=np.int32), columns[3].astype(bool)]
+
     fields = [T.StructField("l2_tier", T.IntegerType()), T.StructField("advisory", T.BooleanType())]
     flags = df.withColumns({"_o": F.col("incident_open").cast("int"), "_a": F.col("at_cap").cast("int")})
     return finite_state_fold(
-        flags, ENTITY, ["target", "p", "_o", "_a"], 0, np.arange(len(K.TIERS)), step, outputs, fields, **kw
+        flags, ENTITY, ["target", "p", "_o", "_a"], 0, np.arange(len(K.TIERS)), step, outputs, fields, idle=idle, **kw
     ).drop("_o", "_a")
 
 
@@ -91,17 +97,13 @@ def policy_resolve(
     ``live_incidents``. Order of rules: ladder, corroboration cap, hysteresis, rule floor, ceiling (an
     operator-confirmed one in the column ``confirmed_ceiling`` wins), blast-radius cap, control arm.
     The cap counts live incidents, which no decision changes, so entities can be resolved independently.
-    Only entities with an incident need the ordered pass.
     """
     ladder = F.col("tier_ladder") if "tier_ladder" in df.columns else F.lit("domestic")
     is_open = F.col("incident_id").isNotNull()
     from_score = C.tier_from_score(F.col("p"), {t: F.lit(v) for t, v in thetas.items()}, ladder)
     target = F.when(~is_open, 0).when(~F.coalesce(F.col("corroborated"), F.lit(False)), F.least(from_score, F.lit(MONITOR))).otherwise(from_score)
     rows = df.withColumns({"target": target, "incident_open": is_open, "at_cap": F.col("live_incidents") >= policy["k_max"]})
-    touched = df.filter(is_open).select(*ENTITY).distinct()
-    folded = hysteresis(rows.join(touched, ENTITY, "left_semi"), thetas, policy["hysteresis_gap"], **kw)
-    plain = rows.join(touched, ENTITY, "left_anti").withColumns({"l2_tier": F.lit(0), "advisory": F.col("at_cap")})
-    rows = folded.unionByName(plain)
+    rows = hysteresis(rows, thetas, policy["hysteresis_gap"], **kw)
 
     ceiling = F.lit(K.TIERS.index(policy["auto_ceiling"]))
     if confirmed_ceiling is not None:
@@ -125,21 +127,19 @@ def tier_transitions(rows: DataFrame, **kw) -> DataFrame:
     tracked = running(ranked, ["incident_id"], {"_peak": ("max", F.col("_rank"), "before")}, **kw)
     peak = F.greatest(F.coalesce("_peak", F.lit(0)), F.lit(MONITOR))
     regime = F.col("regime") if "regime" in rows.columns else F.lit("in_control")
-    rises = tracked.filter(F.col("_rank") > peak).select(
-        "incident_id", C.tier_name(peak).alias("from_tier"), F.col("proposed_tier").alias("to_tier"),
-        F.concat_ws(":", F.lit("policy"), "detector", regime).alias("trigger"), "signal_value",
-        F.col("ingest_ms").alias("at"), "seq", F.lit(1).alias("_k"),
-    )
-    opens = rows.filter("opens").select(
-        "incident_id", F.lit(None).cast("string").alias("from_tier"), F.lit("monitor").alias("to_tier"),
-        F.concat_ws(":", F.lit("open"), "detector").alias("trigger"), "signal_value", F.col("ingest_ms").alias("at"), "seq", F.lit(0).alias("_k"),
-    )
+    def row(kind, source, target, trigger):
+        return F.struct(F.lit(kind).alias("k"), source.alias("from_tier"), target.alias("to_tier"), F.concat_ws(":", *trigger).alias("trigger"))
+
+    opening = row(0, F.lit(None).cast("string"), F.lit("monitor"), (F.lit("open"), F.col("detector")))
+    rise = row(1, C.tier_name(peak), F.col("proposed_tier"), (F.lit("policy"), F.col("detector"), regime))
+    made = F.array_compact(F.array(F.when(F.col("opens"), opening), F.when(F.col("_rank") > peak, rise)))
+    stacked = tracked.select("incident_id", "signal_value", F.col("ingest_ms").alias("at"), "seq", F.explode(made).alias("_t"))
     # A tier rises at most once per rank, so an incident has at most six rows here.
-    place = Window.partitionBy("incident_id").orderBy("at", "seq", "_k")
-    stacked = opens.unionByName(rises).withColumn("ordinal", F.row_number().over(place) - 1)
+    place = Window.partitionBy("incident_id").orderBy("at", "seq", "_t.k")
+    stacked = stacked.withColumn("ordinal", F.row_number().over(place) - 1)
     return stacked.select(
         transition_id(F.col("incident_id"), F.col("ordinal")).alias("transition_id"),
-        "incident_id", "ordinal", "from_tier", "to_tier", "trigger", "signal_value", "at",
+        "incident_id", "ordinal", "_t.from_tier", "_t.to_tier", "_t.trigger", "signal_value", "at",
     )
 
 

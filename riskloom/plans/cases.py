@@ -118,11 +118,11 @@ stated AS (
 
 
 def stated(spark, sf_dir):
-    rows = I.detector_merges(inside(spark, sf_dir))
-    table = rows.withColumns({c: F.lit(None).cast("long") for c in ("attempts_before", "cards_before", "entity_first_seen")})
-    out = I.incident_metrics(table).join(
-        rows.groupBy("incident_id").agg(F.max("incident_detector").alias("detector")), "incident_id"
-    ).join(I.escalations(rows, None, COOL), "incident_id", "left")
+    rows = I.detector_merges(inside(spark, sf_dir)).withColumns(
+        {c: F.lit(None).cast("long") for c in ("attempts_before", "cards_before", "entity_first_seen")}
+    )
+    label = rows.groupBy("incident_id").agg(F.max_by("incident_detector", F.struct("ingest_ms", "seq")).alias("detector"))
+    out = I.incident_metrics(rows).join(label, "incident_id").join(I.escalations(rows, F.col("merges"), COOL), "incident_id")
     now = attempts(spark, sf_dir).groupBy("merchant_id").agg(F.max("ingest_ms").alias("now_ms"))
     return I.incident_state_at(out.join(now, "merchant_id"), F.col("now_ms"), COOL)
 
@@ -229,12 +229,8 @@ def _control(spark, sf_dir):
 
 def live_rows(spark, sf_dir):
     """Attempts with sessions, corroboration and the merchant's live incident count."""
-    base = sessions(spark, sf_dir)
-    opened = base.filter(F.col("incident_id").isNotNull())
-    closing = opened.groupBy("merchant_id", "incident_id").agg(F.max("last_fire_ms").alias("last_fire_ms"))
-    flags = I.corroborated(opened).select("attempt_uid", "corroborated")
-    rows = base.join(flags, "attempt_uid", "left").withColumn("corroborated", F.coalesce("corroborated", F.lit(False)))
-    return I.live_incident_count(rows.withColumn("p", F.col("score")), closing, COOL)
+    rows = I.corroborated(sessions(spark, sf_dir)).withColumn("p", F.col("score"))
+    return I.live_incident_count(rows, COOL)
 
 
 def resolved(spark, sf_dir):
@@ -300,7 +296,7 @@ def _hysteresis(spark, sf_dir):
 TRANSITION_SQL = """
 pk AS (SELECT *, greatest(1, coalesce(max(pr) OVER (PARTITION BY incident_id ORDER BY ingest_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS peak FROM decided WHERE inside),
 tr AS (
-  SELECT incident_id, NULL AS from_tier, 'monitor' AS to_tier, 'open:' || detector AS trigger, signal_value, ingest_ms AS moment, seq, 0 AS z FROM pk WHERE opens
+  SELECT incident_id, CAST(NULL AS VARCHAR) AS from_tier, 'monitor' AS to_tier, 'open:' || detector AS trigger, signal_value, ingest_ms AS moment, seq, 0 AS z FROM pk WHERE opens
   UNION ALL SELECT incident_id, names[peak + 1], proposed_tier, 'policy:' || detector || ':in_control', signal_value, ingest_ms, seq, 1 FROM pk, tiers WHERE pr > peak),
 trans AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY moment, seq, z) - 1 AS ordinal FROM tr)
 """
