@@ -167,10 +167,8 @@ def recent_events(df: DataFrame, limit: int = K.RECENT_EVENTS, after=None, uid:
     buffer = df.orderBy(F.col("seq").desc()).limit(limit)
     if after is None:
         return buffer
-    cursor = buffer.agg(F.max(F.when(F.col(uid) == F.lit(after), F.col("seq"))).alias("_at"))
-    return (
-        buffer.join(F.broadcast(cursor), F.col("_at").isNull() | (F.col("seq") > F.col("_at"))).drop("_at")
-    )
+    at = buffer.agg(F.max(F.when(F.col(uid) == F.lit(after), F.col("seq")))).scalar()
+    return buffer.withColumn("_at", at).filter(F.col("_at").isNull() | (F.col("seq") > F.col("_at"))).drop("_at")
 
 
 def live_tiles(df: DataFrame, enforced: DataFrame | None = None, k_max: int = K.POLICY["k_max"]) -> DataFrame:

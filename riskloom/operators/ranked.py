@@ -46,8 +46,10 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
     """Linear-interpolated quantiles per group as rows ``(by, idx, q, value)``; memory does not grow with the data."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     placed = value_prefix(counts, by, value, ["_n"], parts=parts)
-    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    placed = placed.join(sizes, by) if by else placed.join(F.broadcast(sizes))
+    if by:
+        placed = placed.join(counts.groupBy(*by).agg(F.sum("_n").alias("_size")), by)
+    else:
+        placed = placed.withColumn("_size", counts.agg(F.sum("_n")).scalar())
     wanted = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(float(q)).alias("q")) for i, q in enumerate(probs)])
     spot = lambda q: q * (F.col("_size") - 1)
     first, last = F.col("before__n"), F.col("before__n") + F.col("_n") - 1
