@@ -101,8 +101,8 @@ def order_value_quantiles(
     """Quantile table in integer minor units (half to even), with the mean, optionally scaled to a store's average."""
     probs = [i / (points - 1) for i in range(points)]
     table = exact_quantiles(orders, [], total, probs)
-    mean = orders.agg(F.bround(F.avg(total) * 100).cast("long")).scalar()
-    out = table.select("idx", F.bround(F.col("value") * 100).cast("long").alias("value_minor"), mean.alias("mean_minor"))
+    mean = orders.agg(F.bround(F.round(F.avg(total) * 100, 6)).cast("long")).scalar()
+    out = table.select("idx", F.bround(F.round(F.col("value") * 100, 6)).cast("long").alias("value_minor"), mean.alias("mean_minor"))
     if store_aov_minor is None:
         return out
     scaled = F.expr(f"(value_minor * {int(store_aov_minor)} + mean_minor div 2) div mean_minor")
