@@ -169,6 +169,20 @@ def interp_quantile(grid: Column, q: float) -> Column:
     return F.when(grid.isNull() | (F.size(grid) == 0), F.lit(0.0)).otherwise(value)
 
 
+def count_below(cuts: Column, value: Column, most: int) -> Column:
+    """How many entries of the sorted array ``cuts`` (at most ``most``) are below ``value``, by bisection."""
+    def halve(a, _):
+        middle = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        below = F.element_at(cuts, F.least(middle + 1, F.size(cuts))) < value
+        return F.when(a["lo"] >= a["hi"], a).otherwise(
+            F.struct(F.when(below, middle + 1).otherwise(a["lo"]).alias("lo"), F.when(below, a["hi"]).otherwise(middle).alias("hi"))
+        )
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
+    rounds = F.sequence(F.lit(1), F.lit(max(1, int(most).bit_length())))
+    return F.aggregate(rounds, start, halve, lambda a: a["lo"])
+
+
 # --- identifiers ------------------------------------------------------------------------
 def short_id(prefix: str, *parts: Column) -> Column:
     """Deterministic id: one letter and 25 upper-case hex digits of sha1 over the parts joined by ``|``."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom import constants as K
-from riskloom.operators.prefix import running, running_distinct
+from riskloom.operators.prefix import counted_once, running, running_distinct
 
 
 def _anchor_step(keys: list[str], ts: str, ttl_ms: int):
@@ -95,6 +95,7 @@ def refreshed_ttl_counter(
     df: DataFrame, keys: list[str], ttl_ms: int, name: str = "ordinal", ts: str = "ingest_ms", seq: str = "seq", **kw
 ) -> DataFrame:
     """Counter whose TTL restarts at every row: a gap of ``ttl_ms`` starts again at 1."""
+    kw = counted_once(df, keys, kw)
     seen = running(
         df, keys, {"_prev": ("max", F.col(ts), "before"), "_n": ("sum", F.lit(1))}, ts, seq, **kw
     )

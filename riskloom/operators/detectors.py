@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from riskloom import constants as K
 from riskloom.functions import columns as C
 from riskloom.operators.fold import ordered_fold
-from riskloom.operators.prefix import first_occurrence, reflected_walk, running
+from riskloom.operators.prefix import counted_once, first_occurrence, reflected_walk, running
 
 
 # --- buckets and base rate --------------------------------------------------------------
@@ -72,6 +72,7 @@ def time_domain_segments(df: DataFrame, bucket_s: int = K.CUSUM_BUCKET_S, horizo
     """
     kw.setdefault("chunk_ms", 1_000_000)
     placed = df.withColumns({"bucket": C.bucket(F.col("ingest_ms"), bucket_s), "_pos": F.col("seq")})
+    kw = counted_once(placed, ["merchant_id"], kw)
     prior = running(
         placed, ["merchant_id"], {"_prev": ("max", F.struct("_pos", "bucket"), "before")}, ts="_pos", seq="_pos", **kw
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskloom import constants as K
 from riskloom.functions import columns as C
 from riskloom.operators.counters import card_seen, event_id_reuse
-from riskloom.operators.prefix import running
+from riskloom.operators.prefix import counted_once, hot_keys, running
 from riskloom.operators.sweep import Concentration, Count, Distinct, add_window_stats
 
 WIDTHS = {"short": K.WINDOW_60S_MS, "mid": K.WINDOW_5M_MS, "long": K.WINDOW_30M_MS, "card_ttl": K.CARD_TTL_MS}
@@ -60,11 +60,12 @@ def feature_vector(df: DataFrame, widths: dict = WIDTHS, card_mode: str = "ancho
         "attempt_uid", "merchant_id", "seq", "ingest_ms", "event_id", "ip", "ipua_key", "session_key", "bin",
         "card_hash", "amount_minor", "payload_digest",
     ]
+    hot = hot_keys(df, [["merchant_id", "event_id"]])
     out = df.select(*inputs)
     for keys, stats in window_spaces(widths).items():
         out = add_window_stats(out, list(keys), stats)
     out = card_seen(out, widths["card_ttl"], card_mode)
-    out = event_id_reuse(out)
+    out = event_id_reuse(out, hot=hot)
     values = {name: F.lit(0.0) for name in K.UNFED_FEATURES}
     features = []
     for name in K.FEATURE_NAMES:
@@ -135,6 +136,7 @@ def threat_rollup(
     """
     ts = F.col("ingest_ms")
     keys = ["merchant_id"]
+    kw = counted_once(df, keys, kw)
     last = running(
         df,
         keys,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom import constants as K
 from riskloom.functions import columns as C
-from riskloom.operators.prefix import running
+from riskloom.operators.prefix import counted_once, running
 
 ENTITY = ["merchant_id", "entity_type", "entity_key"]
 COOLDOWN_MS = K.POLICY["cooldown_s"] * 1000
@@ -45,6 +45,7 @@ def incident_sessions(df: DataFrame, cooldown_ms: int = COOLDOWN_MS, **kw) -> Da
     ``last_fire_ms``, ``warm_since`` (first fire since the entity last cooled) and ``incident_id``, the last
     four null outside incidents.
     """
+    kw = counted_once(df, ENTITY, kw)
     ts = F.col("ingest_ms")
     seen = running(df, ENTITY, {"_prev": ("max", F.when(F.col("fired"), ts), "before")}, **kw)
     gap = ts - F.col("_prev")
@@ -105,6 +106,7 @@ def detector_merges(rows: DataFrame, **kw) -> DataFrame:
     """
     at = F.struct("ingest_ms", "seq")
     keys = [*ENTITY, "incident_id"]
+    kw = counted_once(rows, keys, kw)
     known = running(rows, keys, {"_d0": ("max", F.when(F.col("opens"), F.col("detector")))}, **kw)
     other = F.col("fired") & ~F.col("opens") & (F.col("detector") != F.col("_d0"))
     mixed = running(known, keys, {"_mixed": ("min", F.when(other, at))}, **kw)

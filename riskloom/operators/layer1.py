@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from riskloom import constants as K
 from riskloom.operators import ranking as R
 from riskloom.operators.fold import sorted_runs
-from riskloom.operators.ranked import value_prefix
+from riskloom.operators.ranked import stretch_of, value_prefix
 
 
 def training_matrix(
@@ -274,19 +274,16 @@ def predict_isotonic(df: DataFrame, steps: DataFrame, score: str = "score", name
 
 
 def _merge_steps(df: DataFrame, steps: DataFrame, score: str, name: str, parts: int) -> DataFrame:
-    cuts = steps.agg(F.percentile_approx("start", [i / parts for i in range(1, parts)], 1000)).scalar()
+    cuts = steps.agg(F.percentile_approx("start", [i / parts for i in range(1, parts)], 10_000)).scalar()
     first = steps.agg(F.min_by("value", "start")).scalar()
 
-    def stretched(frame: DataFrame, at: str) -> DataFrame:
-        return frame.withColumn("_cuts", cuts).withColumn("_part", F.size(F.filter("_cuts", lambda b: b < F.col(at)))).drop("_cuts")
-
-    marks = stretched(steps, "start")
+    marks = stretch_of(steps, "start", cuts, parts)
     ends = marks.groupBy("_part").agg(F.max_by(F.struct("start", "value"), "start").alias("_e"))
     # Every stretch starts from the last step of the nearest earlier stretch that has one.
     order = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     spots = df.sparkSession.range(parts).select(F.col("id").cast("int").alias("_part"))
     carried = spots.join(ends, "_part", "left").withColumn("_c", F.last("_e", ignorenulls=True).over(order)).filter(F.col("_c").isNotNull())
-    rows = stretched(df, score).select("_part", F.col(score).cast("double").alias("_at"), F.lit(1).alias("_k"), F.lit(None).cast("double").alias("_v"), F.struct(*df.columns).alias("_row"))
+    rows = stretch_of(df, score, cuts, parts).select("_part", F.col(score).cast("double").alias("_at"), F.lit(1).alias("_k"), F.lit(None).cast("double").alias("_v"), F.struct(*df.columns).alias("_row"))
     step = marks.select("_part", F.col("start").alias("_at"), F.lit(0).alias("_k"), F.col("value").alias("_v"), F.lit(None).alias("_row"))
     lead = carried.select("_part", F.col("_c.start").alias("_at"), F.lit(0).alias("_k"), F.col("_c.value").alias("_v"), F.lit(None).alias("_row"))
     merged = rows.unionByName(step).unionByName(lead)

@@ -21,9 +21,10 @@ AUTO = "auto"
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; it only picks between plans with equal results."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame) -> int:
+    """Size of the tables under a plan. It only picks between plans with equal results."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def find_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
@@ -32,15 +33,34 @@ def find_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFr
     At most ``rows / hot_rows`` keys qualify, which bounds what reaches the driver and the broadcast. Inputs
     smaller than one byte per allowed row cannot hold such a key and are not counted.
     """
-    if plan_bytes(df) <= hot_rows:
+    if input_bytes(df) <= hot_rows:
         return None
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     found = counts.filter(F.col("_rows") > hot_rows).select(*keys).collect()
     return df.sparkSession.createDataFrame(found, df.select(*keys).schema) if found else None
 
 
+def hot_keys(df: DataFrame, key_sets: list[list[str]], hot_rows: int = HOT_ROWS) -> dict:
+    """``find_hot`` for several key sets. Count them on the base table and pass the result as ``hot``, so
+    that a long chain of running aggregates is not evaluated just to count its rows."""
+    return {tuple(keys): find_hot(df, keys, hot_rows) for keys in key_sets}
+
+
 def _resolve(df: DataFrame, keys: list[str], hot, hot_rows: int) -> DataFrame | None:
-    return find_hot(df, keys, hot_rows) if isinstance(hot, str) else hot
+    if not isinstance(hot, dict):
+        return find_hot(df, keys, hot_rows)
+    if tuple(keys) in hot:
+        return hot[tuple(keys)]
+    if any(found is None and set(known) <= set(keys) for known, found in hot.items()):
+        return None  # a part of a key that is not hot is not hot either
+    return find_hot(df, keys, hot_rows)
+
+
+def counted_once(df: DataFrame, keys: list[str], options: dict) -> dict:
+    """Options for a chain of calls on ``keys``: the hot keys are looked up on ``df`` unless already given."""
+    if isinstance(options.get("hot", AUTO), dict):
+        return options
+    return {**options, "hot": hot_keys(df, [keys], options.get("hot_rows", HOT_ROWS))}
 
 
 def split_hot(df: DataFrame, keys: list[str], hot: DataFrame, ts: str, chunk_ms: int) -> DataFrame:
@@ -77,7 +97,7 @@ def running(
     """Running aggregates per key in ``(ts, seq)`` order.
 
     ``measures`` maps an output name to ``(op, column)`` or ``(op, column, "before")``; ``op`` is sum, max
-    or min. ``before`` excludes the current row. ``hot`` may pass a result of ``find_hot`` for these keys.
+    or min. ``before`` excludes the current row. ``hot`` may pass a result of ``hot_keys``.
     """
     inputs = {f"_v_{name}": spec[1] for name, spec in measures.items()}
     hot = _resolve(df, keys, hot, hot_rows)
@@ -147,7 +167,7 @@ def first_occurrence(
 
     Small inputs number the rows of a key; large ones combine the minimum before the shuffle and join it back.
     """
-    if plan_bytes(df) <= hot_rows:
+    if input_bytes(df) <= hot_rows:
         order = Window.partitionBy(*keys).orderBy(ts, seq)
         return df.withColumn(name, F.row_number().over(order) == 1)
     first = df.groupBy(*keys).agg(F.min(F.struct(ts, seq)).alias("_first"))

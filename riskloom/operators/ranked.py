@@ -9,22 +9,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARTS = 64
+from riskloom.functions.columns import count_below
+from riskloom.operators.prefix import input_bytes
+
+AUTO = 0
+STRETCH_BYTES = 256 * 1024 * 1024
+MOST_PARTS = 1024
+
+
+def stretches(df: DataFrame) -> int:
+    """Stretches for an input: one per 256 MB of its tables."""
+    return int(min(MOST_PARTS, max(1, input_bytes(df) // STRETCH_BYTES)))
+
+
+def stretch_of(frame: DataFrame, at: str, cuts: Column, parts: int, name: str = "_part") -> DataFrame:
+    """Adds the stretch of the value axis a row falls in; it depends on the value alone, so a retried task agrees."""
+    return frame.withColumn("_cuts", cuts).withColumn(name, count_below(F.col("_cuts"), F.col(at), parts)).drop("_cuts")
 
 
 def value_prefix(
-    counts: DataFrame, by: list[str], value: str, sums: list[str], descending: bool = False, parts: int = PARTS
+    counts: DataFrame, by: list[str], value: str, sums: list[str], descending: bool = False, parts: int = AUTO
 ) -> DataFrame:
     """Adds ``before_<c>`` for each column of ``sums``: its total over strictly earlier values of the group.
 
     ``counts`` holds one row per group and value.
     """
     step = F.desc if descending else F.asc
+    parts = parts or stretches(counts)
     if parts > 1:
         probs = [i / parts for i in range(1, parts)]
-        cuts = counts.agg(F.percentile_approx(value, probs, 1000)).scalar()
-        stretch = F.size(F.filter(F.col("_cuts"), lambda b: b < F.col(value)))
-        base = counts.withColumn("_cuts", cuts).withColumn("_part", -stretch if descending else stretch).drop("_cuts")
+        cuts = counts.agg(F.percentile_approx(value, probs, 10_000)).scalar()
+        base = stretch_of(counts, value, cuts, parts)
+        base = base.withColumn("_part", -F.col("_part")) if descending else base
     else:
         base = counts.withColumn("_part", F.lit(0))
     inner = Window.partitionBy(*by, "_part").orderBy(step(value)).rowsBetween(Window.unboundedPreceding, -1)
@@ -42,7 +58,7 @@ def value_prefix(
     )
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], parts: int = PARTS) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], parts: int = AUTO) -> DataFrame:
     """Linear-interpolated quantiles per group as rows ``(by, idx, q, value)``; memory does not grow with the data."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     placed = value_prefix(counts, by, value, ["_n"], parts=parts)
@@ -58,6 +74,19 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
         lambda w: ((F.floor(spot(w["q"])) >= first) & (F.floor(spot(w["q"])) <= last))
         | ((F.ceil(spot(w["q"])) >= first) & (F.ceil(spot(w["q"])) <= last)),
     )
+    steps = len(probs) - 1
+    if steps > 16 and all(abs(q - i / steps) < 1e-12 for i, q in enumerate(probs)):
+        # On an even grid a value can only serve the few points around its own rank.
+        scale = F.lit(float(steps)) / F.greatest(F.col("_size") - 1, F.lit(1))
+        near = F.sequence(
+            F.greatest(F.floor(first * scale) - 1, F.lit(0)).cast("int"), F.least(F.ceil((last + 1) * scale) + 1, F.lit(steps)).cast("int")
+        )
+        wanted = F.transform(near, lambda i: F.struct(i.alias("idx"), (i / F.lit(float(steps))).alias("q")))
+        touching = F.filter(
+            wanted,
+            lambda w: ((F.floor(spot(w["q"])) >= first) & (F.floor(spot(w["q"])) <= last))
+            | ((F.ceil(spot(w["q"])) >= first) & (F.ceil(spot(w["q"])) <= last)),
+        )
     hits = placed.select(*by, value, "_size", "before__n", "_n", F.explode(touching).alias("_w")).select(
         *by, value, "_size", first.alias("_a"), last.alias("_b"), F.col("_w.idx").alias("idx"), F.col("_w.q").alias("q")
     )

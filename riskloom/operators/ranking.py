@@ -17,7 +17,7 @@ from riskloom import constants as K
 from riskloom.functions import columns as C
 from riskloom.operators.fold import sorted_runs
 from riskloom.operators.prefix import running
-from riskloom.operators.ranked import PARTS, value_prefix
+from riskloom.operators.ranked import AUTO, value_prefix
 
 INF = float("inf")
 
@@ -27,7 +27,7 @@ def _grouped(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
     return (df, by) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
 
 
-def score_counts(df: DataFrame, by: list[str], score: str = "score", label: str = "label", parts: int = PARTS) -> DataFrame:
+def score_counts(df: DataFrame, by: list[str], score: str = "score", label: str = "label", parts: int = AUTO) -> DataFrame:
     """Positives and negatives per distinct score with the totals above it and of the group."""
     counts = df.groupBy(*by, F.col(score).alias("score")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"), F.sum((~F.col(label)).cast("long")).alias("neg")
@@ -90,7 +90,7 @@ def recall_at_fpr(df: DataFrame, target: float | Column, by: list[str] = [], **k
 
 def average_precision(
     df: DataFrame, by: list[str] = [], ordinal: str = "ordinal", prevalence: float = K.COST_MODEL["eval_prevalence"],
-    score: str = "score", label: str = "label", parts: int = PARTS, **kw,
+    score: str = "score", label: str = "label", parts: int = AUTO, **kw,
 ) -> DataFrame:
     """Rank-based average precision, raw and re-tilted to ``prevalence``; ties keep their input ``ordinal``."""
     df, keys = _grouped(df, by)

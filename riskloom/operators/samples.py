@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import constants as K
-from riskloom.operators.prefix import running
+from riskloom.operators.prefix import hot_keys, running
 
 
 class SingleClassSplit(ValueError):
@@ -42,6 +42,8 @@ def entity_overlap(samples: DataFrame, horizon_ms: int = K.FEATURE_HORIZON_MS, *
     """
     attacks = samples.filter(F.col("is_attack") & F.col("episode_id").isNotNull())
     windows = attacks.groupBy("episode_id").agg(F.min("ingest_ms").alias("_lo"), (F.max("ingest_ms") + horizon_ms).alias("_hi"))
+    if not isinstance(kw.get("hot"), dict):
+        kw = {**kw, "hot": hot_keys(samples, [["ip"], ["card_hash"]], **({"hot_rows": kw["hot_rows"]} if "hot_rows" in kw else {}))}
     out = samples.withColumn("_overlap", F.lit(False))
     early = F.lit(-1).cast("long")
     for key in ("ip", "card_hash"):

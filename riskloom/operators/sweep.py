@@ -120,10 +120,8 @@ def add_window_stats(
             fields.append(F.lit(1 if arrival else (-1 if s.width_ms == width else 0)).alias(f"_c_{i}"))
         return F.struct(*fields)
 
-    expiries = F.filter(
-        F.array(*[event(w) for w in widths]), lambda e: e["at"] < (F.col("_chunk") + 1) * F.lit(span)
-    )
-    events = halo.select(*by, F.explode(F.concat(F.array(event(None)), expiries)).alias("_e")).select(
+    events = halo.select(*by, F.explode(F.array(event(None), *[event(w) for w in widths])).alias("_e"))
+    events = events.filter((F.col("_e.kind") == 1) | (F.col("_e.at") < (F.col("_chunk") + 1) * F.lit(span))).select(
         *by, *[F.col(f"_e.{n}").alias(n) for n in ["at", "kind", "seq", "row", "emit", *sums, *shares, *parity]]
     )
 
