@@ -275,7 +275,7 @@ def closed_loop_regime(
     def fold(batches):
         from riskloom.operators.fold import sorted_runs
 
-        key, rates, s, held = None, None, 0.0, None
+        key, rates, s, held, made = None, None, 0.0, None, []
 
         def rate(bucket):
             return float(rates[(bucket // per_hour) % 24])
@@ -295,7 +295,7 @@ def closed_loop_regime(
             return s
 
         for (merchant, bucket), part, opens in sorted_runs(batches, ["merchant_id", "bucket"]):
-            made, bucket = [], int(bucket)
+            bucket = int(bucket)
             if opens:
                 ratio = 0.0
                 if held is not None:
@@ -312,10 +312,11 @@ def closed_loop_regime(
                 held = {"bucket": bucket, "regime": "alarm" if alarm else "in_control", "prior": prior, "n": 0, "cut": cutoff(prior)}
             m = part["m"].to_numpy(dtype=float)
             held["n"] += int(part["sure"].sum()) + int(part["n"].to_numpy()[np.nan_to_num(m, nan=-np.inf) >= held["cut"]].sum())
-            if made:
+            if len(made) >= 10_000:
                 yield pd.DataFrame(made, columns=schema.names)
+                made = []
         if held is not None:
-            yield pd.DataFrame([close(s, held)[0]], columns=schema.names)
+            yield pd.DataFrame([*made, close(s, held)[0]], columns=schema.names)
 
     return rows.repartition("merchant_id").sortWithinPartitions("merchant_id", "bucket").mapInPandas(fold, schema)
 

@@ -21,25 +21,29 @@ from riskloom.operators.prefix import AUTO, HOT_ROWS, _resolve, split_hot
 from riskloom.session import materialize
 
 
+def run_bounds(pdf: pd.DataFrame, by: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """Starts, ends and keys of the runs of equal ``by`` values in a sorted batch."""
+    n = len(pdf)
+    change = np.zeros(n, dtype=bool)
+    change[0] = True
+    for k in by:
+        col = pdf[k].to_numpy()
+        change[1:] |= col[1:] != col[:-1]
+    starts = np.flatnonzero(change)
+    keys = list(zip(*[pdf[k].to_numpy()[starts] for k in by]))
+    return starts, np.append(starts[1:], n), keys
+
+
 def sorted_runs(batches: Iterator[pd.DataFrame], by: list[str]):
-    """Cuts sorted batches into runs of equal ``by`` values: yields ``(key, frame, opens, is_last_part)``.
+    """Cuts sorted batches into runs of equal ``by`` values: yields ``(key, frame, opens)``.
 
     A run that spans batches arrives in parts; ``opens`` marks its first part.
     """
     previous = None
     for pdf in batches:
-        n = len(pdf)
-        if n == 0:
+        if len(pdf) == 0:
             continue
-        change = np.zeros(n, dtype=bool)
-        change[0] = True
-        for k in by:
-            col = pdf[k].to_numpy()
-            change[1:] |= col[1:] != col[:-1]
-        starts = np.flatnonzero(change)
-        ends = np.append(starts[1:], n)
-        keys = list(zip(*[pdf[k].to_numpy()[starts] for k in by]))
-        for key, i, j in zip(keys, starts, ends):
+        for i, j, key in zip(*run_bounds(pdf, by)):
             yield key, pdf.iloc[i:j], key != previous
             previous = key
 
@@ -164,23 +168,30 @@ def finite_state_fold(
     columns = df.columns
 
     def replay(batches):
-        state, last = None, None
-        for key, part, opens in sorted_runs(batches, by):
-            if opens:
-                state, last = int(part["_start"].iloc[0]), None
-            arrays = [part[c].to_numpy() for c in cols]
-            out = part[columns].copy()
-            still = idle(state, arrays) if idle is not None else None
-            if still is not None:
-                made = still
-                last = tuple(a[-1] for a in arrays)
-            else:
-                rows = []
-                for row in zip(*arrays):
+        state, last, previous = None, None, None
+        for pdf in batches:
+            n = len(pdf)
+            if n == 0:
+                continue
+            arrays = [pdf[c].to_numpy() for c in cols]
+            initial = pdf["_start"].to_numpy()
+            made = [[None] * n for _ in output_schema]
+            for i, j, key in zip(*run_bounds(pdf, by)):
+                if key != previous:
+                    state, last, previous = int(initial[i]), None, key
+                parts = [a[i:j] for a in arrays]
+                still = idle(state, parts) if idle is not None else None
+                if still is not None:
+                    for slot, values in zip(made, still):
+                        slot[i:j] = list(values)
+                    last = tuple(p[-1] for p in parts)
+                    continue
+                for at, row in enumerate(zip(*parts), start=i):
                     after = int(step(np.array([state]), row, last)[0])
-                    rows.append(outputs(state, after, row, last))
+                    for slot, value in zip(made, outputs(state, after, row, last)):
+                        slot[at] = value
                     state, last = after, row
-                made = [list(v) for v in zip(*rows)]
+            out = pdf[columns].copy()
             for field, values in zip(output_schema, made):
                 out[field.name] = values
             yield out
