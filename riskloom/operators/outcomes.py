@@ -71,11 +71,12 @@ def verify_outcomes(
         .when(F.col("attempt_uid").isNull(), "unknown event_id")
     )
     judged = rows.withColumn("_expected", expected).withColumn("_reason", reason)
-    winners = judged.filter(F.col("_reason").isNull()).groupBy("nonce").agg(F.min("seq").alias("_winner"))
+    # The winner is matched on nonce and position, so the copies of one nonce stay spread out.
+    winners = judged.filter(F.col("_reason").isNull()).groupBy("nonce").agg(F.min("seq").alias("seq")).withColumn("_wins", F.lit(True))
     if seen_nonces is not None:
         winners = winners.join(seen_nonces.select("nonce"), "nonce", "left_anti")
-    judged = judged.join(winners, "nonce", "left")
-    replay = F.col("_reason").isNull() & ~F.coalesce(F.col("_winner") == F.col("seq"), F.lit(False))
+    judged = judged.join(winners, ["nonce", "seq"], "left")
+    replay = F.col("_reason").isNull() & F.col("_wins").isNull()
     return judged.select(
         *reports.columns, "merchant_id", F.when(F.col("_reason").isNull() & ~replay, F.col("attempt_uid")).alias("attempt_uid"),
         F.when(replay, "replayed nonce").otherwise(F.col("_reason")).alias("reason"),

@@ -33,9 +33,7 @@ def score_counts(df: DataFrame, by: list[str], score: str = "score", label: str
         F.sum(F.col(label).cast("long")).alias("pos"), F.sum((~F.col(label)).cast("long")).alias("neg")
     )
     placed = value_prefix(counts, by, "score", ["pos", "neg"], descending=True, parts=parts)
-    totals = df.groupBy(*by).agg(
-        F.sum(F.col(label).cast("long")).alias("n_pos"), F.sum((~F.col(label)).cast("long")).alias("n_neg")
-    )
+    totals = counts.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return placed.join(totals, by).withColumns({"tp": F.col("before_pos") + F.col("pos"), "fp": F.col("before_neg") + F.col("neg")})
 
 

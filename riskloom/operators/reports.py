@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from riskloom import constants as K
 from riskloom.operators import ranking as R
+from riskloom.operators.ranked import exact_quantiles
+from riskloom.session import materialize
 
 
 def score_long(df: DataFrame, scorers: dict[str, Column], keep: list[str]) -> DataFrame:
@@ -16,7 +18,14 @@ def score_long(df: DataFrame, scorers: dict[str, Column], keep: list[str]) -> Da
 
 
 def metric_table(long: DataFrame, by: list[str], target_fpr: float = K.COST_MODEL["target_fpr"], prevalence: float = K.COST_MODEL["eval_prevalence"]) -> DataFrame:
-    """Size, prevalence, recall at the target rate, average precision and AUC of every group."""
+    """Size, prevalence, recall at the target rate, average precision and AUC of every group.
+
+    The scores are written once and every metric reads that table: score once, slice later.
+    """
+    return _metrics(materialize(long, "scores"), by, target_fpr, prevalence)
+
+
+def _metrics(long: DataFrame, by: list[str], target_fpr: float, prevalence: float) -> DataFrame:
     size = long.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("long")).alias("n_positive"), F.avg(F.col("label").cast("double")).alias("prevalence")
     )
@@ -28,10 +37,11 @@ def metric_table(long: DataFrame, by: list[str], target_fpr: float = K.COST_MODE
 def evaluate_all(long: DataFrame, tier: str = "challenge", model: dict = K.COST_MODEL) -> DataFrame:
     """Metrics and cheapest operating costs per split and scorer."""
     by = ["split", "scorer"]
+    long = materialize(long, "scores")
     curve = R.cost_curve(R.roc_convex_hull(long, by), {"pi0": model["prior_steady_state"], "pi1": model["prior_under_attack"]}, tier, model)
     best = R.min_cost_point(curve, [*by, "regime"])
     pick = lambda r: F.max(F.when(F.col("regime") == r, F.col("cost"))).alias(f"min_cost_{r}")
-    return metric_table(long, by, model["target_fpr"], model["eval_prevalence"]).join(best.groupBy(*by).agg(pick("pi0"), pick("pi1")), by)
+    return _metrics(long, by, model["target_fpr"], model["eval_prevalence"]).join(best.groupBy(*by).agg(pick("pi0"), pick("pi1")), by)
 
 
 def tier_breakdown(long: DataFrame, by: list[str] = ["scorer"], **kw) -> DataFrame:
@@ -118,8 +128,12 @@ def model_vs_rules_winner(metrics: DataFrame, model: str = "model", rules: str =
 def detection_headline(incidents: DataFrame, by: list[str] = ["tier"]) -> DataFrame:
     """Median and 90th percentile of what an attack got done before its alert."""
     names = {"attempts_before_alert": "attempts", "cards_exposed_before_alert": "cards", "time_to_detect_s": "seconds"}
-    picks = [F.percentile(c, p).alias(f"{n}_{t}") for c, n in names.items() for p, t in ((0.5, "median"), (0.9, "p90"))]
-    return incidents.groupBy(*by).agg(F.count(F.lit(1)).alias("incidents"), *picks)
+    out = incidents.groupBy(*by).agg(F.count(F.lit(1)).alias("incidents"))
+    for column, name in names.items():
+        points = exact_quantiles(incidents.select(*by, column), by, column, [0.5, 0.9])
+        pick = lambda i: F.max(F.when(F.col("idx") == i, F.col("value")))
+        out = out.join(points.groupBy(*by).agg(pick(0).alias(f"{name}_median"), pick(1).alias(f"{name}_p90")), by, "left")
+    return out
 
 
 def attack_yield(rows: DataFrame) -> DataFrame:

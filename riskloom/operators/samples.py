@@ -13,6 +13,11 @@ class SingleClassSplit(ValueError):
     """A split that must hold both classes holds one."""
 
 
+def _spread(episode: Column, seq: Column) -> Column:
+    """Join key for an optional episode: rows without one get many different keys instead of one null."""
+    return F.coalesce(episode, F.concat(F.lit("\0"), F.pmod(F.xxhash64(seq), F.lit(4096)).cast("string")))
+
+
 def build_samples(
     events: DataFrame, labels: DataFrame, episodes: DataFrame, latency_ms: int = K.GATEWAY_LATENCY_MS
 ) -> DataFrame:
@@ -20,10 +25,12 @@ def build_samples(
 
     ``events`` carry ``run_index`` and ``stream_tier``; event ids repeat across runs, so the label key is both.
     """
-    truth = episodes.select("episode_id", "kind", "scenario", F.col("tier").alias("episode_tier"))
+    truth = episodes.select(F.col("episode_id").alias("_key"), "kind", "scenario", F.col("tier").alias("episode_tier"))
     return (
         events.join(labels, ["run_index", "event_id"])
-        .join(truth, "episode_id", "left")
+        .withColumn("_key", _spread(F.col("episode_id"), F.col("seq")))
+        .join(truth, "_key", "left")
+        .drop("_key")
         .withColumns(
             {
                 "kind": F.coalesce("kind", F.lit("baseline")),
@@ -73,8 +80,9 @@ def temporal_split(
     sides = placed.filter(F.col("episode_id").isNotNull()).groupBy("episode_id").agg(
         F.bool_or(early).alias("_early"), F.bool_or(~early).alias("_late"), F.bool_or(~early & ~late).alias("_band")
     )
-    straddling = sides.filter(F.col("_band") | (F.col("_early") & F.col("_late"))).select("episode_id")
-    kept = placed.filter(early | late).join(straddling, "episode_id", "left_anti")
+    straddling = sides.filter(F.col("_band") | (F.col("_early") & F.col("_late"))).select(F.col("episode_id").alias("_key"))
+    keyed = placed.filter(early | late).withColumn("_key", _spread(F.col("episode_id"), F.col("ingest_ms")))
+    kept = keyed.join(straddling, "_key", "left_anti")
     return kept.select(*samples.columns, F.when(early, names[0]).otherwise(names[1]).alias("split"))
 
 

@@ -10,6 +10,7 @@ from riskloom.operators import detectors, features, incidents as I, policy as P
 from riskloom.plans.registry import query
 from riskloom.plans.views import ATTEMPTS_SQL, HOUR, attempts
 from riskloom.plans.windows import RULES_SQL, ruled
+from riskloom.session import materialize
 
 COOL = 12 * HOUR
 THETAS = {"throttle": 0.1, "challenge": 0.3, "step_up": 0.5, "block": 0.7}
@@ -338,7 +339,7 @@ life AS (SELECT a.action_id, a.merchant_id, a.entity_type, a.entity_key, a.requi
 
 def lifecycle(spark, sf_dir):
     """Enforcement rows after an operator confirmed every blocking row and resolved some of the incidents."""
-    rows = resolved(spark, sf_dir)
+    rows = materialize(resolved(spark, sf_dir).filter(F.col("incident_id").isNotNull()), "decided")
     actions = P.enforcement_rows(rows)
     start = F.col("expires_at") - POLICY["enforcement_ttl_ms"]
     confirmations = actions.filter(F.col("tier").isin("block", "challenge")).select(
@@ -405,7 +406,7 @@ def _narratives(spark, sf_dir):
     FROM inc i JOIN nw USING (incident_id) JOIN tl USING (incident_id) LEFT JOIN ac USING (incident_id) JOIN ua ON ua.entity_type = i.entity_type AND ua.entity_key = i.entity_key""",
 )
 def _detail(spark, sf_dir):
-    rows = resolved(spark, sf_dir).filter(F.col("incident_id").isNotNull())
+    rows = materialize(resolved(spark, sf_dir).filter(F.col("incident_id").isNotNull()), "decided")
     heads = rows.filter("opens").select("incident_id", "merchant_id", "opened_at")
     entities = rows.groupBy("incident_id", "entity_type", "entity_key").agg(
         F.count(F.lit(1)).alias("attempt_count"), F.min("ingest_ms").alias("first_seen"), F.max("ingest_ms").alias("last_seen")

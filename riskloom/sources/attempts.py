@@ -23,6 +23,7 @@ WIRE_SCHEMA = T.StructType(
 )
 # The server adds these; a client-sent address is never read from the wire part.
 SERVER_FIELDS = [
+    T.StructField("attempt_uid", T.StringType()),
     T.StructField("seq", T.LongType()),
     T.StructField("ingest_ms", T.LongType()),
     T.StructField("merchant_id", T.StringType()),
