@@ -4,7 +4,7 @@ from importlib import import_module
 
 from riskloom.plans.registry import ORACLES, QUERIES
 
-_MODULES = ("windows", "detect", "cases", "evaluate", "records", "learn", "streams")
+_MODULES = ("windows", "detect", "cases", "evaluate", "records", "learn", "streams", "flow")
 
 
 def _load() -> None:
