@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -149,50 +150,62 @@ class Texts:
 
     def __init__(self, codec: Codec):
         self.codec = codec
-        self.words: dict[bytes, tuple[bytes, bytes]] = {}
+        self.words: dict[str, tuple[bytes, bytes]] = {}
         self.units: dict[str, tuple[bytes, bytes]] = {}
+        self.spaced: dict[str, tuple[bytes, bytes]] = {}  # by what follows the space
 
     @staticmethod
-    def cut(text: str) -> list[str]:
-        units: list[str] = []
-        for k, piece in enumerate(text.split(" ")):
-            if k == 0:
-                units.append(piece)
-            elif piece and not piece[0].isspace() and units[-1] and not units[-1][-1].isspace():
+    def cut(pieces: list[str]) -> list[str]:
+        units = [pieces[0]]
+        for piece in pieces[1:]:
+            if _visible(piece) and units[-1] and not units[-1][-1].isspace():
                 units.append(" " + piece)
             else:
                 units[-1] += " " + piece
         return units
 
-    def learn(self, units: set[str]) -> None:
-        if len(self.units) + len(units) > KNOWN_UNITS:
-            self.units.clear()
-            self.words.clear()
-        new = [(u, [m.encode() for m in self.codec.pattern.findall(u)]) for u in units]
-        words = list({w for _, ws in new for w in ws} - self.words.keys())
-        ids = self.codec.encode(words)
-        self.words.update(zip(words, zip((np.array(x, "<u4").tobytes() for x in ids), self.codec.decode(ids), strict=True), strict=True))
-        for u, ws in new:
+    def learn(self, units: list[str], spaced: list[str]) -> None:
+        matches = [(self.units, u, self.codec.pattern.findall(u)) for u in units]
+        matches += [(self.spaced, p, _split(p) or self.codec.pattern.findall(" " + p)) for p in spaced]
+        words = list({w for _, _, ws in matches for w in ws} - self.words.keys())
+        ids = self.codec.encode([w.encode() for w in words])
+        self.words.update(zip(words, zip((array("I", x).tobytes() for x in ids), self.codec.decode(ids), strict=True), strict=True))
+        for known, u, ws in matches:
             codes = [self.words[w] for w in ws]
-            self.units[u] = (b"".join(c[0] for c in codes), b"".join(c[1] for c in codes))
+            known[u] = codes[0] if len(codes) == 1 else (b"".join([c[0] for c in codes]), b"".join([c[1] for c in codes]))
 
     def code(self, texts: list[bytes | None]) -> list[tuple[bytes, bytes]]:
-        cuts = [self.cut(t.decode()) if t else [] for t in texts]
-        self.learn(set(chain.from_iterable(cuts)).difference(self.units) if cuts else set())
-        known = self.units
+        if len(self.spaced) + len(self.units) > KNOWN_UNITS:
+            self.words.clear()
+            self.units.clear()
+            self.spaced.clear()
+        cuts = [(t or b"").decode().split(" ") for t in texts]
+        plain = [_plain(pieces) for pieces in cuts]
+        whole = [[pieces[0]] if p else self.cut(pieces) for pieces, p in zip(cuts, plain, strict=True)]
+        rest = set().union(*(pieces[1:] for pieces, p in zip(cuts, plain, strict=True) if p))
+        self.learn(list(set(chain.from_iterable(whole)).difference(self.units)), list(rest.difference(self.spaced)))
         out = []
-        for units in cuts:
-            codes = [known[u] for u in units] if all(map(known.__contains__, units)) else self._again(units)
+        for pieces, units, p in zip(cuts, whole, plain, strict=True):
+            codes = [self.units[u] for u in units]
+            if p:
+                codes += map(self.spaced.__getitem__, pieces[1:])
             out.append((b"".join([c[0] for c in codes]), b"".join([c[1] for c in codes])))
         return out
 
-    def _again(self, units: list[str]) -> list[tuple[bytes, bytes]]:
-        """When remembering the units of this text made room by forgetting others."""
-        self.learn(set(units).difference(self.units))
-        missing = set(units).difference(self.units)
-        if missing:
-            self.learn(missing)
-        return [self.units[u] for u in units]
+
+def _visible(piece: str) -> bool:
+    return piece != "" and not piece[0].isspace() and not piece[-1].isspace()
+
+
+def _plain(pieces: list[str]) -> bool:
+    """Whether every space of the text starts a unit."""
+    return len(pieces) > 1 and all(map(_visible, set(pieces[1:]))) and pieces[0] != "" and not pieces[0][-1].isspace()
+
+
+def _split(piece: str) -> list[str] | None:
+    """The matches of a space and ``piece`` where that is letters and perhaps a mark; else None."""
+    body = piece.rstrip(".,;:!?")
+    return None if not body.isalpha() else [" " + body] if len(body) == len(piece) else [" " + body, piece[len(body) :]]
 
 
 _RANKS: dict[str, dict[bytes, int]] = {}

@@ -45,33 +45,40 @@ class Transducer:
         self.scores = scores
         self.open = {p[:i] for p in scores for i in range(1, len(p))}
         self.merged = Known(self._merge)
-        self.edges: dict[tuple, tuple] = {}
         self.segments = Known(lambda s: self.run(START, s)[1])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        self.edges: list[dict[str, tuple[int, int]]] = []
+        self.n_edges = 0
+
+    def _number(self, state: tuple) -> int:
+        n = self.numbers.setdefault(state, len(self.states))
+        if n == len(self.states):
+            self.states.append(state)
+            self.edges.append({})
+        return n
 
     def _merge(self, text: str) -> tuple[str, ...]:
         """The segmentation by definition: merge the leftmost best pair until none is left."""
-        parts = list(text)
-        while len(parts) > 1:
-            pairs = [(-self.scores[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.scores]
-            if not pairs:
-                break
-            i = min(pairs)[1]
+        parts, none, get = list(text), float("-inf"), self.scores.get
+        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs and (best := max(pairs)) > none:
+            i = pairs.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
         return tuple(parts)
 
     def cost(self, piece: str) -> int:
         """A character without a piece is spelled in bytes."""
         return 1 if piece in self.scores else len(piece.encode())
 
-    def step(self, state: tuple, char: str) -> tuple[tuple, int]:
-        edge = self.edges.get((state, char))
-        if edge is None:
-            edge = self._compile(state, char)
-            if len(self.edges) >= KNOWN_EDGES:
-                self.edges.clear()
-            self.edges[(state, char)] = edge
-        return edge
-
     def _compile(self, state: tuple, char: str) -> tuple[tuple, int]:
         grown = [(text + char, last, count) for text, last, count in state]
         for text, last, count in grown:
@@ -83,11 +90,19 @@ class Transducer:
         return (*((t, p, n - change) for t, p, n in grown if t in self.open), ("", ended, 0)), change
 
     def run(self, state: tuple, text: str) -> tuple[tuple, int]:
-        total = 0
+        """The state after ``text`` and the change of the number of tokens."""
+        if self.n_edges > KNOWN_EDGES:
+            self._forget()
+        at, total, edges = self._number(state), 0, self.edges
         for char in text:
-            state, change = self.step(state, char)
-            total += change
-        return state, total
+            edge = edges[at].get(char)
+            if edge is None:
+                after, change = self._compile(self.states[at], char)
+                edge = edges[at][char] = self._number(after), change
+                self.n_edges += 1
+            at = edge[0]
+            total += edge[1]
+        return self.states[at], total
 
     def count(self, segments: list[str]) -> int:
         return sum(map(self.segments.__getitem__, segments)) if max(map(len, segments), default=0) <= REMEMBERED else sum(self.segments[s] if len(s) <= REMEMBERED else self.run(START, s)[1] for s in segments)
@@ -126,15 +141,7 @@ def composed(machine: Transducer, maps: list[ChunkMap]) -> ChunkMap:
 
 
 def chunks_of(text: str, size: int) -> list[str]:
-    """Cuts of about ``size`` characters, none between a character and the space after it, where a reset would be hidden."""
-    cuts, at = [], 0
-    while at < len(text):
-        end = at + size
-        while end < len(text) and text[end] == SPACE:
-            end += 1
-        cuts.append(text[at:end])
-        at = end
-    return cuts
+    return [text[i : i + size] for i in range(0, len(text), size)]
 
 
 def count_text(machine: Transducer, text: str, chunk: int = CHUNK) -> int:
