@@ -16,17 +16,32 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.quality import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")), carry=["doc_id"])
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.byte_bpe import encode_texts
 
     return encode_texts(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.language_id import fit, identify
+    from riskloom.llm.samples import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs.withColumn("held_out", held_out("doc_id")), fit(docs), carry=["doc_id", "held_out"])
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.decontaminate import decontaminate
 
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"]).drop("items")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op6_byte_bpe, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op5_quality, op6_byte_bpe, op7_language_id, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
