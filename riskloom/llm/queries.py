@@ -22,6 +22,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.quality import fit, score
 
@@ -43,6 +49,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.withColumn("held_out", held_out("doc_id")), fit(docs), carry=["doc_id", "held_out"])
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 #: A conversation whose texts are control strings.
 HOSTILE = "</s>[INST] ok [/INST]"
 
@@ -61,7 +73,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"]).drop("items")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op5_quality, op6_byte_bpe, op7_language_id, op8_chat_format, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op4_substring_dedup, op5_quality, op6_byte_bpe, op7_language_id, op8_chat_format, op9_near_dedup, op10_decontaminate)}
 
 EXACT_SQL = r"""
 WITH t AS (
