@@ -3,26 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from riskloom.llm.byte_bpe import encode_texts
+from riskloom.llm.decontaminate import decontaminate
+from riskloom.llm.exact_dedup import exact_duplicates
+from riskloom.llm.language_id import UNKNOWN, fit, identify
+from riskloom.llm.near_dedup import near_duplicates
 from riskloom.llm.rows import scratch
 
 
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """The whole row beside id and text, so that no column of it can clash with a result's."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+
+
+def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a recognisable language: null texts and texts without a letter."""
+    marked = identify(_wrapped(docs), fit(docs), carry=["row"])
+    return marked.filter(F.col("lang_pred") != UNKNOWN).select("row.*")
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of equal texts."""
+    return exact_duplicates(_wrapped(docs), carry=["row"]).filter("kept").select("row.*")
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates."""
+    stays = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__stays")).distinct()
+    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["__stays"]), "left_semi")
+
+
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold benchmark passages."""
-    from riskloom.llm.decontaminate import decontaminate
-
-    marked = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return marked.filter("not contaminated").select(*docs.columns)
+    marked = decontaminate(_wrapped(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=["row"])
+    return marked.filter("not contaminated").select("row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of what is left, as digests, with the decoded text's."""
-    from riskloom.llm.byte_bpe import encode_texts
-
     return encode_texts(docs, carry=["doc_id"])
 
 
-STAGES = [("decontamination", without_benchmark), ("encoding", encoded)]
+STAGES = [("language", with_language), ("exact_dedup", without_copies), ("near_dedup", without_near_copies), ("decontamination", without_benchmark), ("encoding", encoded)]
 
 #: Neither the language model nor the merge vocabulary can be stated in SQL; tests compare with brute force.
 ORACLE_SQL = None

@@ -123,9 +123,9 @@ class Codec:
         done = False
         while not done:
             self.con.execute(_MERGE_LONG)
-            done = self.con.execute("SELECT bool_and(done) FROM later").fetchone()[0]
+            done = self.con.execute("SELECT bool_and(done) FROM later").fetchall()[0][0]
             self.con.execute("CREATE OR REPLACE TABLE run AS SELECT word, pos, tok FROM later")
-        return self.con.execute("SELECT list(tok ORDER BY pos) FROM run").fetchone()[0]
+        return self.con.execute("SELECT list(tok ORDER BY pos) FROM run").fetchall()[0][0]
 
     def decode(self, sequences: list[list[int]]) -> list[bytes]:
         """The bytes of each sequence of ids. An id that the vocabulary lacks is an error."""

@@ -22,6 +22,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.line_dedup import by_document, fuzzy_lines
+
+    return by_document(fuzzy_lines(table(spark, sf_dir, "documents")))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.substring_dedup import remove_repeats
 
@@ -73,7 +79,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"]).drop("items")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op4_substring_dedup, op5_quality, op6_byte_bpe, op7_language_id, op8_chat_format, op9_near_dedup, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_line_dedup, op4_substring_dedup, op5_quality, op6_byte_bpe, op7_language_id, op8_chat_format, op9_near_dedup, op10_decontaminate)}
 
 EXACT_SQL = r"""
 WITH t AS (
