@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -85,13 +90,24 @@ class Known(dict):
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which every executor must see."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    """A fresh folder below ``spark.checkpoint.dir``, which the driver and all executors must see.
+
+    Only where the setting is missing and driver and executors are one process, as in tests, a temporary folder stands in;
+    it goes when Python ends.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark.sparkContext.master)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@cache
+def _own_folder(master: str) -> str:
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="llm-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
     path = scratch(df.sparkSession, label)
