@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -26,19 +30,24 @@ def build_session(app: str = "riskloom", **conf: str) -> SparkSession:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``.
+    """A fresh folder below ``spark.checkpoint.dir``, which the caller owns and every executor must see.
 
-    Every executor must see the folder, so a cluster names it in that setting. Only a session on a
-    local master may fall back to a temporary folder.
+    Where the setting is missing and driver and executors are one process, as in tests, a folder of this process stands
+    in and is removed when the process ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="riskloom-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or _process_folder(spark.sparkContext.master)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@functools.cache
+def _process_folder(master: str) -> str:
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    folder = tempfile.mkdtemp(prefix="riskloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def materialize(df, label: str):
     """Write ``df`` to the shared scratch folder and read it back: cuts lineage and survives executor loss."""
     spark = df.sparkSession
