@@ -183,6 +183,20 @@ def count_below(cuts: Column, value: Column, most: int) -> Column:
     return F.aggregate(rounds, start, halve, lambda a: a["lo"])
 
 
+def general_number(value: Column) -> Column:
+    """Six significant digits without trailing zeros; an exponent of two digits or more outside 1e-4 to 1e6."""
+    value = value.cast("double")
+    parts = F.split(F.format_string("%.5e", value), "e")
+    power = parts[1].cast("int")
+    trimmed = lambda text: F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+    written = F.concat(trimmed(parts[0]), F.lit("e"), parts[1])
+    plain = F.lit(None).cast("string")
+    for digits in range(10):
+        plain = F.when(5 - power == digits, trimmed(F.format_string(f"%.{digits}f", value))).otherwise(plain)
+    odd = F.isnan(value) | value.isin(float("inf"), float("-inf"))
+    return F.when(odd, F.regexp_replace(F.lower(value.cast("string")), "inity", "")).otherwise(F.coalesce(plain, written))
+
+
 # --- identifiers ------------------------------------------------------------------------
 def short_id(prefix: str, *parts: Column) -> Column:
     """Deterministic id: one letter and 25 upper-case hex digits of sha1 over the parts joined by ``|``."""

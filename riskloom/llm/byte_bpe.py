@@ -23,9 +23,9 @@ from riskloom.llm.rows import Known, map_texts
 
 #: Words above this many bytes are contracted one statement a round, many pairs at once.
 LONG_WORD = 256
-#: Words contracted by one recursive query, and units of text that a worker remembers.
+#: Words contracted by one recursive query; units of text and words that a worker remembers, about 100 MB each.
 QUERY_WORDS = 40_000
-KNOWN_UNITS = 500_000
+KNOWN_UNITS, KNOWN_WORDS = 300_000, 500_000
 
 _MERGE = """
 WITH RECURSIVE step(depth, word, pos, nxt, tok, tok2, best) AS (
@@ -145,12 +145,13 @@ class Texts:
     """Encodes whole texts unit by unit.
 
     A unit runs from a single space between two visible characters up to the next one; no match of the pattern crosses
-    its start, so units are encoded apart and remembered as (ids in bytes, decoded bytes).
+    its start, so units are encoded apart and remembered as (ids in bytes, decoded bytes). ``words`` are those that the
+    worker knows already.
     """
 
-    def __init__(self, codec: Codec):
+    def __init__(self, codec: Codec, words: dict[str, tuple[bytes, bytes]] | None = None):
         self.codec = codec
-        self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.words = {} if words is None else words
         self.units: dict[str, tuple[bytes, bytes]] = {}
         self.spaced: dict[str, tuple[bytes, bytes]] = {}  # by what follows the space
 
@@ -175,8 +176,9 @@ class Texts:
             known[u] = codes[0] if len(codes) == 1 else (b"".join([c[0] for c in codes]), b"".join([c[1] for c in codes]))
 
     def code(self, texts: list[bytes | None]) -> list[tuple[bytes, bytes]]:
-        if len(self.spaced) + len(self.units) > KNOWN_UNITS:
+        if len(self.words) > KNOWN_WORDS:
             self.words.clear()
+        if len(self.spaced) + len(self.units) > KNOWN_UNITS:
             self.units.clear()
             self.spaced.clear()
         cuts = [(t or b"").decode().split(" ") for t in texts]
@@ -208,7 +210,9 @@ def _split(piece: str) -> list[str] | None:
     return None if not body.isalpha() else [" " + body] if len(body) == len(piece) else [" " + body, piece[len(body) :]]
 
 
+#: Of this worker, by vocabulary: tasks that it runs one after another share them.
 _RANKS: dict[str, dict[bytes, int]] = {}
+_WORDS: dict[str, dict[str, tuple[bytes, bytes]]] = {}
 
 
 def read_ranks(vocabulary: str) -> dict[bytes, int]:
@@ -235,7 +239,7 @@ def encode_texts(docs: DataFrame, *, vocabulary: str = "byte_bpe_multi_50k.tikto
     """
 
     def make():
-        coder = Texts(_codec(vocabulary))
+        coder = Texts(_codec(vocabulary), _WORDS.setdefault(vocabulary, {}))
 
         def work(texts: list[bytes | None]):
             codes = coder.code(texts)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom import constants as K
 from riskloom.functions import columns as C
+from riskloom.functions.joins import join_groups
 
 
 def class_weights(df: DataFrame, prior: float, by: list[str] = [], label: str = "label") -> DataFrame:
@@ -21,7 +22,7 @@ def class_weights(df: DataFrame, prior: float, by: list[str] = [], label: str =
 def prevalence_weights(df: DataFrame, prior: float, by: list[str] = [], label: str = "label", name: str = "weight") -> DataFrame:
     keys = by or ["_all"]
     df_keyed = df if by else df.withColumn("_all", F.lit(0))
-    joined = df_keyed.join(class_weights(df_keyed, prior, keys, label), keys)
+    joined = join_groups(df_keyed, class_weights(df_keyed, prior, keys, label), keys)
     return joined.select(*df.columns, F.when(F.col(label), F.col("w_pos")).otherwise(F.col("w_neg")).alias(name))
 
 
@@ -59,7 +60,7 @@ def reliability_bins(df: DataFrame, n_bins: int = 10, by: list[str] = [], **kw)
     slots = F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin")
     frame = sums.select(*by).distinct().select(*by, slots) if by else df.sparkSession.range(n_bins).select(F.col("id").cast("int").alias("bin"))
     filled = F.nullif(F.col("weight"), F.lit(0.0))
-    return frame.join(sums, [*by, "bin"], "left").select(
+    return join_groups(frame, sums, [*by, "bin"], "left").select(
         *by, "bin", (F.col("bin") / F.lit(float(n_bins))).alias("lo"), ((F.col("bin") + 1) / F.lit(float(n_bins))).alias("hi"),
         F.coalesce("weight", F.lit(0.0)).alias("weight"), (F.col("_p") / filled).alias("mean_predicted"), (F.col("_y") / filled).alias("observed_rate"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom import constants as K
+from riskloom.functions.joins import join_groups
 from riskloom.operators.prefix import counted_once, running, running_distinct
 
 
@@ -29,8 +30,8 @@ def _anchor_step(keys: list[str], ts: str, ttl_ms: int):
             change = np.zeros(n, dtype=bool)
             change[0] = True
             for k in keys:
-                col = pdf[k].to_numpy()
-                change[1:] |= col[1:] != col[:-1]
+                col, null = pdf[k].to_numpy(), pdf[k].isna().to_numpy()
+                change[1:] |= (null[1:] != null[:-1]) | (~null[1:] & (col[1:] != col[:-1]))
             starts = np.flatnonzero(change)
             ends = np.append(starts[1:], n)
             before_all = np.cumsum(counts) - counts
@@ -39,7 +40,7 @@ def _anchor_step(keys: list[str], ts: str, ttl_ms: int):
             anchor_ms, anchor_uid = times[index], uids[index].copy()
             before = before_all - before_all[index]
             long_groups = list(np.flatnonzero(times[ends - 1] - times[starts] >= ttl_ms))
-            resumed = carry_key is not None and tuple(pdf[k].iloc[0] for k in keys) == carry_key
+            resumed = carry_key is not None and _key_at(pdf, keys, 0) == carry_key
             if resumed and 0 not in long_groups:
                 long_groups.insert(0, 0)
             for g in long_groups:
@@ -55,7 +56,7 @@ def _anchor_step(keys: list[str], ts: str, ttl_ms: int):
                     anchor_ms[i:j], anchor_uid[i:j] = start_ms, start_uid
                     before[i:j] = offset + before_all[i:j] - (before_all[i] if j > i else 0)
                     i = j
-            carry_key = tuple(pdf[k].iloc[n - 1] for k in keys)
+            carry_key = _key_at(pdf, keys, n - 1)
             carry = (anchor_ms[n - 1], anchor_uid[n - 1], int(before[n - 1] + counts[n - 1]))
             out = pdf[[*keys, ts]].copy()
             out["anchor_ms"], out["anchor_uid"], out["_before"] = anchor_ms, anchor_uid, before
@@ -64,12 +65,16 @@ def _anchor_step(keys: list[str], ts: str, ttl_ms: int):
     return step
 
 
+def _key_at(pdf: pd.DataFrame, keys: list[str], row: int) -> tuple:
+    return tuple(None if pd.isna(value := pdf[k].iloc[row]) else value for k in keys)
+
+
 def anchored_ttl_counter(
     df: DataFrame, keys: list[str], ttl_ms: int, ts: str = "ingest_ms", seq: str = "seq", uid: str = "attempt_uid"
 ) -> DataFrame:
     """Counter that expires ``ttl_ms`` after its first row; adds ``anchor_ms``, ``anchor_uid`` and ``ordinal``.
 
-    Rows of one key and millisecond are combined before the shuffle, so copies of one key never travel as
+    Null is a key like any other. Rows of one key and millisecond are combined before the shuffle, so copies of one key never travel as
     rows; the ordered pass sees one row per distinct millisecond and keeps no group in memory.
     """
     moments = df.groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("_n"), F.min_by(uid, seq).alias("_uid"))
@@ -85,7 +90,7 @@ def anchored_ttl_counter(
         .mapInPandas(_anchor_step(keys, ts, ttl_ms), T.StructType(fields))
     )
     peers = Window.partitionBy(*keys, ts).orderBy(seq)
-    joined = df.join(anchored, [*keys, ts])
+    joined = join_groups(df, anchored, [*keys, ts])
     return joined.select(
         *df.columns, "anchor_ms", "anchor_uid", (F.col("_before") + F.row_number().over(peers)).cast("long").alias("ordinal")
     )

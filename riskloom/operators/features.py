@@ -61,11 +61,11 @@ def feature_vector(df: DataFrame, widths: dict = WIDTHS, card_mode: str = "ancho
         "card_hash", "amount_minor", "payload_digest",
     ]
     hot = hot_keys(df, [["merchant_id", "event_id"]])
-    out = df.select(*inputs)
+    # The counters join their input to an aggregate of it, so they come first, while that is only the narrow row.
+    out = card_seen(df.select(*inputs), widths["card_ttl"], card_mode)
+    out = event_id_reuse(out, hot=hot)
     for keys, stats in window_spaces(widths).items():
         out = add_window_stats(out, list(keys), stats)
-    out = card_seen(out, widths["card_ttl"], card_mode)
-    out = event_id_reuse(out, hot=hot)
     values = {name: F.lit(0.0) for name in K.UNFED_FEATURES}
     features = []
     for name in K.FEATURE_NAMES:

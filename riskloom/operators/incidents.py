@@ -221,7 +221,7 @@ def incident_narratives(incidents: DataFrame, rule_results: DataFrame) -> DataFr
         F.array_sort(F.collect_list(F.when(F.col("fired"), F.struct("ordinal", "name")))).alias("_f"),
     )
     joined = incidents.join(best, "incident_id")
-    number = lambda c: F.regexp_replace(F.col(c).cast("double").cast("string"), r"\.0$", "")
+    number = lambda c: C.general_number(F.col(c))
     fired = F.array_join(F.transform("_f", lambda f: f["name"]), ", ")
     text = F.concat(
         F.lit("Entity "), "pseudonym", F.lit(" ("), "entity_type", F.lit(') was assigned tier "'), "tier",

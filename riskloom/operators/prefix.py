@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import constants as K
+from riskloom.functions.joins import join_groups
 from riskloom.session import materialize
 
 HOT_ROWS = 10_000_000
@@ -21,20 +22,12 @@ AUTO = "auto"
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size of the tables under a plan. It only picks between plans with equal results."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
 def find_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """The keys with more than ``hot_rows`` rows, or None.
 
-    At most ``rows / hot_rows`` keys qualify, which bounds what reaches the driver and the broadcast. Inputs
-    smaller than one byte per allowed row cannot hold such a key and are not counted.
+    At most ``rows / hot_rows`` keys qualify, which bounds what reaches the driver and the broadcast. Rows are
+    always counted, with a map-side combine; null is a key like any other.
     """
-    if input_bytes(df) <= hot_rows:
-        return None
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     found = counts.filter(F.col("_rows") > hot_rows).select(*keys).collect()
     return df.sparkSession.createDataFrame(found, df.select(*keys).schema) if found else None
@@ -64,8 +57,8 @@ def counted_once(df: DataFrame, keys: list[str], options: dict) -> dict:
 
 
 def split_hot(df: DataFrame, keys: list[str], hot: DataFrame, ts: str, chunk_ms: int) -> DataFrame:
-    """Adds ``_hot`` and ``_chunk``; ``_chunk`` is 0 unless the key is hot. Null keys stay in chunk 0."""
-    marked = df.join(F.broadcast(hot.withColumn("_is_hot", F.lit(True))), keys, "left")
+    """Adds ``_hot`` and ``_chunk``; ``_chunk`` is 0 unless the key is hot."""
+    marked = join_groups(df, F.broadcast(hot.withColumn("_is_hot", F.lit(True))), keys, "left")
     is_hot = F.coalesce(F.col("_is_hot"), F.lit(False))
     return marked.select(
         *df.columns,
@@ -116,7 +109,7 @@ def running(
     carried = totals.select(*by, *[_COMBINE[m[0]](f"_t_{n}").over(earlier).alias(f"_o_{n}") for n, m in measures.items()])
     here = Window.partitionBy(*by).orderBy(ts, seq)
     local = base.withColumns({f"_l_{n}": _COMBINE[m[0]](f"_v_{n}").over(_upto(here, m)) for n, m in measures.items()})
-    joined = local.join(carried, by, "left")
+    joined = join_groups(local, carried, by, "left")
     return joined.select(
         *df.columns, *[_merge(m[0], F.col(f"_o_{n}"), F.col(f"_l_{n}")).alias(n) for n, m in measures.items()]
     )
@@ -157,23 +150,20 @@ def reflected_walk(
     )
     base = F.coalesce(F.col("_base"), zero)
     floor = F.least(zero, F.coalesce(F.col("_floor"), zero), base + F.col("_low"))
-    return local.join(carried, by, "left").select(*df.columns, (base + F.col("_c") - floor).alias(name))
+    return join_groups(local, carried, by, "left").select(*df.columns, (base + F.col("_c") - floor).alias(name))
 
 
 def first_occurrence(
-    df: DataFrame, keys: list[str], name: str, ts: str = "ingest_ms", seq: str = "seq", hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], name: str, ts: str = "ingest_ms", seq: str = "seq"
 ) -> DataFrame:
-    """Flags the earliest row of every distinct ``keys`` value.
+    """Flags the earliest row of every distinct ``keys`` value, nulls included.
 
-    Small inputs number the rows of a key; large ones combine the minimum before the shuffle and join it back.
+    The minimum is combined before the shuffle and joined back, so a value of very many rows stays on many tasks.
     """
-    if input_bytes(df) <= hot_rows:
-        order = Window.partitionBy(*keys).orderBy(ts, seq)
-        return df.withColumn(name, F.row_number().over(order) == 1)
     first = df.groupBy(*keys).agg(F.min(F.struct(ts, seq)).alias("_first"))
     first = first.select(*keys, F.col(f"_first.{ts}").alias(ts), F.col(f"_first.{seq}").alias(seq), F.lit(True).alias(name))
     on = list(dict.fromkeys([*keys, ts, seq]))
-    return df.join(first, on, "left").select(*df.columns, F.coalesce(F.col(name), F.lit(False)).alias(name))
+    return join_groups(df, first, on, "left").select(*df.columns, F.coalesce(F.col(name), F.lit(False)).alias(name))
 
 
 def running_distinct(
@@ -181,6 +171,6 @@ def running_distinct(
     seq: str = "seq", hot_rows: int = HOT_ROWS, **kw,
 ) -> DataFrame:
     """Distinct ``member`` values seen so far per key."""
-    flagged = first_occurrence(df, [*keys, member], "_is_new", ts, seq, hot_rows)
+    flagged = first_occurrence(df, [*keys, member], "_is_new", ts, seq)
     spec = ("sum", F.col("_is_new").cast("long")) + (("before",) if before else ())
     return running(flagged, keys, {name: spec}, ts, seq, hot_rows=hot_rows, **kw).select(*df.columns, name)

@@ -10,16 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import count_below
-from riskloom.operators.prefix import input_bytes
+from riskloom.functions.joins import join_groups
 
 AUTO = 0
-STRETCH_BYTES = 256 * 1024 * 1024
-MOST_PARTS = 1024
+#: Distinct values that one task scans.
+STRETCH_VALUES = 2_000_000
 
 
-def stretches(df: DataFrame) -> int:
-    """Stretches for an input: one per 256 MB of its tables."""
-    return int(min(MOST_PARTS, max(1, input_bytes(df) // STRETCH_BYTES)))
+def stretches(counts: DataFrame) -> int:
+    """Stretches for a table of one row per distinct value; the values are counted."""
+    return 1 + counts.count() // STRETCH_VALUES
 
 
 def stretch_of(frame: DataFrame, at: str, cuts: Column, parts: int, name: str = "_part") -> DataFrame:
@@ -50,7 +50,7 @@ def value_prefix(
     totals = base.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(*by, "_part", *[F.sum(f"_t_{c}").over(earlier).alias(f"_o_{c}") for c in sums])
-    joined = local.join(carried, [*by, "_part"], "left")
+    joined = join_groups(local, carried, [*by, "_part"], "left")
     zero = F.lit(0)
     return joined.select(
         *counts.columns,
@@ -63,7 +63,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     placed = value_prefix(counts, by, value, ["_n"], parts=parts)
     if by:
-        placed = placed.join(counts.groupBy(*by).agg(F.sum("_n").alias("_size")), by)
+        placed = join_groups(placed, counts.groupBy(*by).agg(F.sum("_n").alias("_size")), by)
     else:
         placed = placed.withColumn("_size", counts.agg(F.sum("_n")).scalar())
     wanted = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(float(q)).alias("q")) for i, q in enumerate(probs)])

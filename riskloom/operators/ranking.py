@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from riskloom import constants as K
 from riskloom.functions import columns as C
+from riskloom.functions.joins import join_groups
 from riskloom.operators.fold import sorted_runs
 from riskloom.operators.prefix import running
 from riskloom.operators.ranked import AUTO, value_prefix
@@ -34,7 +35,7 @@ def score_counts(df: DataFrame, by: list[str], score: str = "score", label: str
     )
     placed = value_prefix(counts, by, "score", ["pos", "neg"], descending=True, parts=parts)
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return placed.join(totals, by).withColumns({"tp": F.col("before_pos") + F.col("pos"), "fp": F.col("before_neg") + F.col("neg")})
+    return join_groups(placed, totals, by).withColumns({"tp": F.col("before_pos") + F.col("pos"), "fp": F.col("before_neg") + F.col("neg")})
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -96,7 +97,8 @@ def average_precision(
     rows = df.select(*keys, F.col(score).alias("score"), F.col(label).cast("long").alias("_y"), F.col(ordinal).cast("long").alias("_o"))
     kw.setdefault("chunk_ms", 1_000_000)
     inside = running(rows, [*keys, "score"], {"_tp": ("sum", F.col("_y")), "_n": ("sum", F.lit(1))}, ts="_o", seq="_o", **kw)
-    hits = inside.filter(F.col("_y") == 1).join(above, [*keys, "score"])
+    hits = inside.filter(F.col("_y") == 1)
+    hits = join_groups(hits, above, [*keys, "score"])
     tp = F.col("before_pos") + F.col("_tp")
     fp = F.col("before_neg") + F.col("_n") - F.col("_tp")
     tpr, fpr = tp / F.col("n_pos"), _share(fp, F.col("n_neg"))
@@ -105,7 +107,7 @@ def average_precision(
     sums = hits.groupBy(*keys).agg(F.sum(tp / (tp + fp)).alias("_ap"), F.sum(tilted).alias("_at"))
     totals = df.groupBy(*keys).agg(F.sum(F.col(label).cast("long")).alias("n_pos"), F.sum((~F.col(label)).cast("long")).alias("n_neg"))
     ok = ~_degenerate()
-    return totals.join(sums, keys, "left").select(
+    return join_groups(totals, sums, keys, "left").select(
         *by, F.when(ok, F.col("_ap") / F.nullif(F.col("n_pos"), F.lit(0))).alias("ap"), F.when(ok, F.col("_at") / F.nullif(F.col("n_pos"), F.lit(0))).alias("ap_at_prevalence")
     )
 
@@ -263,5 +265,5 @@ def focus_bound(hull: DataFrame, by: list[str], prior: float = K.COST_MODEL["pri
     """Right edge of the decision region: 1.5 times the first vertex beyond the cost optimum, else 0.01."""
     hull, keys = _grouped(hull, by)
     best = min_cost_point(cost_curve(hull, {"p": prior}, tier), keys).select(*keys, F.col("fpr").alias("_f"))
-    beyond = hull.join(best, keys).groupBy(*keys).agg(F.min(F.when(F.col("fpr") > F.col("_f"), F.col("fpr"))).alias("_n"))
+    beyond = join_groups(hull, best, keys).groupBy(*keys).agg(F.min(F.when(F.col("fpr") > F.col("_f"), F.col("fpr"))).alias("_n"))
     return beyond.select(*by, F.coalesce(F.col("_n") * 1.5, F.lit(0.01)).alias("fpr_max"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import constants as K
+from riskloom.functions.joins import join_groups
 from riskloom.operators import ranking as R
 from riskloom.operators.ranked import exact_quantiles
 from riskloom.session import materialize
@@ -31,7 +32,9 @@ def _metrics(long: DataFrame, by: list[str], target_fpr: float, prevalence: floa
     )
     recall = R.recall_at_fpr(long, target_fpr, by).select(*by, F.col("value").alias("recall"), "resolvable")
     auc = R.roc_auc(long, by).select(*by, "auc")
-    return size.join(recall, by).join(R.average_precision(long, by, prevalence=prevalence), by).join(auc, by)
+    for part in (recall, R.average_precision(long, by, prevalence=prevalence), auc):
+        size = join_groups(size, part, by)
+    return size
 
 
 def evaluate_all(long: DataFrame, tier: str = "challenge", model: dict = K.COST_MODEL) -> DataFrame:
@@ -41,7 +44,7 @@ def evaluate_all(long: DataFrame, tier: str = "challenge", model: dict = K.COST_
     curve = R.cost_curve(R.roc_convex_hull(long, by), {"pi0": model["prior_steady_state"], "pi1": model["prior_under_attack"]}, tier, model)
     best = R.min_cost_point(curve, [*by, "regime"])
     pick = lambda r: F.max(F.when(F.col("regime") == r, F.col("cost"))).alias(f"min_cost_{r}")
-    return _metrics(long, by, model["target_fpr"], model["eval_prevalence"]).join(best.groupBy(*by).agg(pick("pi0"), pick("pi1")), by)
+    return join_groups(_metrics(long, by, model["target_fpr"], model["eval_prevalence"]), best.groupBy(*by).agg(pick("pi0"), pick("pi1")), by)
 
 
 def tier_breakdown(long: DataFrame, by: list[str] = ["scorer"], **kw) -> DataFrame:
@@ -132,7 +135,7 @@ def detection_headline(incidents: DataFrame, by: list[str] = ["tier"]) -> DataFr
     for column, name in names.items():
         points = exact_quantiles(incidents.select(*by, column), by, column, [0.5, 0.9])
         pick = lambda i: F.max(F.when(F.col("idx") == i, F.col("value")))
-        out = out.join(points.groupBy(*by).agg(pick(0).alias(f"{name}_median"), pick(1).alias(f"{name}_p90")), by, "left")
+        out = join_groups(out, points.groupBy(*by).agg(pick(0).alias(f"{name}_median"), pick(1).alias(f"{name}_p90")), by, "left")
     return out
 
 

@@ -70,18 +70,18 @@ def temporal_split(
 ) -> DataFrame:
     """Cuts at a fraction of the time range, embargoes the band behind the cut and purges straddling episodes.
 
-    Rows keep a ``split`` name; embargoed and purged rows are gone.
+    Rows keep a ``split`` name; embargoed and purged rows are gone. The two ends of the time range are worked out once,
+    here, and the cut is a constant of the plan.
     """
-    low = samples.agg(F.min("ingest_ms")).scalar()
-    high = samples.agg(F.max("ingest_ms")).scalar()
-    placed = samples.withColumn("_cut", low + ((high - low) * F.lit(float(train_fraction))).cast("long"))
-    early = F.col("ingest_ms") <= F.col("_cut")
-    late = F.col("ingest_ms") > F.col("_cut") + embargo_ms
-    sides = placed.filter(F.col("episode_id").isNotNull()).groupBy("episode_id").agg(
+    low, high = samples.agg(F.min("ingest_ms"), F.max("ingest_ms")).first()
+    cut = None if low is None else low + int((high - low) * float(train_fraction))
+    early = F.col("ingest_ms") <= F.lit(cut).cast("long")
+    late = F.col("ingest_ms") > F.lit(cut).cast("long") + embargo_ms
+    sides = samples.filter(F.col("episode_id").isNotNull()).groupBy("episode_id").agg(
         F.bool_or(early).alias("_early"), F.bool_or(~early).alias("_late"), F.bool_or(~early & ~late).alias("_band")
     )
     straddling = sides.filter(F.col("_band") | (F.col("_early") & F.col("_late"))).select(F.col("episode_id").alias("_key"))
-    keyed = placed.filter(early | late).withColumn("_key", _spread(F.col("episode_id"), F.col("ingest_ms")))
+    keyed = samples.filter(early | late).withColumn("_key", _spread(F.col("episode_id"), F.col("ingest_ms")))
     kept = keyed.join(straddling, "_key", "left_anti")
     return kept.select(*samples.columns, F.when(early, names[0]).otherwise(names[1]).alias("split"))
 

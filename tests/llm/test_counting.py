@@ -82,6 +82,7 @@ def test_units_forgotten_in_between(monkeypatch):
     from riskloom.llm import byte_bpe
 
     monkeypatch.setattr(byte_bpe, "KNOWN_UNITS", 2)
+    monkeypatch.setattr(byte_bpe, "KNOWN_WORDS", 2)
     coder = byte_bpe.Texts(byte_bpe._codec("byte_bpe_multi_50k.tiktoken"))
     for t in ["the cat sat on the mat", " lead  two\n\n nl ", "the cat", "it's x y"] * 2:
         ids, back = coder.code([t.encode()])[0]
