@@ -9,8 +9,9 @@ that times s, so TREES independent trees miss a pair of similarity 0.85 about on
 Components need no pair whose ends are linked already. A first pass compares each document only with the smallest id of
 its node in the first tree. The second pass compares, in every node, the documents outside the node's most frequent
 component with all documents; both sides are dealt into blocks, so a node of any size is many bounded tasks and no pair
-is left out. Sketches of all minwise tokens remove hopeless candidates before texts are fetched; a pair at the threshold
-is lost there once in ten million. Links are confirmed on the full sets.
+is left out. Documents are compared by sketches of all minwise tokens first; a pair at the threshold is lost there less
+than once in a million. Groups of documents that promising pairs connect are then compared on their full sets, so a text is
+fetched once per pass however many nodes its document is in.
 """
 
 from __future__ import annotations
@@ -30,12 +31,12 @@ from riskloom.llm.rows import LOWER, Known, map_texts, slices, stored
 SHINGLE, PERCENT = 5, 85
 #: Trees and their shape; documents of a node that is compared as it is; documents of one side of a compared block.
 TREES, BRANCHES, DEPTH, SMALL, BLOCK = 8, 3, 3, 16, 128
-#: Minwise coordinates, and how many must agree before texts are fetched.
-COORDINATES, AGREE = 36, 18
+#: Minwise coordinates that trees branch by, those of a sketch (8 bits of each), and how many must agree.
+COORDINATES, SKETCH, AGREE = 36, 160, 112
 
 _rng = np.random.default_rng(9)
-_MULTIPLY = _rng.integers(0, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
-_FLIP = _rng.integers(0, 1 << 63, COORDINATES, np.uint64)
+_MULTIPLY = _rng.integers(0, 1 << 31, SKETCH, np.uint32) * np.uint32(2) + np.uint32(1)
+_FLIP = _rng.integers(0, 1 << 32, SKETCH, np.uint32)
 _PLACE = _rng.integers(0, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -65,11 +66,10 @@ def shingle_set(known: Known, text: bytes | None) -> np.ndarray:
 
 def minwise(shingles: np.ndarray) -> np.ndarray:
     """The least hash of the set in each coordinate."""
-    least = np.full(COORDINATES, np.uint64(0xFFFFFFFF), np.uint64)
-    for k in range(0, len(shingles), 1 << 14):
-        part = ((shingles[k : k + (1 << 14), None] ^ _FLIP) * _MULTIPLY) >> np.uint64(32)
-        np.minimum(least, part.min(0), out=least)
-    return least.astype(np.uint32).view(np.int32)
+    high, least = (shingles >> np.uint64(32)).astype(np.uint32), np.full(SKETCH, 0xFFFFFFFF, np.uint32)
+    for k in range(0, len(high), 1024):
+        np.minimum(least, ((high[k : k + 1024, None] ^ _FLIP) * _MULTIPLY).min(0), out=least)
+    return least
 
 
 def new_words() -> Known:
@@ -86,18 +86,20 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def signatures(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``id``, ``n_shingles``, ``set_hash`` (128 bits of the whole set), ``mins`` (null for an empty set)."""
+    """``id``, ``n_shingles``, ``set_hash`` (128 bits of the whole set), ``mins`` and ``sketch`` (null for an empty set)."""
 
     def make():
         known = new_words()
 
         def work(texts):
             sets = [shingle_set(known, t) for t in texts]
-            return [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [minwise(s) if len(s) else None for s in sets]
+            least = [minwise(s) if len(s) else None for s in sets]
+            mins = [None if m is None else m[:COORDINATES].view(np.int32) for m in least]
+            return [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], mins, [None if m is None else ((m * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes() for m in least]
 
         return work
 
-    fields = [("n_shingles", T.LongType()), ("set_hash", T.BinaryType()), ("mins", T.ArrayType(T.IntegerType()))]
+    fields = [("n_shingles", T.LongType()), ("set_hash", T.BinaryType()), ("mins", T.ArrayType(T.IntegerType())), ("sketch", T.BinaryType())]
     return map_texts(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), make, fields, carry=["id"], text="text")
 
 
@@ -107,28 +109,25 @@ def _child(tree, level: int, branch: int):
 
 
 def tree_nodes(members: DataFrame, trees: int) -> DataFrame:
-    """``node``, ``id`` and the other columns of ``members`` for every node to be compared; nodes with one component are left out.
+    """``node``, ``id``, ``comp``, ``size``, ``main``, ``of_main`` for every node to be compared; nodes with one component are left out.
 
-    ``members``: ``id``, ``comp``, ``mins``.
+    ``members``: ``id``, ``comp``, ``mins``. Only ids travel with the nodes; minwise tokens are fetched for those that branch.
     """
-    others = [c for c in members.columns]
-    level = members.select(*others, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    level = level.withColumn("node", F.xxhash64("tree", F.element_at("mins", F.col("tree") + 1)))
+    level = members.select("id", "comp", F.posexplode(F.slice("mins", 1, trees)).alias("tree", "token")).select("id", "comp", "tree", F.xxhash64("tree", "token").alias("node"))
     leaves = []
     for depth in range(1, DEPTH + 1):
-        level = stored(level, f"level{depth}")
         sizes = level.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.sum("n").alias("size"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("of_main"))
-        level = level.join(sizes.filter("size > of_main"), "node")
+        level = stored(level.join(sizes.filter("size > of_main"), "node"), f"level{depth}")
         big = F.col("size") > SMALL
-        leaves.append(level if depth == DEPTH else level.filter(~big))
+        leaves.append((level if depth == DEPTH else level.filter(~big)).drop("tree"))
         if depth < DEPTH:
             steps = F.array(*(_child(F.col("tree"), depth, b) for b in range(BRANCHES)))
-            level = level.filter(big).drop("size", "main", "of_main").withColumn("c", F.explode(steps))
-            level = level.withColumn("node", F.xxhash64("node", "c", F.element_at("mins", F.col("c") + 1))).drop("c")
+            parted = level.filter(big).select("node", "id", "comp", "tree").join(members.select("id", "mins"), "id").withColumn("c", F.explode(steps))
+            level = parted.select("id", "comp", "tree", F.xxhash64("node", "c", F.element_at("mins", F.col("c") + 1)).alias("node"))
     out = leaves[0]
     for more in leaves[1:]:
         out = out.unionByName(more)
-    return out.drop("tree")
+    return out
 
 
 def cells(nodes: DataFrame) -> DataFrame:
@@ -157,84 +156,96 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list
         yield held
 
 
-def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of cells that have a partner by sketch in another component."""
+def _near(sketches: np.ndarray, k: int) -> np.ndarray:
+    return np.flatnonzero((sketches == sketches[k]).sum(1) >= AGREE)
+
+
+def _sketches(rows: list[tuple], at: int) -> np.ndarray:
+    return np.frombuffer(b"".join(r[at] for r in rows), np.uint8).reshape(-1, SKETCH)
+
+
+class _Forest(dict):
+    """Roots of merged sets."""
+
+    def root(self, x):
+        while x in self:
+            x = self[x]
+        return x
+
+    def merge(self, a, b) -> bool:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self[a] = b
+        return a != b
+
+
+def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """(id, id) of promising pairs across components, as many as connect all that such pairs connect in the cell."""
     for rows in _groups(batches):
-        sketches = np.array([r[5] for r in rows], np.int32)
-        comps = np.unique(np.array([str(r[2]) for r in rows]), return_inverse=True)[1]
-        active = np.zeros(len(rows), bool)
-        for k, r in enumerate(rows):
-            if r[3]:
-                near = ((sketches == sketches[k]).sum(1) >= AGREE) & (comps != comps[k])
-                active |= near
-                active[k] |= near.any()
-        if active.any():
-            kept = [r for r, a in zip(rows, active, strict=True) if a]
-            yield kept
+        sketches, forest = _sketches(rows, 4), _Forest()
+        found = [(rows[k][1], rows[j][1]) for k in range(len(rows)) if rows[k][3] for j in _near(sketches, k) if rows[j][2] != rows[k][2] and forest.merge(rows[k][1], rows[j][1])]
+        if found:
+            yield found
 
 
 def _confirmed(percent: int):
+    """(id, id) of similar pairs across components, as many as connect the components that they connect."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         known = new_words()
         for rows in _groups(batches):
-            sets = [shingle_set(known, r[4].encode() if r[4] else b"") for r in rows]
-            parent: dict = {}
-
-            def root(x):
-                while x in parent:
-                    x = parent[x]
-                return x
-
-            found = []
+            sketches, forest, sets, found = _sketches(rows, 4), _Forest(), {}, []
             for k, r in enumerate(rows):
-                if not r[3]:
-                    continue
-                for j, s in enumerate(rows):
-                    if (a := root(r[2])) != (b := root(s[2])) and similar(sets[k], sets[j], percent):
-                        parent[a] = b
-                        found.append((r[1], s[1]))
+                for j in _near(sketches, k) if r[3] else ():
+                    if forest.root(r[2]) == forest.root(rows[j][2]):
+                        continue
+                    for i in {k, j} - sets.keys():
+                        sets[i] = shingle_set(known, rows[i][5].encode())
+                    if similar(sets[k], sets[j], percent) and forest.merge(r[2], rows[j][2]):
+                        found.append((r[1], rows[j][1]))
             if found:
                 yield found
 
     return run
 
 
-def _as_batches(run, names: list[str], picks: list[int]):
-    """An Arrow function from one that yields lists of rows; ids keep the type they came with."""
+def _pairs(run, kind: T.DataType):
+    """An Arrow function from one that yields lists of pairs of ids."""
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types: list[pa.DataType] = []
+    ids = to_arrow_type(kind)
 
-        def seen():
-            for b in batches:
-                types[:] = [f.type for f in b.schema]
-                yield b
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in run(batches):
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, ids), pa.array(b, ids)], ["a", "b"])
 
-        for rows in run(seen()):
-            columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[k], types[p]) for k, p in enumerate(picks)], names)
+    return mapped, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
-    return mapped
 
+def promising(dealt: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``a``, ``b``: promising pairs of ``cells``, enough to connect what all of them connect."""
+    rows = dealt.join(sketches, "id").select("cell", "id", "comp", "asks", "sketch")
+    run, schema = _pairs(_promising, dealt.schema["id"].dataType)
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, schema)
 
-def links(docs: DataFrame, asked: DataFrame, *, text: str, doc_id: str, percent: int) -> DataFrame:
-    """``a``, ``b``: links between asking documents and others of their cells; enough of them to connect what is similar.
 
-    ``asked``: ``cell``, ``id``, ``comp``, ``asks``, ``n_shingles``, ``mins``.
-    """
-    kind, comp = asked.schema["id"].dataType, asked.schema["comp"].dataType
-    first = asked.select("cell", "id", "comp", "asks", "n_shingles", "mins").repartition("cell").sortWithinPartitions("cell")
-    schema = T.StructType([T.StructField("cell", T.LongType()), T.StructField("id", kind), T.StructField("comp", comp), T.StructField("asks", T.BooleanType())])
-    active = stored(first.mapInArrow(_as_batches(_promising_rows, schema.names, [0, 1, 2, 3]), schema), "active")
+def links(docs: DataFrame, dealt: DataFrame, sketches: DataFrame, *, text: str, doc_id: str, percent: int) -> DataFrame:
+    """``a``, ``b``: links of ``cells`` confirmed on the full sets, enough to connect what all of them connect."""
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    second = active.join(texts, "id").select("cell", "id", "comp", "asks", "text").repartition("cell").sortWithinPartitions("cell")
-    out = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    return second.mapInArrow(_as_batches(_confirmed(percent), out.names, [1, 1]), out)
+    rows = texts.join(dealt.join(sketches, "id"), "id").select("cell", "id", "comp", "asks", "sketch", "text")
+    run, schema = _pairs(_confirmed(percent), dealt.schema["id"].dataType)
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, schema)
 
 
-def _promising_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    for rows in _promising(batches):
-        yield [r[:4] for r in rows]
+def _asked(groups: DataFrame) -> DataFrame:
+    """Adds ``size``, ``asks`` (not of the group's main component) and ``n_ask``; groups of one component are left out.
+
+    ``groups``: ``node``, ``id``, ``comp``.
+    """
+    sizes = groups.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.sum("n").alias("size"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("of_main"))
+    joined = groups.join(sizes.filter("size > of_main"), "node")
+    return joined.withColumn("asks", F.col("comp") != F.col("main")).withColumn("n_ask", F.col("size") - F.col("of_main")).drop("main", "of_main")
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
@@ -246,25 +257,32 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     texts. Other columns are left out. Intermediate tables are written while the result is built.
     """
     rows = stored(signatures(docs, text=text, doc_id=doc_id), "signatures")
-    classes = rows.filter("n_shingles > 0 and id is not null").groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("mins").alias("mins"))
+    classes = rows.filter("n_shingles > 0 and id is not null").groupBy("set_hash").agg(F.min("id").alias("id"), F.first("mins").alias("mins"), F.first("sketch").alias("sketch"))
     classes = stored(classes, "classes")
-    reps = classes.select(F.col("rep").alias("id"), F.col("rep").alias("comp"), "n_shingles", "mins")
+    sketches = classes.select("id", "sketch").dropDuplicates(["id"])
 
     # Every document with the smallest id of its node in the first tree.
-    node = F.xxhash64(F.lit(0), F.element_at("mins", 1))
-    pivots = reps.groupBy(node.alias("node")).agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    first = reps.withColumn("node", node).join(pivots, "node").withColumn("asks", F.col("id") == F.col("pivot")).withColumn("n_ask", F.lit(1)).drop("pivot")
-    found = stored(links(docs, cells(first), text=text, doc_id=doc_id, percent=percent), "found")
+    reps = classes.select("id", F.xxhash64(F.element_at("mins", 1)).alias("node"), F.col("id").alias("comp"))
+    pivots = reps.groupBy("node").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    first = reps.join(pivots, "node").withColumn("asks", F.col("id") == F.col("pivot")).withColumn("n_ask", F.lit(1)).drop("pivot")
+    close = stored(promising(cells(first), sketches), "close")
+    stars = close.select(F.col("a").alias("id"), F.col("a").alias("node")).distinct().unionByName(close.select(F.col("b").alias("id"), F.col("a").alias("node")))
+    sizes = stars.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
+    stars = stars.join(sizes, "node").withColumn("comp", F.col("id")).withColumn("asks", F.col("id") == F.col("node")).withColumn("n_ask", F.lit(1))
+    found = stored(links(docs, cells(stars), sketches, text=text, doc_id=doc_id, percent=percent), "found")
     known = stored(components(found), "known")
 
     # In every node of every tree, documents outside the main component with all.
-    labelled = reps.drop("comp").join(known.select("id", F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    labelled = classes.select("id", "mins").join(known.select("id", F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    labelled = stored(labelled, "labelled")
     nodes = tree_nodes(labelled, TREES)
     nodes = nodes.withColumn("asks", F.col("comp") != F.col("main")).withColumn("n_ask", F.col("size") - F.col("of_main")).drop("main", "of_main")
-    more = stored(links(docs, cells(nodes), text=text, doc_id=doc_id, percent=percent), "more")
+    close = stored(promising(cells(nodes), sketches), "across")
+    groups = components(close).withColumnRenamed("component", "node").join(labelled.select("id", "comp"), "id")
+    more = stored(links(docs, cells(_asked(stored(groups, "groups"))), sketches, text=text, doc_id=doc_id, percent=percent), "more")
 
     final = components(found.unionByName(more))
-    reached = classes.select("set_hash", "rep").join(final, F.col("rep") == F.col("id"), "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
-    joined = rows.drop("mins").join(reached, "set_hash", "left")
+    reached = classes.select("set_hash", F.col("id").alias("rep")).join(final, F.col("rep") == F.col("id"), "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
+    joined = rows.select("id", "n_shingles", "set_hash").join(reached, "set_hash", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return joined.select(F.col("id").alias(doc_id), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
