@@ -196,14 +196,14 @@ def _weights(spark, sf_dir):
 @query(
     "order_value_quantiles",
     f"""WITH {_ORDERS_SQL}, c AS (SELECT round(order_total, 2) AS t FROM dist),
-    q AS (SELECT quantile_cont(t, list_transform(range(101), lambda i: i / 100)) AS v, CAST(round_even(round(avg(t) * 100, 6), 0) AS BIGINT) AS mean_minor FROM c),
-    r AS (SELECT unnest(range(101)) AS idx, unnest(v) AS v, mean_minor FROM q),
+    q AS (SELECT quantile_cont(t, list_transform(range(1001), lambda i: i / 1000)) AS v, CAST(round_even(round(avg(t) * 100, 6), 0) AS BIGINT) AS mean_minor FROM c),
+    r AS (SELECT unnest(range(1001)) AS idx, unnest(v) AS v, mean_minor FROM q),
     s AS (SELECT CAST(idx AS INTEGER) AS idx, CAST(round_even(round(v * 100, 6), 0) AS BIGINT) AS value_minor, mean_minor FROM r)
     SELECT *, (value_minor * 120000 + mean_minor // 2) // mean_minor AS amount_minor FROM s""",
 )
 def _values(spark, sf_dir):
     orders = _orders(spark, sf_dir).withColumn("order_total", F.round("order_total", 2))
-    return baseline.order_value_quantiles(orders, points=101, store_aov_minor=K.COST_MODEL["aov_minor"])
+    return baseline.order_value_quantiles(orders, points=1001, store_aov_minor=K.COST_MODEL["aov_minor"])
 
 
 # --- CUSUM ------------------------------------------------------------------------------

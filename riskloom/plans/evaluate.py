@@ -198,9 +198,19 @@ roc AS (
 
 @query(
     "roc_points",
-    f"WITH {COARSE_SQL}, {ROC_SQL} SELECT merchant_id, round(fpr, 9) AS fpr, round(tpr, 9) AS tpr, CASE WHEN isinf(threshold) THEN NULL ELSE threshold END AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp FROM roc",
+    f"WITH {ATTEMPTS_SQL}, {_SCORED}, {ROC_SQL} SELECT merchant_id, round(fpr, 9) AS fpr, round(tpr, 9) AS tpr, CASE WHEN isinf(threshold) THEN NULL ELSE threshold END AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp FROM roc",
 )
 def _roc(spark, sf_dir):
+    points = R.roc_points(scored(spark, sf_dir), ["merchant_id"])
+    finite = F.when(F.abs("threshold") != float("inf"), F.col("threshold"))
+    return points.select("merchant_id", F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"), finite.alias("threshold"), "tp", "fp")
+
+
+@query(
+    "roc_points_ties",
+    f"WITH {COARSE_SQL}, {ROC_SQL} SELECT merchant_id, round(fpr, 9) AS fpr, round(tpr, 9) AS tpr, CASE WHEN isinf(threshold) THEN NULL ELSE threshold END AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp FROM roc",
+)
+def _roc_ties(spark, sf_dir):
     points = R.roc_points(coarse(spark, sf_dir), ["merchant_id"])
     finite = F.when(F.abs("threshold") != float("inf"), F.col("threshold"))
     return points.select("merchant_id", F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"), finite.alias("threshold"), "tp", "fp")
@@ -228,13 +238,23 @@ aps AS (SELECT merchant_id, CASE WHEN max(p) > 0 AND max(n) > 0 THEN sum(CASE WH
 """.replace(" AS at FROM", " AS tilted FROM")
 
 
-@query("average_precision", f"WITH {COARSE_SQL}, {AP_SQL} SELECT merchant_id, round(ap, 9) AS ap FROM aps")
+@query("average_precision", f"WITH {ATTEMPTS_SQL}, {_SCORED}, {AP_SQL} SELECT merchant_id, round(ap, 9) AS ap FROM aps")
 def _ap(spark, sf_dir):
+    return R.average_precision(scored(spark, sf_dir), ["merchant_id"]).select("merchant_id", F.round("ap", 9).alias("ap"))
+
+
+@query("average_precision_ties", f"WITH {COARSE_SQL}, {AP_SQL} SELECT merchant_id, round(ap, 9) AS ap FROM aps")
+def _ap_ties(spark, sf_dir):
     return R.average_precision(coarse(spark, sf_dir), ["merchant_id"]).select("merchant_id", F.round("ap", 9).alias("ap"))
 
 
-@query("ap_at_prevalence", f"WITH {COARSE_SQL}, {AP_SQL} SELECT merchant_id, round(tilted, 9) AS ap_at_prevalence FROM aps")
+@query("ap_at_prevalence", f"WITH {ATTEMPTS_SQL}, {_SCORED}, {AP_SQL} SELECT merchant_id, round(tilted, 9) AS ap_at_prevalence FROM aps")
 def _ap_tilted(spark, sf_dir):
+    return R.average_precision(scored(spark, sf_dir), ["merchant_id"]).select("merchant_id", F.round("ap_at_prevalence", 9).alias("ap_at_prevalence"))
+
+
+@query("ap_at_prevalence_ties", f"WITH {COARSE_SQL}, {AP_SQL} SELECT merchant_id, round(tilted, 9) AS ap_at_prevalence FROM aps")
+def _ap_tilted_ties(spark, sf_dir):
     return R.average_precision(coarse(spark, sf_dir), ["merchant_id"]).select("merchant_id", F.round("ap_at_prevalence", 9).alias("ap_at_prevalence"))
 
 
@@ -246,9 +266,17 @@ auc AS (SELECT {by}, count(*) FILTER (label) AS p, count(*) FILTER (NOT label) A
 
 @query(
     "roc_auc",
-    f"WITH {COARSE_SQL}, {AUC_SQL.format(by='merchant_id', src='scored')} SELECT merchant_id, CASE WHEN p > 0 AND n > 0 THEN round((rs - p * (p + 1) / 2) / (CAST(p AS DOUBLE) * n), 9) END AS auc FROM auc",
+    f"WITH {ATTEMPTS_SQL}, {_SCORED}, {AUC_SQL.format(by='merchant_id', src='scored')} SELECT merchant_id, CASE WHEN p > 0 AND n > 0 THEN round((rs - p * (p + 1) / 2) / (CAST(p AS DOUBLE) * n), 9) END AS auc FROM auc",
 )
 def _auc(spark, sf_dir):
+    return R.roc_auc(scored(spark, sf_dir), ["merchant_id"]).select("merchant_id", F.round("auc", 9).alias("auc"))
+
+
+@query(
+    "roc_auc_ties",
+    f"WITH {COARSE_SQL}, {AUC_SQL.format(by='merchant_id', src='scored')} SELECT merchant_id, CASE WHEN p > 0 AND n > 0 THEN round((rs - p * (p + 1) / 2) / (CAST(p AS DOUBLE) * n), 9) END AS auc FROM auc",
+)
+def _auc_ties(spark, sf_dir):
     return R.roc_auc(coarse(spark, sf_dir), ["merchant_id"]).select("merchant_id", F.round("auc", 9).alias("auc"))
 
 
