@@ -7,8 +7,9 @@ Compression names parts of the text in rounds. The first names runs of one word;
 by a bit of their name into left and right ones and names each left-right pair. A name is a hash of what it stands for,
 so all tasks give equal parts equal names without exchanging a dictionary. Which words decide that a symbol stands where
 it does is known exactly, its reach; if the reach lies within a window, every occurrence of that window has the symbol at
-the same place. Each window is represented by the leftmost such symbol of the highest round that has one. Only if that
-symbol occurs again, or there is none, can the window occur again: its words are then compared by a hash of 96 bits.
+the same place. Each window is represented by the one of least name among such symbols of the highest round that has
+one, those of one or two words last. Only if that symbol occurs again, or there is none, can the window occur again: then
+windows with the same symbol are compared by a hash of all their words, 128 bits with the symbol's name.
 
 Two exchanges do this, first of symbols, then of the windows left over. Both are dealt by name in packed rows, and a name
 that repeats inside a slice of texts is sent once, so a passage of a third of all documents is no bottleneck.
@@ -32,12 +33,12 @@ from riskloom.llm.rows import Known, slices
 
 SIZE = 20
 #: Rounds of pairs, and those whose symbols may represent a window.
-ROUNDS, LOWEST = 6, 2
+ROUNDS, LOWEST = 5, 2
 
 _rng = np.random.default_rng(4)
 _SALT = _rng.integers(0, 1 << 63, 64, np.uint64)
 _PLACE = _rng.integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
-_PACKED = [("doc", "<u4"), ("name", "<u8"), ("more", "<u4"), ("start", "<i4"), ("span", "u1")]
+_PACKED = [("doc", "<u4"), ("name", "<u8"), ("more", "<u8"), ("start", "<i4"), ("span", "u1")]
 
 
 class Slice:
@@ -63,16 +64,16 @@ class Slice:
 
 
 def runs(s: Slice) -> tuple[np.ndarray, ...]:
-    """(name, reach from, reach to, wall) after naming the runs of one word."""
+    """(name, reach from, reach to, wall, words) after naming the runs of one word."""
     same = (s.word[1:] == s.word[:-1]) & ~s.wall[1:] & ~s.wall[:-1]
     first = np.flatnonzero(np.append(True, ~same)) if len(s.word) else np.zeros(0, np.int64)
     length = np.diff(np.append(first, len(s.word)))
     name = s.word[first]
     name = np.where(length > 1, mixed(name + length.astype(np.uint64) * _PLACE[0, 0]), name)
-    return name, first - 1, first + length + 1, s.wall[first]
+    return name, first - 1, first + length + 1, s.wall[first], length
 
 
-def pairs(name: np.ndarray, low: np.ndarray, high: np.ndarray, wall: np.ndarray, level: int) -> tuple[np.ndarray, ...]:
+def pairs(name: np.ndarray, low: np.ndarray, high: np.ndarray, wall: np.ndarray, words: np.ndarray, level: int) -> tuple[np.ndarray, ...]:
     """The next round: neighbours of a left and a right symbol get one name."""
     left = ((mixed(name ^ _SALT[level]) & np.uint64(1)) == 1) & ~wall
     right = ~left & ~wall
@@ -80,14 +81,15 @@ def pairs(name: np.ndarray, low: np.ndarray, high: np.ndarray, wall: np.ndarray,
     taken = np.append(False, joined[:-1]) if len(name) else left
     alone_left, alone_right = np.flatnonzero(left & ~joined), np.flatnonzero(right & ~taken)
     at = np.flatnonzero(joined)
-    name, low, high = name.copy(), low.copy(), high.copy()
+    name, low, high, words = name.copy(), low.copy(), high.copy(), words.copy()
     new_high, new_low = high[np.minimum(alone_left + 1, len(high) - 1)], low[np.maximum(alone_right - 1, 0)]
     name[at] = mixed(name[at] * _PLACE[0, 1] + mixed(name[at + 1] ^ _SALT[level + 32]))
     high[at] = high[at + 1]
+    words[at] += words[at + 1]
     high[alone_left] = np.maximum(high[alone_left], new_high)
     low[alone_right] = np.minimum(low[alone_right], new_low)
     keep = ~taken
-    return name[keep], low[keep], high[keep], wall[keep]
+    return name[keep], low[keep], high[keep], wall[keep], words[keep]
 
 
 def representatives(s: Slice, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,17 +100,23 @@ def representatives(s: Slice, size: int) -> tuple[np.ndarray, np.ndarray, np.nda
     left = s.starts(size)
     names, firsts, spans = [], [], []
     for level in range(ROUNDS, LOWEST - 1, -1):
-        name, low, high, _ = levels[level]
+        name, low, high, _, words = levels[level]
         if not len(left) or not len(name):
             break
-        symbol = np.searchsorted(low, left)
-        inside = np.minimum(symbol, len(name) - 1)
-        fits = (symbol < len(name)) & (high[inside] <= left + size)
-        symbol, windows = symbol[fits], left[fits]
-        begins = np.flatnonzero(np.append(True, symbol[1:] != symbol[:-1])) if len(symbol) else np.zeros(0, np.int64)
-        names.append(mixed(name[symbol[begins]] ^ _SALT[level + 16]))
+        named = mixed(name ^ _SALT[level + 16])
+        key = (named >> np.uint64(1)) | ((words <= 2).astype(np.uint64) << np.uint64(63))
+        first, last = np.searchsorted(low, left), np.searchsorted(high, left + size, side="right") - 1
+        fits = first <= last
+        first, last, windows = first[fits], last[fits], left[fits]
+        symbol = first.copy()
+        for k in range(1, int((last - first).max(initial=0)) + 1):
+            other = np.minimum(first + k, last)
+            symbol = np.where(key[other] < key[symbol], other, symbol)
+        cut = (symbol[1:] != symbol[:-1]) | (np.diff(windows) != 1)
+        begins = np.flatnonzero(np.append(True, cut)) if len(symbol) else np.zeros(0, np.int64)
+        names.append(named[symbol[begins]])
         firsts.append(windows[begins])
-        spans.append(windows[np.append(begins[1:], len(windows)) - 1] - windows[begins] + 1 if len(begins) else begins)
+        spans.append(np.diff(np.append(begins, len(windows))))
         left = left[~fits]
     empty = np.zeros(0, np.int64)
     return np.concatenate(names or [empty.astype(np.uint64)]), np.concatenate(firsts or [empty]), np.concatenate(spans or [empty]), left
@@ -126,13 +134,13 @@ def stretches(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_hashes(s: Slice, places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """64 and 32 bits of the words of each window."""
+    """Two hashes of 64 bits of the words of each window."""
     one, two = np.zeros(len(places), np.uint64), np.zeros(len(places), np.uint64)
     for k in range(size):
         w = mixed(s.word[places + k] + _PLACE[1, k % 256])
         one += w * _PLACE[0, k % 256]
         two += (w >> np.uint64(17)) * _PLACE[1, (k + 128) % 256]
-    return mixed(one), (mixed(two) >> np.uint64(32)).astype(np.uint32)
+    return mixed(one), mixed(two)
 
 
 def _order(ids: list) -> np.ndarray:
@@ -142,27 +150,33 @@ def _order(ids: list) -> np.ndarray:
 
 
 def _pack(bucket: int, ids: list, asks: bool, columns: dict[str, np.ndarray]) -> tuple:
+    # Documents and starts as steps from one to the next, mostly 0 and 1, which compress well.
+    columns = {**columns, **{n: np.diff(columns[n].astype(np.int64), prepend=0) for n in ("doc", "start")}}
     return (bucket, ids, asks, *(columns[n].astype(t).tobytes() for n, t in _PACKED))
 
 
+def _unpack(row: dict) -> dict[str, np.ndarray]:
+    columns = {n: np.frombuffer(row[n], t) for n, t in _PACKED}
+    return {**columns, **{n: np.cumsum(columns[n].astype("<i4").astype(np.int64)) for n in ("doc", "start")}}
+
+
 def _deal(ids: list, buckets: int, doc: np.ndarray, name: np.ndarray, more: np.ndarray, start: np.ndarray, span: np.ndarray) -> Iterator[tuple]:
     """A row for each bucket of names."""
     bucket = (name >> np.uint64(7)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((start, doc, bucket))
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     for part in np.split(order, cuts) if len(order) else ():
         docs, index = np.unique(doc[part], return_inverse=True)
         yield _pack(int(bucket[part[0]]), [ids[d] for d in docs], True, {"doc": index, "name": name[part], "more": more[part], "start": start[part], "span": span[part]})
 
 
-def _tell(ids: list, doc: np.ndarray, start: np.ndarray, span: np.ndarray, buckets: int) -> Iterator[tuple]:
+def _tell(ids: list, doc: np.ndarray, name: np.ndarray, start: np.ndarray, span: np.ndarray, buckets: int) -> Iterator[tuple]:
     """Rows of what is already known about the documents; they only pass through the exchange."""
-    order = np.argsort(doc, kind="stable")
+    order = np.lexsort((start, doc))
     for part in np.array_split(order, max(1, len(order) >> 14)) if len(order) else ():
         docs, index = np.unique(doc[part], return_inverse=True)
-        zero = np.zeros(len(part), np.int64)
         place = xxhash.xxh3_64_intdigest(repr((ids[docs[0]], int(start[part[0]]))).encode()) % buckets
-        yield _pack(place, [ids[d] for d in docs], False, {"doc": index, "name": zero, "more": zero, "start": start[part], "span": span[part]})
+        yield _pack(place, [ids[d] for d in docs], False, {"doc": index, "name": name[part], "more": np.zeros(len(part), np.uint64), "start": start[part], "span": span[part]})
 
 
 def _emit(rows: Iterator[tuple], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -205,11 +219,12 @@ def _symbol_rows(known: Known, part: pa.RecordBatch, size: int, buckets: int) ->
     asked[leads] = True
     again = times[index] > 1
     start, length = stretches(left)
+    told = np.concatenate((name[again], np.zeros(len(start), np.uint64)))
     start, length = np.concatenate((first[again], start)), np.concatenate((span[again], length))
     doc = s.document(start)
-    yield from _tell(ids, doc, start - s.begin[doc], length, buckets)
+    yield from _tell(ids, doc, told, start - s.begin[doc], length, buckets)
     doc = s.document(first[asked])
-    yield from _deal(ids, buckets, doc, name[asked], np.zeros(int(asked.sum()), np.uint32), first[asked] - s.begin[doc], span[asked])
+    yield from _deal(ids, buckets, doc, name[asked], np.zeros(int(asked.sum()), np.uint64), first[asked] - s.begin[doc], span[asked])
 
 
 def _windows(size: int, buckets: int):
@@ -224,29 +239,33 @@ def _windows(size: int, buckets: int):
     return run
 
 
-def _marks(told: list[dict] | None) -> np.ndarray:
-    """The places of all (start, span) told about one document."""
-    start = np.concatenate([np.frombuffer(m["start"], "<i4") for m in told]).astype(np.int64)
-    span = np.concatenate([np.frombuffer(m["span"], "u1") for m in told]).astype(np.int64)
-    return np.unique(np.repeat(start - (np.cumsum(span) - span), span) + np.arange(span.sum()))
+def _marks(told: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all (start, span) told about one document, and the names told with them."""
+    start, span, name = (np.concatenate([np.frombuffer(m[n], t) for m in told]) for n, t in (("start", "<i4"), ("span", "u1"), ("name", "<u8")))
+    span = span.astype(np.int64)
+    places, index = np.unique(np.repeat(start - (np.cumsum(span) - span), span) + np.arange(span.sum()), return_index=True)
+    return places, np.repeat(name, span)[index]
 
 
 def _window_rows(known: Known, part: pa.RecordBatch, size: int, buckets: int) -> Iterator[tuple]:
-    ids, told = part.column("id").to_pylist(), part.column("told").to_pylist()
+    ids, told = part.column("id").to_pylist(), [_marks(t) for t in part.column("told").to_pylist()]
     s = Slice(known, part.column("text").cast(pa.binary()).to_pylist())
-    places = np.concatenate([s.begin[k] + _marks(t) for k, t in enumerate(told)])
+    places, name = np.concatenate([s.begin[k] + t[0] for k, t in enumerate(told)]), np.concatenate([t[1] for t in told])
     doc = s.document(places)
     one, two = window_hashes(s, places, size)
+    name = np.where(name == 0, one, name)
     rank = _order(ids)
-    order = np.lexsort((places, rank[doc], two, one))
-    a, b = one[order], two[order]
+    order = np.lexsort((places, rank[doc], two, name))
+    a, b = name[order], two[order]
     lead = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
     later = np.sort(order[~lead])
-    for d in np.unique(doc[later]):
-        start, span = stretches(np.unique(places[later][doc[later] == d]))
-        yield from _tell(ids, np.full(len(start), d), start - s.begin[d], span, buckets)
+    if len(later):
+        # Neighbours in one document as one stretch; walls keep documents apart.
+        start, span = stretches(np.unique(places[later]))
+        d = s.document(start)
+        yield from _tell(ids, d, np.zeros(len(start), np.uint64), start - s.begin[d], span, buckets)
     first = np.sort(order[lead])
-    yield from _deal(ids, buckets, doc[first], one[first], two[first], places[first] - s.begin[doc[first]], np.ones(len(first), np.uint8))
+    yield from _deal(ids, buckets, doc[first], name[first], two[first], places[first] - s.begin[doc[first]], np.ones(len(first), np.uint8))
 
 
 def _buckets(first_stays: bool):
@@ -270,44 +289,51 @@ def _buckets(first_stays: bool):
 
 def _answers(rows: list[dict], first_stays: bool, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
-    asking = [r for r in rows if r["asks"]]
+    asking = [(r["ids"], _unpack(r)) for r in rows if r["asks"]]
     if asking:
-        name, more, start, doc = (np.concatenate([np.frombuffer(r[n], t) for r in asking]) for n, t in (("name", "<u8"), ("more", "<u4"), ("start", "<i4"), ("doc", "<u4")))
-        n = [len(r["doc"]) // 4 for r in asking]
-        row = np.repeat(np.arange(len(asking)), n)
+        name, more, start, doc = (np.concatenate([c[n] for _, c in asking]) for n in ("name", "more", "start", "doc"))
+        n = [len(c["doc"]) for _, c in asking]
         if first_stays:
-            base = np.cumsum([0, *(len(r["ids"]) for r in asking[:-1])])
-            rank = _order([i for r in asking for i in r["ids"]])[base[row] + doc]
+            base = np.cumsum([0, *(len(ids) for ids, _ in asking[:-1])])
+            rank = _order([i for ids, _ in asking for i in ids])[np.repeat(base, n) + doc]
             order = np.lexsort((start, rank, more, name))
         else:
-            order = np.lexsort((more, name))
+            order = np.argsort(name, kind="stable")
         a, b = name[order], more[order]
         new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
         repeated = np.zeros(len(name), bool)
         repeated[order] = ~new if first_stays else ~new | np.append(~new[1:], False)
-        for r, hit in zip(asking, np.split(repeated, np.cumsum(n)[:-1]), strict=True):
-            out += _by_document(r, hit)
+        for (ids, columns), hit in zip(asking, np.split(repeated, np.cumsum(n)[:-1]), strict=True):
+            out += _by_document(ids, columns, hit, not first_stays)
     for r in rows:
         if not r["asks"]:
-            out += _by_document(r, np.ones(len(r["doc"]) // 4, bool))
+            columns = _unpack(r)
+            out += _by_document(r["ids"], columns, np.ones(len(columns["doc"]), bool), not first_stays)
     for k in range(0, len(out), 4096):
         columns = zip(*out[k : k + 4096], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.binary(), pa.binary()), strict=True)], ["id", "start", "span"])
-
-
-def _by_document(row: dict, hit: np.ndarray) -> Iterator[tuple]:
-    doc, start, span = np.frombuffer(row["doc"], "<u4")[hit], np.frombuffer(row["start"], "<i4")[hit], np.frombuffer(row["span"], "u1")[hit]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.binary(), pa.binary(), pa.binary()), strict=True)], ["id", "start", "span", "name"])
+
+
+def _by_document(ids: list, columns: dict, hit: np.ndarray, named: bool) -> Iterator[tuple]:
+    """(id, starts, spans, names) of the marked places; names are zero where nobody asks for them."""
+    doc, start, span, name = (columns[n][hit] for n in ("doc", "start", "span", "name"))
+    if not named and len(doc):
+        # Neighbours as one stretch, whatever document: a document's places are spread by more than a stretch.
+        apart = doc * (1 << 32) + start
+        places = np.unique(np.repeat(apart - (np.cumsum(span.astype(np.int64)) - span), span) + np.arange(span.sum(dtype=np.int64)))
+        at, span = stretches(places)
+        doc, start, name = at >> 32, at & 0xFFFFFFFF, np.zeros(len(at), np.uint64)
     order = np.argsort(doc, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(doc[order])) + 1) if len(order) else ():
-        yield row["ids"][doc[part[0]]], start[part].tobytes(), span[part].tobytes()
+        yield ids[doc[part[0]]], start[part].astype("<i4").tobytes(), span[part].astype("u1").tobytes(), name[part].astype("<u8").tobytes()
 
 
 def _exchange(rows: DataFrame, ask, first_stays: bool, kind: T.DataType) -> DataFrame:
     """What is told about each document: ``id``, ``told``."""
     packed = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("asks", T.BooleanType()), *(T.StructField(n, T.BinaryType()) for n, _ in _PACKED)])
-    answer = T.StructType([T.StructField("id", kind), T.StructField("start", T.BinaryType()), T.StructField("span", T.BinaryType())])
+    answer = T.StructType([T.StructField("id", kind), T.StructField("start", T.BinaryType()), T.StructField("span", T.BinaryType()), T.StructField("name", T.BinaryType())])
     dealt = rows.mapInArrow(ask, packed).repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_buckets(first_stays), answer).groupBy("id").agg(F.collect_list(F.struct("start", "span")).alias("told"))
+    return dealt.mapInArrow(_buckets(first_stays), answer).groupBy("id").agg(F.collect_list(F.struct("start", "span", "name")).alias("told"))
 
 
 def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = SIZE, keep_text: bool = False) -> DataFrame:
@@ -350,7 +376,7 @@ def _kept(text: bytes | None, told: list[dict] | None, size: int) -> tuple[int,
     if not told:
         return len(words), 0, b" ".join(words)
     edge = np.zeros(len(words) + 1, np.int64)
-    starts = _marks(told)
+    starts, _ = _marks(told)
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + size, -1)
     stays = np.cumsum(edge[:-1]) == 0
