@@ -3,11 +3,11 @@
 A document is the set of its 5-word shingles; documents with equal sets are one class and only the smallest id goes on.
 Every tree starts by putting documents with the same minwise token of one coordinate into a node. Nodes of few documents
 are compared exhaustively. Documents of larger nodes branch: one child for the minwise token of each of BRANCHES further
-coordinates, down to DEPTH. A pair of similarity s survives a level with 1 - (1 - s) ** BRANCHES and a tree with at least
+coordinates, down to DEPTH; a node of which a child would hold more than half is dense and compared as it is. A pair of similarity s survives a level with 1 - (1 - s) ** BRANCHES and a tree with at least
 that times s, so TREES independent trees miss a pair of similarity 0.85 about once in a million.
 
-Components need no pair whose ends are linked already. A first pass compares each document only with the smallest id of
-its node in the first tree. The second pass compares, in every node, the documents outside the node's most frequent
+Components need no pair whose ends are linked already. A first pass compares each document only with the most central of
+its node in the first tree, the one whose minwise tokens most other documents share. The second pass compares, in every node, the documents outside the node's most frequent
 component with all documents; both sides are dealt into blocks, so a node of any size is many bounded tasks and no pair
 is left out. Documents are compared by sketches of all minwise tokens first; a pair at the threshold is lost there less
 than once in a million. Groups of documents that promising pairs connect are then compared on their full sets, so a text is
@@ -33,6 +33,8 @@ SHINGLE, PERCENT = 5, 85
 TREES, BRANCHES, DEPTH, SMALL, BLOCK = 8, 3, 3, 16, 128
 #: Minwise coordinates that trees branch by, those of a sketch (8 bits of each), and how many must agree.
 COORDINATES, SKETCH, AGREE = 36, 160, 112
+#: Coordinates that say how central a document is.
+CENTRAL = 24
 
 _rng = np.random.default_rng(9)
 _MULTIPLY = _rng.integers(0, 1 << 31, SKETCH, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -119,17 +121,30 @@ def tree_nodes(members: DataFrame, trees: int) -> DataFrame:
         sizes = level.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.sum("n").alias("size"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("of_main"))
         level = stored(level.join(sizes.filter("size > of_main"), "node"), f"level{depth}")
         big = F.col("size") > SMALL
-        leaves.append((level if depth == DEPTH else level.filter(~big)).drop("tree"))
-        if depth < DEPTH:
-            steps = F.array(*(_child(F.col("tree"), depth, b) for b in range(BRANCHES)))
-            parted = level.filter(big).select("node", "id", "comp", "tree").join(members.select("id", "mins"), "id").withColumn("c", F.explode(steps))
-            level = parted.select("id", "comp", "tree", F.xxhash64("node", "c", F.element_at("mins", F.col("c") + 1)).alias("node"))
+        if depth == DEPTH:
+            leaves.append(level.drop("tree"))
+            break
+        leaves.append(level.filter(~big).drop("tree"))
+        steps = F.array(*(_child(F.col("tree"), depth, b) for b in range(BRANCHES)))
+        parted = level.filter(big).join(members.select("id", "mins"), "id").withColumn("c", F.explode(steps))
+        parted = parted.select(*level.columns, F.xxhash64("node", "c", F.element_at("mins", F.col("c") + 1)).alias("child"))
+        parted = stored(parted, f"parted{depth}")
+        heavy = parted.groupBy("node", "child").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")).filter("2 * n > size").select("node").distinct()
+        leaves.append(level.join(heavy, "node", "left_semi").select(*leaves[0].columns))
+        level = parted.join(heavy, "node", "left_anti").select("id", "comp", "tree", F.col("child").alias("node"))
     out = leaves[0]
     for more in leaves[1:]:
         out = out.unionByName(more)
     return out
 
 
+def centrality(classes: DataFrame) -> DataFrame:
+    """``id``, ``central``: how often other documents share the document's minwise tokens; documents that share none are left out."""
+    tokens = classes.select("id", F.posexplode(F.slice("mins", 1, CENTRAL)).alias("c", "token")).select("id", F.xxhash64("c", "token").alias("key"))
+    shared = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return tokens.join(shared, "key").groupBy("id").agg(F.sum("n").alias("central"))
+
+
 def cells(nodes: DataFrame) -> DataFrame:
     """Deals each node into cells of at most BLOCK documents to compare (``asks``) with BLOCK documents.
 
@@ -261,9 +276,10 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     classes = stored(classes, "classes")
     sketches = classes.select("id", "sketch").dropDuplicates(["id"])
 
-    # Every document with the smallest id of its node in the first tree.
+    # Every document with the most central of its node in the first tree.
     reps = classes.select("id", F.xxhash64(F.element_at("mins", 1)).alias("node"), F.col("id").alias("comp"))
-    pivots = reps.groupBy("node").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    placed = reps.join(centrality(classes), "id")
+    pivots = placed.groupBy("node").agg(F.min_by("id", F.struct(-F.col("central"), "id")).alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     first = reps.join(pivots, "node").withColumn("asks", F.col("id") == F.col("pivot")).withColumn("n_ask", F.lit(1)).drop("pivot")
     close = stored(promising(cells(first), sketches), "close")
     stars = close.select(F.col("a").alias("id"), F.col("a").alias("node")).distinct().unionByName(close.select(F.col("b").alias("id"), F.col("a").alias("node")))
