@@ -48,8 +48,8 @@ WITH RECURSIVE step(depth, word, pos, nxt, tok, tok2, best) AS (
     ) h ON h.word = s.word
     WHERE s.pos <> h.gone
   ) s LEFT JOIN merges g ON g.l = s.tok AND g.r = s.tok2
-)
-SELECT word, list(tok::INT ORDER BY pos) AS ids FROM step GROUP BY depth, word HAVING max(best) IS NULL ORDER BY word
+), last AS (SELECT word, max(depth) AS depth FROM step GROUP BY word)
+SELECT word, list(tok::INT ORDER BY pos) AS ids FROM step JOIN last USING (word, depth) GROUP BY word ORDER BY word
 """
 
 #: One round over long words. Of the pairs of least rank, read from the left and without overlap, all are contracted up

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -62,7 +63,12 @@ def map_texts(docs: DataFrame, make: Callable, fields: list[tuple[str, T.DataTyp
         work = make()
         for batch in batches:
             for part in slices(batch, "__text"):
-                values = work(part.column("__text").cast(pa.binary()).to_pylist())
+                texts = part.column("__text").cast(pa.binary()).to_pylist()
+                gc.disable()  # work makes no cycles, and the collector would walk its caches again and again
+                try:
+                    values = work(texts)
+                finally:
+                    gc.enable()
                 made = [pa.array(v, k) for v, (_, k) in zip(values, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in carry] + made, [*carry, *(n for n, _ in kinds)])
 
