@@ -27,45 +27,61 @@ def tier_ladder(costs: DataFrame) -> DataFrame:
     return costs.select("merchant_id", "tier", (false_alarm / (false_alarm + miss)).alias("theta"))
 
 
+def _column(value) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def _thetas(thetas: dict | Column) -> dict[str, Column]:
+    """Threshold per tier; a map column has null for the tiers that it lacks."""
+    if isinstance(thetas, dict):
+        return {t: _column(v) for t, v in thetas.items()}
+    return {t: F.try_element_at(thetas, F.lit(t)) for t in K.TIERS[1:]}
+
+
 # --- control arm ------------------------------------------------------------------------
-def control_position(merchant: Column, version: Column, block: Column, n: int) -> Column:
+def control_position(merchant: Column, version: Column, block: Column, n: int | Column) -> Column:
     digest = F.sha2(F.concat_ws(":", merchant, version.cast("string"), block.cast("string")), 256)
     return (F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)") % n).cast("long")
 
 
-def control_block_size(fraction: float) -> int:
-    return 0 if fraction <= 0 else max(1, round(1.0 / fraction))
+def control_block_size(fraction: Column) -> Column:
+    """Attempts of a block, 0 where there is no control arm."""
+    return F.when(fraction > 0, F.greatest(F.lit(1), F.bround(1.0 / fraction).cast("long"))).otherwise(F.lit(0)).cast("long")
 
 
-def control_arm(df: DataFrame, eligible: Column, version: Column, fraction: float = K.POLICY["control_fraction"], **kw) -> DataFrame:
+def control_arm(df: DataFrame, eligible: Column, version: Column, fraction: float | Column = K.POLICY["control_fraction"], **kw) -> DataFrame:
     """Adds ``control_arm``: one pseudo-random position in every block of N eligible attempts of a merchant."""
-    n = control_block_size(fraction)
-    if n == 0:
+    if not isinstance(fraction, Column) and fraction <= 0:
         return df.withColumn("control_arm", F.lit(False))
+    size = control_block_size(_column(fraction))
+    n = F.greatest(size, F.lit(1))
     counted = running(df.withColumn("_eligible", eligible), ["merchant_id"], {"_ordinal": ("sum", F.col("_eligible").cast("long"), "before")}, **kw)
     ordinal = F.coalesce("_ordinal", F.lit(0))
-    block = F.floor(ordinal / F.lit(n))
+    block = F.floor(ordinal / n)
     chosen = (ordinal % n) == control_position(F.col("merchant_id"), version, block, n)
-    return counted.withColumn("control_arm", F.col("_eligible") & chosen).drop("_ordinal", "_eligible")
+    return counted.withColumn("control_arm", F.col("_eligible") & chosen & (size > 0)).drop("_ordinal", "_eligible")
 
 
 # --- hysteresis and blast radius --------------------------------------------------------
 def hysteresis(
-    df: DataFrame, thetas: dict[str, float], gap: float = K.POLICY["hysteresis_gap"], **kw
+    df: DataFrame, thetas: dict | Column, gap: float | Column = K.POLICY["hysteresis_gap"], **kw
 ) -> DataFrame:
     """Tier memory per entity: rise at theta, fall only below theta - gap.
 
     Needs ``target`` (rank before hysteresis), ``p``, ``incident_open``, ``at_cap``. The memory is one of
     six tiers, so a stretch of attempts is a map of six values and hot entities are split over tasks.
+    Thresholds and gap may be columns; each row brings the tiers that its own values would hold.
     Adds ``l2_tier`` (rank) and ``advisory``.
     """
-    floors = np.array([np.inf if t not in thetas else thetas[t] - gap for t in K.TIERS])
+    limits = _thetas(thetas)
+    none = F.lit(float("inf"))
+    held = [F.coalesce(F.col("p") >= F.coalesce(limits[t] - gap, none) if t in limits else F.col("p") >= none, F.lit(True)) for t in K.TIERS]
 
     def settle(current, row):
-        target, p, is_open, _ = row
+        target, holds, is_open, _ = row
         if not is_open:
             return np.zeros_like(current)
-        hold = (current > target) & ~(p < floors[current])
+        hold = (current > target) & ((int(holds) >> current) & 1).astype(bool)
         return np.where(hold, current, int(target))
 
     def step(current, row, previous):
@@ -82,14 +98,15 @@ def hysteresis(
         return [np.zeros(len(columns[2]), dtype=np.int32), columns[3].astype(bool)]
 
     fields = [T.StructField("l2_tier", T.IntegerType()), T.StructField("advisory", T.BooleanType())]
-    flags = df.withColumns({"_o": F.col("incident_open").cast("int"), "_a": F.col("at_cap").cast("int")})
+    holds = sum((F.when(h, 1 << rank).otherwise(0) for rank, h in enumerate(held)), F.lit(0))
+    flags = df.withColumns({"_h": holds, "_o": F.col("incident_open").cast("int"), "_a": F.col("at_cap").cast("int")})
     return finite_state_fold(
-        flags, ENTITY, ["target", "p", "_o", "_a"], 0, np.arange(len(K.TIERS)), step, outputs, fields, idle=idle, **kw
-    ).drop("_o", "_a")
+        flags, ENTITY, ["target", "_h", "_o", "_a"], 0, np.arange(len(K.TIERS)), step, outputs, fields, idle=idle, **kw
+    ).drop("_h", "_o", "_a")
 
 
 def policy_resolve(
-    df: DataFrame, thetas: dict[str, float], policy: dict = K.POLICY, confirmed_ceiling: str | None = None, **kw
+    df: DataFrame, thetas: dict | Column, policy: dict = K.POLICY, confirmed_ceiling: str | None = None, **kw
 ) -> DataFrame:
     """Proposed and in-force tier of every attempt.
 
@@ -97,21 +114,24 @@ def policy_resolve(
     ``live_incidents``. Order of rules: ladder, corroboration cap, hysteresis, rule floor, ceiling (an
     operator-confirmed one in the column ``confirmed_ceiling`` wins), blast-radius cap, control arm.
     The cap counts live incidents, which no decision changes, so entities can be resolved independently.
+
+    ``thetas`` is a threshold per tier or a map column; every value of ``policy`` may be a column, so a row can bring
+    the settings of its merchant's pinned version (see ``pinned_version``).
     """
     ladder = F.col("tier_ladder") if "tier_ladder" in df.columns else F.lit("domestic")
     is_open = F.col("incident_id").isNotNull()
-    from_score = C.tier_from_score(F.col("p"), {t: F.lit(v) for t, v in thetas.items()}, ladder)
+    from_score = C.tier_from_score(F.col("p"), _thetas(thetas), ladder)
     target = F.when(~is_open, 0).when(~F.coalesce(F.col("corroborated"), F.lit(False)), F.least(from_score, F.lit(MONITOR))).otherwise(from_score)
     rows = df.withColumns({"target": target, "incident_open": is_open, "at_cap": F.col("live_incidents") >= policy["k_max"]})
     rows = hysteresis(rows, thetas, policy["hysteresis_gap"], **kw)
 
-    ceiling = F.lit(K.TIERS.index(policy["auto_ceiling"]))
+    ceiling = C.tier_rank(_column(policy["auto_ceiling"]))
     if confirmed_ceiling is not None:
         ceiling = F.coalesce(C.tier_rank(F.col(confirmed_ceiling)), ceiling)
     proposed = F.greatest(F.col("l2_tier"), C.tier_rank(F.col("rule_tier")))
     rows = rows.withColumns({"_proposed": proposed, "_ceiling": ceiling})
     rows = rows.withColumns({"_force": F.least("_proposed", "_ceiling"), "requires_confirmation": F.col("_proposed") > F.col("_ceiling")})
-    version = F.col("policy_version") if "policy_version" in df.columns else F.lit(policy["version"])
+    version = F.col("policy_version") if "policy_version" in df.columns else _column(policy["version"])
     rows = control_arm(rows, (F.col("_force") > 0) & ~F.col("advisory"), version, policy["control_fraction"], **kw)
     in_force = F.when(F.col("advisory") | F.col("control_arm"), 0).otherwise(F.col("_force"))
     return rows.select(
