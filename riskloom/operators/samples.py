@@ -180,7 +180,8 @@ def b0_rules_scorer(samples: DataFrame, scored: DataFrame, score: str = "rule_sc
 
 def sanity_scorers(is_attack: Column, identity: list[Column], seed: int = 42) -> dict[str, Column]:
     """Perfect, inverted, constant and seeded random scores; the random one hashes the row's identity."""
-    bits = F.xxhash64(F.lit(seed), *identity).bitwiseAND(F.lit(0xFFFFFFFF))
+    named = F.concat_ws(":", F.lit(str(seed)), *(c.cast("string") for c in identity))
+    bits = F.conv(F.substring(F.sha2(named, 256), 1, 8), 16, 10).cast("double")
     return {
         "perfect": is_attack.cast("double"),
         "inverted": 1.0 - is_attack.cast("double"),

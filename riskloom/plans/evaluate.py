@@ -48,6 +48,8 @@ def scored(spark, sf_dir):
 
 
 _SCORED = "scored AS (SELECT score, is_attack AS label, seq AS ordinal, merchant_id, user_id, k FROM attempts)"
+# The seeded scorer: 32 bits of a digest of seed and row.
+_RANDOM = "CAST('0x' || substr(sha256('42:' || seq), 1, 8) AS BIGINT) / 4294967295.0e0"
 # Coarse scores with many ties, half of the sample mixed.
 COARSE = "round(score * 8) / 8"
 
@@ -177,11 +179,11 @@ def _b0(spark, sf_dir):
 
 @query(
     "sanity_scorers",
-    f"WITH {ATTEMPTS_SQL} SELECT attempt_uid, CASE WHEN is_attack THEN 1.0e0 ELSE 0.0e0 END AS perfect, CASE WHEN is_attack THEN 0.0e0 ELSE 1.0e0 END AS inverted, 1.0e0 AS always_positive FROM attempts",
+    f"WITH {ATTEMPTS_SQL} SELECT attempt_uid, CASE WHEN is_attack THEN 1.0e0 ELSE 0.0e0 END AS perfect, CASE WHEN is_attack THEN 0.0e0 ELSE 1.0e0 END AS inverted, 1.0e0 AS always_positive, {_RANDOM} AS random FROM attempts",
 )
 def _sanity(spark, sf_dir):
     scorers = S.sanity_scorers(F.col("is_attack"), [F.col("seq")])
-    return attempts(spark, sf_dir).select("attempt_uid", *[scorers[n].alias(n) for n in ("perfect", "inverted", "always_positive")])
+    return attempts(spark, sf_dir).select("attempt_uid", *[scorers[n].alias(n) for n in ("perfect", "inverted", "always_positive", "random")])
 
 
 # --- ranking ----------------------------------------------------------------------------
@@ -539,14 +541,12 @@ mt AS (SELECT {by}, count(*) AS n, count(*) FILTER (label) AS n_positive, round(
 
 
 _ROUNDED = ("prevalence", "recall", "ap", "ap_at_prevalence", "auc")
-_SCORERS_SQL = "(VALUES ('model'), ('coarse'), ('perfect'), ('inverted'), ('always_positive')) v(scorer)"
-_PICK = "CASE scorer WHEN 'model' THEN score WHEN 'coarse' THEN round(score * 8) / 8 WHEN 'perfect' THEN CASE WHEN is_attack THEN 1.0e0 ELSE 0 END WHEN 'inverted' THEN CASE WHEN is_attack THEN 0.0e0 ELSE 1 END ELSE 1.0e0 END"
+_SCORERS_SQL = "(VALUES ('model'), ('coarse'), ('perfect'), ('inverted'), ('always_positive'), ('random')) v(scorer)"
+_PICK = "CASE scorer WHEN 'model' THEN score WHEN 'coarse' THEN round(score * 8) / 8 WHEN 'perfect' THEN CASE WHEN is_attack THEN 1.0e0 ELSE 0 END WHEN 'inverted' THEN CASE WHEN is_attack THEN 0.0e0 ELSE 1 END WHEN 'random' THEN " + _RANDOM + " ELSE 1.0e0 END"
 
 
 def _scorers():
-    sanity = S.sanity_scorers(F.col("is_attack"), [F.col("seq")])
-    sanity.pop("random")
-    return {"model": F.col("score"), "coarse": F.round(F.col("score") * 8) / 8, **sanity}
+    return {"model": F.col("score"), "coarse": F.round(F.col("score") * 8) / 8, **S.sanity_scorers(F.col("is_attack"), [F.col("seq")])}
 
 
 @query(
