@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from riskloom.llm.rows import stored
 
 
+def _fingerprint(links: DataFrame) -> tuple:
+    """Number of links, which are distinct, and two digests that do not depend on their order."""
+    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a"))).first())
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """``id``, ``component`` (the smallest id reached) for every end of a link of ``a``, ``b``.
 
@@ -16,16 +21,16 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     the smallest id, so the rounds needed grow with the logarithm of the longest path.
     """
     links = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    seen = _fingerprint(links)
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("k", "m").alias("m"))
         large = stored(both.join(least, both["a"] == least["k"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
         small = large.join(least, large["a"] == least["k"]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        small = stored(small, "small")
-        done = small.count() == links.count() and small.exceptAll(links).isEmpty()
-        links = small
-        if done:
+        links, before = stored(small, "small"), seen
+        seen = _fingerprint(links)
+        if seen == before:
             break
     else:
         raise RuntimeError("components did not settle")
