@@ -29,8 +29,9 @@ from riskloom.llm.graph import components
 from riskloom.llm.rows import LOWER, Known, map_texts, slices, stored
 
 SHINGLE, PERCENT = 5, 85
-#: Trees and their shape; documents of a node that is compared as it is; documents of one side of a compared block.
-TREES, BRANCHES, DEPTH, SMALL, BLOCK = 8, 3, 3, 16, 128
+#: Trees and their shape; documents of a node that is compared as it is; documents of one side of a block whose texts are compared,
+#: and of one whose sketches are, which are small.
+TREES, BRANCHES, DEPTH, SMALL, BLOCK, SKETCH_BLOCK = 8, 3, 3, 16, 128, 1024
 #: Minwise coordinates that trees branch by, those of a sketch (8 bits of each), and how many must agree.
 COORDINATES, SKETCH, AGREE = 36, 160, 112
 #: Coordinates that say how central a document is.
@@ -145,12 +146,12 @@ def centrality(classes: DataFrame) -> DataFrame:
     return tokens.join(shared, "key").groupBy("id").agg(F.sum("n").alias("central"))
 
 
-def cells(nodes: DataFrame) -> DataFrame:
-    """Deals each node into cells of at most BLOCK documents to compare (``asks``) with BLOCK documents.
+def cells(nodes: DataFrame, block: int) -> DataFrame:
+    """Deals each node into cells of about ``block`` documents to compare (``asks``) with ``block`` documents.
 
     ``nodes``: ``node``, ``asks``, ``size``, ``n_ask`` and what to carry. A cell is named ``cell``.
     """
-    across, down = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil(F.col("n_ask") / BLOCK).cast("int")
+    across, down = F.ceil(F.col("size") / block).cast("int"), F.ceil(F.col("n_ask") / block).cast("int")
     place = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
     member = nodes.withColumn("row", F.explode(F.sequence(F.lit(0), down - 1))).withColumn("column", place("column", across)).withColumn("asks", F.lit(False))
     asking = nodes.filter("asks").withColumn("column", F.explode(F.sequence(F.lit(0), across - 1))).withColumn("row", place("row", down))
@@ -281,11 +282,11 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     placed = reps.join(centrality(classes), "id")
     pivots = placed.groupBy("node").agg(F.min_by("id", F.struct(-F.col("central"), "id")).alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     first = reps.join(pivots, "node").withColumn("asks", F.col("id") == F.col("pivot")).withColumn("n_ask", F.lit(1)).drop("pivot")
-    close = stored(promising(cells(first), sketches), "close")
+    close = stored(promising(cells(first, SKETCH_BLOCK), sketches), "close")
     stars = close.select(F.col("a").alias("id"), F.col("a").alias("node")).distinct().unionByName(close.select(F.col("b").alias("id"), F.col("a").alias("node")))
     sizes = stars.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
     stars = stars.join(sizes, "node").withColumn("comp", F.col("id")).withColumn("asks", F.col("id") == F.col("node")).withColumn("n_ask", F.lit(1))
-    found = stored(links(docs, cells(stars), sketches, text=text, doc_id=doc_id, percent=percent), "found")
+    found = stored(links(docs, cells(stars, BLOCK), sketches, text=text, doc_id=doc_id, percent=percent), "found")
     known = stored(components(found), "known")
 
     # In every node of every tree, documents outside the main component with all.
@@ -293,9 +294,9 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     labelled = stored(labelled, "labelled")
     nodes = tree_nodes(labelled, TREES)
     nodes = nodes.withColumn("asks", F.col("comp") != F.col("main")).withColumn("n_ask", F.col("size") - F.col("of_main")).drop("main", "of_main")
-    close = stored(promising(cells(nodes), sketches), "across")
+    close = stored(promising(cells(nodes, SKETCH_BLOCK), sketches), "across")
     groups = components(close).withColumnRenamed("component", "node").join(labelled.select("id", "comp"), "id")
-    more = stored(links(docs, cells(_asked(stored(groups, "groups"))), sketches, text=text, doc_id=doc_id, percent=percent), "more")
+    more = stored(links(docs, cells(_asked(stored(groups, "groups")), BLOCK), sketches, text=text, doc_id=doc_id, percent=percent), "more")
 
     final = components(found.unionByName(more))
     reached = classes.select("set_hash", F.col("id").alias("rep")).join(final, F.col("rep") == F.col("id"), "left").select("set_hash", F.coalesce("component", "rep").alias("component"))

@@ -121,6 +121,7 @@ def test_near_blocks(spark, monkeypatch):
     from riskloom.llm import near_dedup
 
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "SKETCH_BLOCK", 6)
     monkeypatch.setattr(near_dedup, "SMALL", 3)
     rows = [(k, t) for k, t in enumerate([t for s in (1, 2) for t in variants(s, 50, changes=4)])]
     got = near_dedup.near_duplicates(make(spark, rows)).collect()
