@@ -37,7 +37,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold benchmark passages."""
-    marked = decontaminate(_wrapped(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=["row"])
+    marked = decontaminate(_wrapped(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=["row"], null_ids=True)
     return marked.filter("not contaminated").select("row.*")
 
 

@@ -76,7 +76,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.decontaminate import decontaminate
 
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"]).drop("items")
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"], null_ids=True).drop("items")
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_line_dedup, op4_substring_dedup, op5_quality, op6_byte_bpe, op7_language_id, op8_chat_format, op9_near_dedup, op10_decontaminate)}
