@@ -25,7 +25,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.line_dedup import by_document, fuzzy_lines
 
-    return by_document(fuzzy_lines(table(spark, sf_dir, "documents")))
+    return by_document(fuzzy_lines(table(spark, sf_dir, "documents"), sketches=True))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
