@@ -10,7 +10,7 @@ from riskloom.llm.decontaminate import decontaminate
 from riskloom.llm.exact_dedup import exact_duplicates
 from riskloom.llm.language_id import UNKNOWN, fit, identify
 from riskloom.llm.near_dedup import near_duplicates
-from riskloom.llm.rows import scratch
+from riskloom.llm.rows import scratch, stored
 
 
 def _wrapped(docs: DataFrame) -> DataFrame:
@@ -25,14 +25,20 @@ def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts."""
-    return exact_duplicates(_wrapped(docs), carry=["row"]).filter("kept").select("row.*")
+    """Keeps one row of each group of equal texts, also of repeated rows and of rows without an id."""
+    kept = exact_duplicates(_wrapped(docs), carry=["row"]).filter("kept")
+    return kept.groupBy("text_sha256").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row")).select("row.*")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
-    stays = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__stays")).distinct()
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["__stays"]), "left_semi")
+    """Keeps one row of each group of near duplicates: the one with the smallest id, null last.
+
+    Rows are numbered in that order, so that repeated ids and rows without an id are documents of their own.
+    """
+    ordered = _wrapped(docs).orderBy(F.col("doc_id").asc_nulls_last(), "text")
+    keyed = stored(ordered.select("row", F.col("text"), F.monotonically_increasing_id().alias("__key")), "keyed")
+    stays = near_duplicates(keyed, doc_id="__key").filter("kept").select("__key")
+    return keyed.join(stays, "__key", "left_semi").select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
