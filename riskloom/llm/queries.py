@@ -79,7 +79,47 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"], null_ids=True).drop("items")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_line_dedup, op4_substring_dedup, op5_quality, op6_byte_bpe, op7_language_id, op8_chat_format, op9_near_dedup, op10_decontaminate)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.lexical_search import rank_documents
+
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Every so many-th id is a query.
+QUERY_STEP = 20
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.nearest import build_index, search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(build_index(vectors), vectors.filter(F.col("vec_id") % QUERY_STEP == 0))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_exact_dedup,
+        op3_line_dedup,
+        op4_substring_dedup,
+        op5_quality,
+        op6_byte_bpe,
+        op7_language_id,
+        op8_chat_format,
+        op9_near_dedup,
+        op10_decontaminate,
+        op11_whitening,
+        op12_lexical_search,
+        op13_nearest,
+    )
+}
 
 EXACT_SQL = r"""
 WITH t AS (
@@ -123,4 +163,22 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_exact_dedup": EXACT_SQL, "op8_chat_format": CHAT_SQL, "op10_decontaminate": CONTAMINATION_SQL}
+LEXICAL_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS nr, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents WHERE text IS NOT NULL
+), s AS (SELECT count(*)::BIGINT AS big_n, sum(len(w))::BIGINT AS big_l FROM d WHERE len(w) > 0),
+tf AS (SELECT nr, doc_id, n, term, count(*) AS tf FROM (SELECT nr, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+b AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), f AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT item_id, term, floor(1000 * ln((2 * big_n + 2) / (2 * df + 1)))::BIGINT AS weight FROM b JOIN f USING (term), s),
+p AS (
+  SELECT item_id, nr, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l))))::BIGINT AS score
+  FROM tf JOIN w USING (term), s GROUP BY ALL HAVING score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM p) WHERE rank <= 50
+"""
+
+ORACLES: dict[str, str] = {"op2_exact_dedup": EXACT_SQL, "op8_chat_format": CHAT_SQL, "op10_decontaminate": CONTAMINATION_SQL, "op12_lexical_search": LEXICAL_SQL}
