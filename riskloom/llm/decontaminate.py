@@ -84,20 +84,17 @@ def decontaminate(
     window: int = WINDOW,
     share: int = SHARE,
     block_windows: int = BLOCK_WINDOWS,
-    null_ids: bool = False,
 ) -> DataFrame:
     """Marks documents that hold windows of benchmark items.
 
     Adds to the ``carry`` columns (all by default) of every row: ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``,
     ``contaminated``, and ``items``, the ids of the items found as sorted strings. Words are runs of letters, digits and
     non-ASCII characters, A-Z in lower case. Null and empty texts have no words and no hits. Items that are null or have
-    no words never occur. With ``null_ids``, as the registered query and the pipeline have it, items with a null id are
-    searched like any other and only give no name; by default they are left out. Repeated items and documents are judged
-    row by row. Without items nothing is hit.
+    no words never occur. Items with a null id are searched like any other and only give no name. Repeated items and
+    documents are judged row by row. Without items nothing is hit.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).filter("text is not null")
-    items = items if null_ids else items.filter("item is not null")
     n_bytes = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     passes = 1 + n_bytes // (4 * block_windows)  # a window starts at a word, and words with their separator take 2 bytes or more
     carry = docs.columns if carry is None else carry

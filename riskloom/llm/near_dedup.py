@@ -3,8 +3,9 @@
 A document is the set of its 5-word shingles; documents with equal sets are one class and only the smallest id goes on.
 Every tree starts by putting documents with the same minwise token of one coordinate into a node. Nodes of few documents
 are compared exhaustively. Documents of larger nodes branch: one child for the minwise token of each of BRANCHES further
-coordinates, down to DEPTH; a node of which a child would hold more than half is dense and compared as it is. A pair of similarity s survives a level with 1 - (1 - s) ** BRANCHES and a tree with at least
-that times s, so TREES independent trees miss a pair of similarity 0.85 about once in a million.
+coordinates, down to DEPTH; a node of which a child would hold more than half is dense and compared as it is. A pair of
+similarity s survives a level with 1 - (1 - s) ** BRANCHES and a tree with at least s times that for every level; there are
+as many independent trees as miss a pair at the threshold about once in a million.
 
 Components need no pair whose ends are linked already. A first pass compares each document only with the most central of
 its node in the first tree, the one whose minwise tokens most other documents share. The second pass compares, in every node, the documents outside the node's most frequent
@@ -16,6 +17,7 @@ fetched once per pass however many nodes its document is in.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +31,13 @@ from riskloom.llm.graph import components
 from riskloom.llm.rows import LOWER, Known, map_texts, slices, stored
 
 SHINGLE, PERCENT = 5, 85
-#: Trees and their shape; documents of a node that is compared as it is; documents of one side of a block whose texts are compared,
+#: Shape of the trees; documents of a node that is compared as it is; documents of one side of a block whose texts are compared,
 #: and of one whose sketches are, which are small.
-TREES, BRANCHES, DEPTH, SMALL, BLOCK, SKETCH_BLOCK = 8, 3, 3, 16, 128, 1024
-#: Minwise coordinates that trees branch by, those of a sketch (8 bits of each), and how many must agree.
-COORDINATES, SKETCH, AGREE = 36, 160, 112
+BRANCHES, DEPTH, SMALL, BLOCK, SKETCH_BLOCK = 3, 3, 16, 128, 1024
+#: Minwise coordinates that trees branch by, and those of a sketch (8 bits of each).
+COORDINATES, SKETCH = 36, 160
+#: The least threshold that the coordinates are enough for, in percent, and the share of pairs at it that trees may miss.
+LEAST_PERCENT, MISSED = 60, 1e-6
 #: Coordinates that say how central a document is.
 CENTRAL = 24
 
@@ -106,9 +110,21 @@ def signatures(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -
     return map_texts(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), make, fields, carry=["id"], text="text")
 
 
-def _child(tree, level: int, branch: int):
+def trees_for(percent: int) -> int:
+    """Trees that together miss a pair at the threshold no oftener than MISSED."""
+    s = percent / 100
+    return max(1, math.ceil(math.log(MISSED) / math.log1p(-s * (1 - (1 - s) ** BRANCHES) ** DEPTH)))
+
+
+def agreeing(percent: int) -> int:
+    """Coordinates of a sketch that a pair at the threshold shares but about once in ten million: 5.3 deviations below the mean."""
+    p = percent / 100 + (1 - percent / 100) / 256
+    return math.floor(SKETCH * p - 5.3 * math.sqrt(SKETCH * p * (1 - p)))
+
+
+def _child(tree, trees: int, level: int, branch: int):
     """The coordinate by which a tree branches."""
-    return F.lit(TREES) + F.pmod(tree * 5 + F.lit(level * BRANCHES + branch), F.lit(COORDINATES - TREES))
+    return F.lit(trees) + F.pmod(tree * 5 + F.lit(level * BRANCHES + branch), F.lit(COORDINATES - trees))
 
 
 def tree_nodes(members: DataFrame, trees: int) -> DataFrame:
@@ -126,7 +142,7 @@ def tree_nodes(members: DataFrame, trees: int) -> DataFrame:
             leaves.append(level.drop("tree"))
             break
         leaves.append(level.filter(~big).drop("tree"))
-        steps = F.array(*(_child(F.col("tree"), depth, b) for b in range(BRANCHES)))
+        steps = F.array(*(_child(F.col("tree"), trees, depth, b) for b in range(BRANCHES)))
         parted = level.filter(big).join(members.select("id", "mins"), "id").withColumn("c", F.explode(steps))
         parted = parted.select(*level.columns, F.xxhash64("node", "c", F.element_at("mins", F.col("c") + 1)).alias("child"))
         parted = stored(parted, f"parted{depth}")
@@ -172,8 +188,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list
         yield held
 
 
-def _near(sketches: np.ndarray, k: int) -> np.ndarray:
-    return np.flatnonzero((sketches == sketches[k]).sum(1) >= AGREE)
+def _near(sketches: np.ndarray, k: int, agree: int) -> np.ndarray:
+    return np.flatnonzero((sketches == sketches[k]).sum(1) >= agree)
 
 
 def _sketches(rows: list[tuple], at: int) -> np.ndarray:
@@ -195,24 +211,31 @@ class _Forest(dict):
         return a != b
 
 
-def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+def _promising(percent: int):
     """(id, id) of promising pairs across components, as many as connect all that such pairs connect in the cell."""
-    for rows in _groups(batches):
-        sketches, forest = _sketches(rows, 4), _Forest()
-        found = [(rows[k][1], rows[j][1]) for k in range(len(rows)) if rows[k][3] for j in _near(sketches, k) if rows[j][2] != rows[k][2] and forest.merge(rows[k][1], rows[j][1])]
-        if found:
-            yield found
+    agree = agreeing(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        for rows in _groups(batches):
+            sketches, forest = _sketches(rows, 4), _Forest()
+            found = [(rows[k][1], rows[j][1]) for k in range(len(rows)) if rows[k][3] for j in _near(sketches, k, agree) if rows[j][2] != rows[k][2] and forest.merge(rows[k][1], rows[j][1])]
+            if found:
+                yield found
+
+    return run
 
 
 def _confirmed(percent: int):
     """(id, id) of similar pairs across components, as many as connect the components that they connect."""
 
+    agree = agreeing(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         known = new_words()
         for rows in _groups(batches):
             sketches, forest, sets, found = _sketches(rows, 4), _Forest(), {}, []
             for k, r in enumerate(rows):
-                for j in _near(sketches, k) if r[3] else ():
+                for j in _near(sketches, k, agree) if r[3] else ():
                     if forest.root(r[2]) == forest.root(rows[j][2]):
                         continue
                     for i in {k, j} - sets.keys():
@@ -239,10 +262,10 @@ def _pairs(run, kind: T.DataType):
     return mapped, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
 
-def promising(dealt: DataFrame, sketches: DataFrame) -> DataFrame:
+def promising(dealt: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """``a``, ``b``: promising pairs of ``cells``, enough to connect what all of them connect."""
     rows = dealt.join(sketches, "id").select("cell", "id", "comp", "asks", "sketch")
-    run, schema = _pairs(_promising, dealt.schema["id"].dataType)
+    run, schema = _pairs(_promising(percent), dealt.schema["id"].dataType)
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, schema)
 
 
@@ -270,8 +293,11 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     Documents with 100 * intersection >= percent * union of their shingle sets are linked; ``component_id`` is the smallest
     id reached, ``kept`` says that it is the document's own. Documents without words (null and empty texts too) are linked
     with nothing. Rows with a null id have a null component and are kept; rows that share an id are one document of several
-    texts. Other columns are left out. Intermediate tables are written while the result is built.
+    texts. Other columns are left out. Intermediate tables are written while the result is built. Thresholds below
+    LEAST_PERCENT are refused.
     """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent: {LEAST_PERCENT} to 100")
     rows = stored(signatures(docs, text=text, doc_id=doc_id), "signatures")
     classes = rows.filter("n_shingles > 0 and id is not null").groupBy("set_hash").agg(F.min("id").alias("id"), F.first("mins").alias("mins"), F.first("sketch").alias("sketch"))
     classes = stored(classes, "classes")
@@ -282,7 +308,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     placed = reps.join(centrality(classes), "id")
     pivots = placed.groupBy("node").agg(F.min_by("id", F.struct(-F.col("central"), "id")).alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     first = reps.join(pivots, "node").withColumn("asks", F.col("id") == F.col("pivot")).withColumn("n_ask", F.lit(1)).drop("pivot")
-    close = stored(promising(cells(first, SKETCH_BLOCK), sketches), "close")
+    close = stored(promising(cells(first, SKETCH_BLOCK), sketches, percent), "close")
     stars = close.select(F.col("a").alias("id"), F.col("a").alias("node")).distinct().unionByName(close.select(F.col("b").alias("id"), F.col("a").alias("node")))
     sizes = stars.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
     stars = stars.join(sizes, "node").withColumn("comp", F.col("id")).withColumn("asks", F.col("id") == F.col("node")).withColumn("n_ask", F.lit(1))
@@ -292,9 +318,9 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     # In every node of every tree, documents outside the main component with all.
     labelled = classes.select("id", "mins").join(known.select("id", F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     labelled = stored(labelled, "labelled")
-    nodes = tree_nodes(labelled, TREES)
+    nodes = tree_nodes(labelled, trees_for(percent))
     nodes = nodes.withColumn("asks", F.col("comp") != F.col("main")).withColumn("n_ask", F.col("size") - F.col("of_main")).drop("main", "of_main")
-    close = stored(promising(cells(nodes, SKETCH_BLOCK), sketches), "across")
+    close = stored(promising(cells(nodes, SKETCH_BLOCK), sketches, percent), "across")
     groups = components(close).withColumnRenamed("component", "node").join(labelled.select("id", "comp"), "id")
     more = stored(links(docs, cells(_asked(stored(groups, "groups")), BLOCK), sketches, text=text, doc_id=doc_id, percent=percent), "more")
 
