@@ -9,8 +9,10 @@ from riskloom.llm.byte_bpe import encode_texts
 from riskloom.llm.decontaminate import decontaminate
 from riskloom.llm.exact_dedup import exact_duplicates
 from riskloom.llm.language_id import UNKNOWN, fit, identify
-from riskloom.llm.near_dedup import near_duplicates
-from riskloom.llm.rows import scratch, stored
+from riskloom.llm.near_dedup import PERCENT, near_duplicates
+from riskloom.llm.rows import row_keys, scratch
+
+KEY = "__key"
 
 
 def _wrapped(docs: DataFrame) -> DataFrame:
@@ -19,31 +21,40 @@ def _wrapped(docs: DataFrame) -> DataFrame:
 
 
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognisable language: null texts and texts without a letter."""
-    marked = identify(_wrapped(docs), fit(docs), carry=["row"])
+    """Drops documents without a recognisable language: null texts and texts without a letter.
+
+    Where no document has a label to learn from, all others stay.
+    """
+    model = fit(docs)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    marked = identify(_wrapped(docs), model, carry=["row"])
     return marked.filter(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 
+def _only(keyed: DataFrame, stays: DataFrame) -> DataFrame:
+    """The rows whose key is in ``stays``."""
+    return keyed.join(stays, KEY, "left_semi").drop(KEY)
+
+
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of equal texts, also of repeated rows and of rows without an id."""
-    kept = exact_duplicates(_wrapped(docs), carry=["row"]).filter("kept")
-    return kept.groupBy("text_sha256").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row")).select("row.*")
+    keyed = row_keys(docs, "doc_id", KEY)
+    return _only(keyed, exact_duplicates(keyed.select(KEY, "text"), doc_id=KEY, carry=[KEY]).filter("kept").select(KEY))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near duplicates: the one with the smallest id, null last.
 
-    Rows are numbered in that order, so that repeated ids and rows without an id are documents of their own.
+    Rows that share an id, or have none, are documents of their own. The threshold is the operator's, 85 of 100.
     """
-    ordered = _wrapped(docs).orderBy(F.col("doc_id").asc_nulls_last(), "text")
-    keyed = stored(ordered.select("row", F.col("text"), F.monotonically_increasing_id().alias("__key")), "keyed")
-    stays = near_duplicates(keyed, doc_id="__key").filter("kept").select("__key")
-    return keyed.join(stays, "__key", "left_semi").select("row.*")
+    keyed = row_keys(docs, "doc_id", KEY)
+    return _only(keyed, near_duplicates(keyed.select(KEY, "text"), doc_id=KEY, percent=PERCENT).filter("kept").select(KEY))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold benchmark passages."""
-    marked = decontaminate(_wrapped(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=["row"], null_ids=True)
+    marked = decontaminate(_wrapped(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=["row"])
     return marked.filter("not contaminated").select("row.*")
 
 
