@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskloom import constants as K
 from riskloom.functions import columns as C
-from riskloom.operators.fold import finite_state_fold
+from riskloom.operators.automaton import pack, state_before
 from riskloom.operators.incidents import ENTITY, action_id, transition_id
 from riskloom.operators.prefix import running
 
@@ -69,7 +67,7 @@ def hysteresis(
     """Tier memory per entity: rise at theta, fall only below theta - gap.
 
     Needs ``target`` (rank before hysteresis), ``p``, ``incident_open``, ``at_cap``. The memory is one of
-    six tiers, so a stretch of attempts is a map of six values and hot entities are split over tasks.
+    six tiers, so an attempt is a map of six values; maps compose on the JVM and hot entities are split over tasks.
     Thresholds and gap may be columns; each row brings the tiers that its own values would hold.
     Adds ``l2_tier`` (rank) and ``advisory``.
     """
@@ -77,32 +75,17 @@ def hysteresis(
     none = F.lit(float("inf"))
     held = [F.coalesce(F.col("p") >= F.coalesce(limits[t] - gap, none) if t in limits else F.col("p") >= none, F.lit(True)) for t in K.TIERS]
 
-    def settle(current, row):
-        target, holds, is_open, _ = row
-        if not is_open:
-            return np.zeros_like(current)
-        hold = (current > target) & ((int(holds) >> current) & 1).astype(bool)
-        return np.where(hold, current, int(target))
-
-    def step(current, row, previous):
-        settled = settle(current, row)
-        return np.where((current == 0) & bool(row[3]), 0, settled)
-
-    def outputs(before, after, row, previous):
-        return int(settle(np.array([before]), row)[0]), bool(row[3]) and before == 0
-
-    def idle(state, columns):
-        """Without an incident and without memory an attempt only reads the cap."""
-        if state != 0 or columns[2].any():
-            return None
-        return [np.zeros(len(columns[2]), dtype=np.int32), columns[3].astype(bool)]
-
-    fields = [T.StructField("l2_tier", T.IntegerType()), T.StructField("advisory", T.BooleanType())]
-    holds = sum((F.when(h, 1 << rank).otherwise(0) for rank, h in enumerate(held)), F.lit(0))
-    flags = df.withColumns({"_h": holds, "_o": F.col("incident_open").cast("int"), "_a": F.col("at_cap").cast("int")})
-    return finite_state_fold(
-        flags, ENTITY, ["target", "_h", "_o", "_a"], 0, np.arange(len(K.TIERS)), step, outputs, fields, idle=idle, **kw
-    ).drop("_h", "_o", "_a")
+    target, is_open, at_cap = F.col("target").cast("int"), F.col("incident_open"), F.coalesce(F.col("at_cap"), F.lit(False))
+
+    def settled(current: int) -> Column:
+        return F.when(~is_open, 0).when((F.lit(current) > target) & held[current], current).otherwise(target)
+
+    after = [F.when(at_cap, 0).otherwise(settled(0)), *(settled(rank) for rank in range(1, len(K.TIERS)))]
+    walked = state_before(df, ENTITY, pack(after), len(K.TIERS), "_before", **kw)
+    tier = F.lit(None).cast("int")
+    for rank in range(len(K.TIERS)):
+        tier = F.when(F.col("_before") == rank, settled(rank)).otherwise(tier)
+    return walked.withColumns({"l2_tier": tier.cast("int"), "advisory": at_cap & (F.col("_before") == 0)}).drop("_before")
 
 
 def policy_resolve(

@@ -34,9 +34,17 @@ def find_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFr
 
 
 def hot_keys(df: DataFrame, key_sets: list[list[str]], hot_rows: int = HOT_ROWS) -> dict:
-    """``find_hot`` for several key sets. Count them on the base table and pass the result as ``hot``, so
-    that a long chain of running aggregates is not evaluated just to count its rows."""
-    return {tuple(keys): find_hot(df, keys, hot_rows) for keys in key_sets}
+    """``find_hot`` for several key sets, in one pass over ``df``. Count them on the base table and pass the result as
+    ``hot``, so that a long chain of running aggregates is not evaluated just to count its rows."""
+    columns = list(dict.fromkeys(c for keys in key_sets for c in keys))
+    sets = F.array(*(F.struct(F.lit(i).alias("_set"), *((F.col(c) if c in keys else F.lit(None).cast(df.schema[c].dataType)).alias(c) for c in columns)) for i, keys in enumerate(key_sets)))
+    counts = df.select(F.explode(sets).alias("_k")).groupBy("_k").agg(F.count(F.lit(1)).alias("_rows"))
+    found = counts.filter(F.col("_rows") > hot_rows).select("_k.*").collect()
+    hot = {}
+    for i, keys in enumerate(key_sets):
+        mine = [tuple(r[c] for c in keys) for r in found if r["_set"] == i]
+        hot[tuple(keys)] = df.sparkSession.createDataFrame(mine, df.select(*keys).schema) if mine else None
+    return hot
 
 
 def _resolve(df: DataFrame, keys: list[str], hot, hot_rows: int) -> DataFrame | None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskloom import constants as K
 from riskloom.functions import columns as C
 from riskloom.operators import detectors, features, incidents as I, policy as P
+from riskloom.operators.prefix import hot_keys
 from riskloom.plans.registry import query
 from riskloom.plans.views import ATTEMPTS_SQL, HOUR, attempts
 from riskloom.plans.windows import RULES_SQL, ruled
@@ -60,8 +61,8 @@ inc AS (
 BASE = f"WITH {ATTEMPTS_SQL}, {EVIDENCE_SQL}"
 
 
-def sessions(spark, sf_dir):
-    return I.incident_sessions(evidence(spark, sf_dir), COOL)
+def sessions(spark, sf_dir, **kw):
+    return I.incident_sessions(evidence(spark, sf_dir), COOL, **kw)
 
 
 def inside(spark, sf_dir):
@@ -228,14 +229,21 @@ def _control(spark, sf_dir):
     return P.control_arm(df, F.col("score") >= 0.1, F.lit(1)).select("attempt_uid", "control_arm")
 
 
-def live_rows(spark, sf_dir):
+def counted(spark, sf_dir):
+    """Options of a chain of running aggregates over ``evidence``, whose hot keys are counted once."""
+    return {"hot": hot_keys(evidence(spark, sf_dir), [["merchant_id"], I.ENTITY])}
+
+
+def live_rows(spark, sf_dir, **kw):
     """Attempts with sessions, corroboration and the merchant's live incident count."""
-    rows = I.corroborated(sessions(spark, sf_dir)).withColumn("p", F.col("score"))
-    return I.live_incident_count(rows, COOL)
+    kw = kw or counted(spark, sf_dir)
+    rows = I.corroborated(sessions(spark, sf_dir, **kw), **kw).withColumn("p", F.col("score"))
+    return I.live_incident_count(rows, COOL, **kw)
 
 
 def resolved(spark, sf_dir):
-    return P.policy_resolve(live_rows(spark, sf_dir), THETAS, POLICY)
+    kw = counted(spark, sf_dir)
+    return P.policy_resolve(live_rows(spark, sf_dir, **kw), THETAS, POLICY, **kw)
 
 
 LIVE_SQL = f"""
