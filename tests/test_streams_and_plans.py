@@ -36,7 +36,7 @@ def test_stream_equals_batch(spark, tmp_path, files):
 
     stats = [Count("n", 8_000), Distinct("d", "card_hash", 20_000), Concentration("hhi", "ent", "bin", 8_000)]
     columns = ["attempt_uid", "n", "d", "hhi", "ent"]
-    got = {r[0]: r[1:] for r in drained(ST.stream_features(source, keys, stats), tmp_path, "w").select(*columns).collect()}
+    got = {r[0]: r[1:] for r in drained(ST.stream_features(source, keys, stats, 0), tmp_path, "w").select(*columns).collect()}
     want = {r[0]: r[1:] for r in add_window_stats(batch, keys, stats).select(*columns).collect()}
     assert got.keys() == want.keys() and all(got[u] == pytest.approx(want[u], abs=1e-9) for u in want)
 
