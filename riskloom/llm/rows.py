@@ -121,17 +121,23 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_keys(docs: DataFrame, doc_id: str, key: str = "__key") -> DataFrame:
-    """``docs`` with a column ``key`` that is different for every row and ordered like the ids, null last.
+def own_ids(docs: DataFrame, doc_id: str) -> bool:
+    """Whether every row has an id of its own; reads only the ids."""
+    shared = docs.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).filter(F.col(doc_id).isNull() | (F.col("n") > 1))
+    return not shared.limit(1).count()
 
-    Where every row has an id of its own, that is the key. Otherwise the rows are stored and numbered by id, then by a
-    128-bit hash of all their columns (maps aside), equal rows in any order.
-    """
-    repeated = docs.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).filter(F.col(doc_id).isNull() | (F.col("n") > 1))
-    if not repeated.limit(1).count():
-        return docs.withColumn(key, F.col(doc_id))
+
+def numbered(docs: DataFrame, doc_id: str, key: str) -> DataFrame:
+    """The stored rows with a ``key`` of their own: numbers in the order of the ids, null last, then of a 128-bit hash of
+    all columns (maps aside); equal rows come in any order."""
     hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     rows = stored(docs.withColumn("__nr", F.monotonically_increasing_id()), "rows")
     order = rows.orderBy(F.col(doc_id).asc_nulls_last(), F.xxhash64(*hashed), F.xxhash64(F.lit(1), *hashed), "__nr").select("__nr")
     numbers = stored(order.withColumn(key, F.monotonically_increasing_id()), "row-keys")
     return stored(rows.join(numbers, "__nr").drop("__nr"), "keyed")
+
+
+def row_keys(docs: DataFrame, doc_id: str, key: str = "__key") -> DataFrame:
+    """``docs`` with a column ``key`` that is different for every row and ordered like the ids, null last: the id itself
+    where every row has its own, or else the rows are ``numbered``."""
+    return docs.withColumn(key, F.col(doc_id)) if own_ids(docs, doc_id) else numbered(docs, doc_id, key)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.llm.near_dedup import mixed
-from riskloom.llm.rows import Known, row_keys, slices
+from riskloom.llm.rows import Known, numbered, own_ids, slices
 
 SIZE = 20
 #: Rounds of pairs, and those whose symbols may represent a window.
@@ -347,28 +347,30 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     if not 4 <= size <= 255:
         raise ValueError("windows have 4 to 255 words")
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = row_keys(docs.select(F.col(doc_id).alias("own"), F.col(text).cast("string").alias("text")), "own", "id")
+    rows, given = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")), "id"
+    if not own_ids(docs, doc_id):
+        rows, given = numbered(rows.withColumnRenamed("id", "own"), "own", "id"), "own"
     kind = rows.schema["id"].dataType
 
     def with_told(told: DataFrame, how: str) -> DataFrame:
-        return rows.join(told.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), how).select("id", "own", "text", "told")
+        return rows.join(told.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of")), how).select("id", *([given] if given != "id" else []), "text", "told")
 
     questions = _exchange(rows.select("id", "text"), _symbols(size, buckets), False, kind)
-    repeats = _exchange(with_told(questions, "inner").drop("own"), _windows(size, buckets), True, kind)
+    repeats = _exchange(with_told(questions, "inner").select("id", "text", "told"), _windows(size, buckets), True, kind)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 out = [_kept(t, told, size) for t, told in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("told").to_pylist(), strict=True)]
                 n, gone, kept = zip(*out, strict=True)
-                columns = [part.column("own"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
+                columns = [part.column(given), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
                 columns += [pa.array([k.decode() for k in kept])] if keep_text else []
                 yield pa.RecordBatch.from_arrays(columns, fields.names)
 
     fields = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     if keep_text:
         fields = fields.add("kept_text", T.StringType())
-    return with_told(repeats, "left").drop("id").mapInArrow(cut, fields)
+    return with_told(repeats, "left").select(given, "text", "told").mapInArrow(cut, fields)
 
 
 def _kept(text: bytes | None, told: list[dict] | None, size: int) -> tuple[int, int, bytes]:
