@@ -25,7 +25,16 @@ def _narrow(spark, sf_dir, *columns):
 
 
 # --- admission --------------------------------------------------------------------------
-@query("token_bucket")
+@query(
+    "token_bucket",
+    f"""WITH RECURSIVE {ATTEMPTS_SQL}, t AS (
+      SELECT attempt_uid, merchant_id, ingest_ms // 100000 AS ms, row_number() OVER (PARTITION BY merchant_id ORDER BY ingest_ms // 100000, seq) AS rn FROM attempts),
+    walk AS (
+      SELECT attempt_uid, merchant_id, ms, rn, CAST(5 AS DOUBLE) AS level FROM t WHERE rn = 1
+      UNION ALL SELECT t.attempt_uid, t.merchant_id, t.ms, t.rn, least(5, round(w.level - CASE WHEN w.level >= 1 THEN 1 ELSE 0 END + (t.ms - w.ms) * 20 / 1000, 6))
+      FROM walk w JOIN t ON t.merchant_id = w.merchant_id AND t.rn = w.rn + 1)
+    SELECT attempt_uid, merchant_id, level >= 1 AS admitted FROM walk""",
+)
 def _tokens(spark, sf_dir):
     # One thousandth of real time, so that a month of events contends for tokens like a busy hour.
     df = _narrow(spark, sf_dir).withColumn("ingest_ms", F.expr("ingest_ms div 100000"))
