@@ -54,6 +54,7 @@ TURNS = [
 
 
 def test_chat(spark):
+    from riskloom.llm import chat_format
     from riskloom.llm.chat_format import digests, expand, format_conversations, read_turns, unescaped, with_strings
 
     rows = spark.createDataFrame([(*r, "c", 1) for r in TURNS], "conv_id long, turn long, role string, text string, formatted string, pos int")
@@ -77,6 +78,12 @@ def test_chat(spark):
     for e in examples:
         assert strings[e.conv_id].startswith(e.example) and e.read == e.target == convs[e.conv_id][e.n_context][1]
         assert e.example.count("<s>") == e.n_context + 1 and e.example.endswith("</s>")
+    # A mask that is off by one character shows in the digests.
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(chat_format, "END", "</s>!")
+        wrong = digests(formatted).collect()
+    right = {r.conv_id: r.loss_sha256 for r in digests(formatted).collect()}
+    assert [r.conv_id for r in wrong if r.loss_sha256 != right[r.conv_id]] == [1]
     assert format_conversations(rows.limit(0)).collect() == [] and digests(format_conversations(rows.limit(0))).collect() == []
 
 
