@@ -72,6 +72,10 @@ def test_long_words_merge_like_short_ones():
     draw = random.Random(3)
     words = ["".join(draw.choice("abeinrst") for _ in range(n)) for n in (300, 700)] + ["a" * 1000, "ab" * 400, "the" * 200]
     codec = byte_bpe._codec("byte_bpe_multi_50k.tiktoken")
+    # No spaces, equal ranks side by side, parts of the vocabulary glued together, and words that only many rounds finish.
+    parts = [t.decode() for t in codec.ranks if t.isalpha() and t.isascii()]
+    words += ["".join(chr(draw.randrange(0x4E00, 0x4E00 + 600)) for _ in range(4000)), "".join(draw.choices(parts[:12], k=300)), "the" * 201 + "a" * 333]
+    words += ["".join(draw.choices(parts, k=n)) for n in (90, 90, 90, 3000)] + ["".join(draw.choices(("in", "the", "er", "tion", "s", "ss", "i"), k=400))]
     assert codec.encode([w.encode() for w in words]) == [tiktoken_encoder().encode_ordinary(w) for w in words]
     with pytest.raises(ValueError):
         codec.decode([[60_000]])
