@@ -28,9 +28,9 @@ from riskloom.llm.rows import Known, map_texts
 #: Words above this many bytes are contracted one statement a round, many pairs at once; bytes of them held at a time (one
 #: longer word is held alone), and which share of the rows a round has to contract for the next one to be alike.
 LONG_WORD, LONG_BYTES, SHARE = 256, 1 << 20, 0.01
-#: Words contracted by one recursive query; units of text and words that a worker remembers, about 100 MB each.
+#: Words contracted by one recursive query; units of text and words that a worker remembers, about 150 to 200 MB each.
 QUERY_WORDS = 40_000
-KNOWN_UNITS, KNOWN_WORDS = 300_000, 500_000
+KNOWN_UNITS, KNOWN_WORDS = 500_000, 800_000
 
 _MERGE = """
 WITH RECURSIVE step(depth, word, pos, nxt, tok, tok2, best) AS (
@@ -105,16 +105,13 @@ _ID = struct.Struct("<I")
 class Codec:
     """Encodes and decodes with the ranks of a vocabulary file; one database for each partition."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], merges: pa.Table, pattern: str):
         import duckdb
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.letter = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": f"{tempfile.gettempdir()}/merges-{uuid.uuid4().hex}"})
-        splits = [(ranks[t[:i]], ranks[t[i:]], m) for t, m in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        left, right, merged = (np.array(x) for x in zip(*splits, strict=True)) if splits else (np.zeros(0, int),) * 3
-        lowered = np.union1d(left[merged < left], right[merged < right])
-        self._load("merges", pa.table({"l": left.astype(np.int32), "r": right.astype(np.int32), "m": merged.astype(np.int64), "plain": ~np.isin(merged, lowered)}))
+        self._load("merges", merges)
         self.longest = max(map(len, ranks))
         self._load("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks.keys(), pa.binary())}))
 
@@ -288,6 +285,7 @@ def _split(piece: str) -> list[str] | None:
 
 #: Of this worker, by vocabulary: tasks that it runs one after another share them.
 _RANKS: dict[str, dict[bytes, int]] = {}
+_MERGES: dict[str, pa.Table] = {}
 _WORDS: dict[str, dict[str, tuple[bytes, bytes]]] = {}
 
 
@@ -300,10 +298,21 @@ def read_ranks(vocabulary: str) -> dict[bytes, int]:
     return _RANKS[vocabulary]
 
 
+def _merges(ranks: dict[bytes, int]) -> pa.Table:
+    """Tokens ``l`` and ``r`` that join to ``m``; ``plain``: no token made of ``m`` and one more has a lower rank."""
+    splits = [(ranks[t[:i]], ranks[t[i:]], m) for t, m in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+    left, right, merged = (np.array(x) for x in zip(*splits, strict=True)) if splits else (np.zeros(0, int),) * 3
+    lowered = np.union1d(left[merged < left], right[merged < right])
+    return pa.table({"l": left.astype(np.int32), "r": right.astype(np.int32), "m": merged.astype(np.int64), "plain": ~np.isin(merged, lowered)})
+
+
 def _codec(vocabulary: str) -> Codec:
     import public_tokenizers
 
-    return Codec(read_ranks(vocabulary), public_tokenizers.PATTERN)
+    ranks = read_ranks(vocabulary)
+    if vocabulary not in _MERGES:
+        _MERGES[vocabulary] = _merges(ranks)
+    return Codec(ranks, _MERGES[vocabulary], public_tokenizers.PATTERN)
 
 
 def encode_texts(docs: DataFrame, *, vocabulary: str = "byte_bpe_multi_50k.tiktoken", text: str = "text", carry: list[str] | None = None, keep_ids: bool = False) -> DataFrame:
