@@ -199,15 +199,17 @@ def edits(a, b):
 
 
 def brute_lines(rows, sims, distance=3, similarity=0.8):
-    lines = [((i is not None, i or 0), i, k, brute_normal(x)) for i, t in rows for k, x in enumerate((t or "").split("\n"))]
-    normals = sorted({x for *_, x in lines if x})
+    named = lambda x: brute_normal(x) or (("\n" + x.strip(" \t\n\v\f\r")) if x.strip(" \t\n\v\f\r") else "")
+    lines = [((i is not None, i or 0), i, k, named(x)) for i, t in rows for k, x in enumerate((t or "").split("\n"))]
+    marks = {x for *_, x in lines if x[:1] == "\n"}
+    normals = sorted({x for *_, x in lines if x} - marks)
     links = []
     for k, a in enumerate(normals):
         for b in normals[:k]:
             most = max(len(a), len(b))
             if bin((sims[a] ^ sims[b]) & (1 << 64) - 1).count("1") <= distance and edits(a, b) <= int(most * (1 - similarity) + 1e-9):
                 links.append((a, b))
-    root = union(links, normals)
+    root = union(links, normals) | {x: x for x in marks}
     first = {}
     for order, i, k, x in sorted(lines, key=lambda v: (v[0], v[2])):
         if x:
@@ -228,7 +230,7 @@ def fuzzy_rows():
                 w[draw.randrange(len(w))] = draw.choice(words)
             lines.append(" ".join(w) + draw.choice(["", ".", f" {draw.randint(10, 99)}"]))
         rows.append((500 + k, "\n".join(lines)))
-    return rows
+    return rows + [(600 + k, f"----\n{' ' * k}|||\t\n \n####{'#' * (k % 3)}") for k in range(5)]
 
 
 def test_lines(spark, hard, none):
@@ -254,6 +256,21 @@ def test_lines(spark, hard, none):
     assert by_document(fuzzy_lines(hard)).count() == len({i for i, _, _ in HARD})
 
 
+def test_lines_as_the_query_has_them(spark, hard, none):
+    """Nulls, repeated ids, ties, marks and an empty table on the registered path."""
+    from riskloom.llm.line_dedup import by_document, fuzzy_lines
+
+    rows = [(1, "----\nthe same line of some words\n\n  ***"), (1, "----"), (None, "the same line, of some words!"), (2, None), (3, ""), (4, "*** \nother text that is alone\n----\n "), (None, "== \n==")]
+    got = sorted((repr(r.doc), r.pos, repr(r.keep_doc), r.keep_pos, r.kept) for r in fuzzy_lines(make(spark, rows), sketches=True).collect())
+    blank = [("1", 2, "1", 2, True), ("2", 0, "2", 0, True), ("3", 0, "3", 0, True), ("4", 3, "4", 3, True)]
+    dashes = [("1", 0, "1", 0, True), ("1", 0, "1", 0, True), ("4", 2, "1", 0, False)]
+    stars = [("1", 3, "1", 3, True), ("4", 0, "1", 3, False)]
+    words = [("None", 0, "None", 0, True), ("1", 1, "None", 0, False), ("4", 1, "4", 1, True)]
+    assert got == sorted([*blank, *dashes, *stars, *words, ("None", 0, "None", 0, True), ("None", 1, "None", 0, False)])
+    assert by_document(fuzzy_lines(none, sketches=True)).collect() == []
+    assert by_document(fuzzy_lines(hard, sketches=True)).count() == len({i for i, _, _ in HARD})
+
+
 def test_simhash_of_long_lines(spark):
     from riskloom.llm.line_dedup import simhash
 
