@@ -10,14 +10,17 @@ from pyspark.sql import types as T
 
 from riskloom import constants as K
 from riskloom.functions.joins import join_groups
-from riskloom.operators.prefix import counted_once, running, running_distinct
+from riskloom.operators.fold import sorted_runs
+from riskloom.operators.prefix import AUTO, HOT_ROWS, _resolve, counted_once, running, running_distinct, split_hot
+from riskloom.session import materialize
 
 
-def _anchor_step(keys: list[str], ts: str, ttl_ms: int):
+def _anchor_step(keys: list[str], ts: str, ttl_ms: int, entered: bool = False):
     """Batch iterator over rows sorted by key and time: the anchor each row counts from.
 
     Groups shorter than the TTL are resolved with array operations; only longer ones hop from anchor to
-    anchor by binary search. The open group is carried over to the next batch.
+    anchor by binary search. The open group is carried over to the next batch. With ``entered``, groups start from the
+    live anchor in ``_in_ms``, ``_in_uid`` and ``_in_rows`` (the rows it has counted), unless ``_in_ms`` is null.
     """
 
     def step(batches):
@@ -41,14 +44,19 @@ def _anchor_step(keys: list[str], ts: str, ttl_ms: int):
             before = before_all - before_all[index]
             long_groups = list(np.flatnonzero(times[ends - 1] - times[starts] >= ttl_ms))
             resumed = carry_key is not None and _key_at(pdf, keys, 0) == carry_key
-            if resumed and 0 not in long_groups:
-                long_groups.insert(0, 0)
-            for g in long_groups:
+            given = {}
+            if entered:
+                firsts = pdf.iloc[starts]
+                for g in np.flatnonzero(firsts["_in_ms"].notna().to_numpy()):
+                    given[int(g)] = tuple(firsts[c].iloc[g] for c in ("_in_ms", "_in_uid", "_in_rows"))
+            if resumed:
+                given[0] = carry
+            for g in sorted({*long_groups, *given}):
                 i, end = int(starts[g]), int(ends[g])
-                held = carry if resumed and g == 0 else None
+                held = given.get(g)
                 while i < end:
                     if held is not None:
-                        start_ms, start_uid, offset = held
+                        start_ms, start_uid, offset = int(held[0]), held[1], int(held[2])
                         held = None
                     else:
                         start_ms, start_uid, offset = times[i], uids[i], 0
@@ -69,14 +77,113 @@ def _key_at(pdf: pd.DataFrame, keys: list[str], row: int) -> tuple:
     return tuple(None if pd.isna(value := pdf[k].iloc[row]) else value for k in keys)
 
 
+def _jumps(by: list[str], ts: str, ttl_ms: int):
+    """Chunks of moments, one to a group, as maps from an expiry to the last anchor of the chunk, in pieces.
+
+    A moment points to the first one ``ttl_ms`` later; the pointers are doubled until they leave the chunk. An expiry
+    carried into the chunk anchors at the first moment at or after it, ``m``. Neighbouring moments with one last anchor are a
+    ``flat`` piece; a run of adjoining milliseconds whose last anchors adjoin too is a sloped one, ``last + (m - from)``.
+    """
+
+    def step(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        times = np.sort(pdf[ts].to_numpy())
+        n = len(times)
+        at = np.arange(n)
+        ahead = np.searchsorted(times, times + ttl_ms, side="left")
+        jump = np.where(ahead < n, ahead, at)
+        while not np.array_equal(doubled := jump[jump], jump):
+            jump = doubled
+        last = times[jump]
+        apart, rise = np.diff(times), np.diff(last)
+        kind = np.where(rise == 0, 0, np.where((apart == 1) & (rise == 1), 1, 2))
+        opens = np.ones(n, dtype=bool)
+        opens[1:] = kind == 2
+        opens[2:] |= (kind[1:] != kind[:-1]) & (kind[:-1] != 2)
+        starts = np.flatnonzero(opens)
+        ends = np.append(starts[1:], n) - 1
+        flat = np.ones(len(starts), dtype=bool)
+        longer = ends > starts
+        flat[longer] = kind[starts[longer]] == 0
+        pieces = {c: [k] * len(starts) for c, k in zip(by, key)}
+        return pd.DataFrame({**pieces, "_from": times[starts], "_to": times[ends], "_last": last[starts], "_flat": flat})
+
+    return step
+
+
+def _entries(keys: list[str], ttl_ms: int):
+    """Batch iterator over pieces sorted by key, chunk and place: the last anchor before each chunk, null if there is none.
+
+    Only one batch of pieces and the anchor are held, however many chunks a key has."""
+
+    def run(batches):
+        anchor, done, chunk = None, False, None
+        for key, part, opens in sorted_runs(batches, keys):
+            if opens:
+                anchor, chunk = None, None
+            numbers = part["_chunk"].to_numpy()
+            cuts = np.flatnonzero(np.diff(numbers)) + 1
+            found = []
+            for i, j in zip([0, *cuts], [*cuts, len(numbers)]):
+                if numbers[i] != chunk:
+                    chunk, done = numbers[i], False
+                    found.append([*key, chunk, anchor])
+                if done:
+                    continue
+                begin, to = part["_from"].to_numpy()[i:j], part["_to"].to_numpy()[i:j]
+                at = 0 if anchor is None else int(np.searchsorted(to, anchor + ttl_ms, side="left"))
+                if at < j - i:
+                    entry = begin[at] if anchor is None else max(int(begin[at]), anchor + ttl_ms)
+                    last = int(part["_last"].iloc[i + at])
+                    anchor, done = last if part["_flat"].iloc[i + at] else last + int(entry - begin[at]), True
+            if found:
+                out = pd.DataFrame(found, columns=[*keys, "_chunk", "_in_ms"])
+                yield out.astype({"_in_ms": "Int64"})
+
+    return run
+
+
+def _entered(moments: DataFrame, keys: list[str], ttl_ms: int, ts: str) -> DataFrame:
+    """Moments of hot keys, cut into chunks, with the live anchor each chunk starts from and the rows it has counted."""
+    by = [*keys, "_chunk"]
+    schema = moments.schema
+    hot = moments.filter("_hot")
+    pieces_schema = T.StructType(
+        [
+            *[schema[c] for c in by], T.StructField("_from", T.LongType()), T.StructField("_to", T.LongType()),
+            T.StructField("_last", T.LongType()), T.StructField("_flat", T.BooleanType()),
+        ]
+    )
+    pieces = hot.select(*by, ts).groupBy(*by).applyInPandas(_jumps(by, ts, ttl_ms), pieces_schema)
+    entry_schema = T.StructType([*[schema[c] for c in by], T.StructField("_in_ms", T.LongType())])
+    entries = pieces.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*by, "_from").mapInPandas(_entries(keys, ttl_ms), entry_schema)
+
+    totals = hot.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(*by, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_base"))
+    entries = join_groups(bases, entries, by)
+    # The anchor's own chunk says how many rows came before it there.
+    anchors = entries.filter("_in_ms is not null").select(*keys, F.col("_in_ms").alias(ts)).distinct().withColumn("_is", F.lit(True))
+    held = join_groups(hot, anchors, [*keys, ts], "left")
+    local = Window.partitionBy(*by).orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("_earlier", F.coalesce(F.sum("_n").over(local), F.lit(0))).filter("_is")
+    held = join_groups(held, bases, by).select(*keys, F.col(ts).alias("_in_ms"), F.col("_uid").alias("_in_uid"), (F.col("_base") + F.col("_earlier")).alias("_at"))
+    entries = join_groups(entries, held, [*keys, "_in_ms"], "left")
+    entries = entries.select(*by, "_in_ms", "_in_uid", (F.col("_base") - F.col("_at")).alias("_in_rows"))
+    return join_groups(moments, entries, by, "left")
+
+
 def anchored_ttl_counter(
-    df: DataFrame, keys: list[str], ttl_ms: int, ts: str = "ingest_ms", seq: str = "seq", uid: str = "attempt_uid"
+    df: DataFrame, keys: list[str], ttl_ms: int, ts: str = "ingest_ms", seq: str = "seq", uid: str = "attempt_uid",
+    chunk_ms: int = K.HOUR_MS, hot_rows: int = HOT_ROWS, hot=AUTO,
 ) -> DataFrame:
     """Counter that expires ``ttl_ms`` after its first row; adds ``anchor_ms``, ``anchor_uid`` and ``ordinal``.
 
     Null is a key like any other. Rows of one key and millisecond are combined before the shuffle, so copies of one key never travel as
-    rows; the ordered pass sees one row per distinct millisecond and keeps no group in memory.
+    rows; the ordered pass sees one row per distinct millisecond. Keys above ``hot_rows`` rows are cut into chunks of ``chunk_ms``, at
+    most one moment a millisecond: a chunk becomes a map from the expiry carried in to the anchor carried out, the maps are
+    chained per key, and all chunks are then counted in parallel from the anchors they start with.
     """
+    found = _resolve(df, keys, hot, hot_rows)
     moments = df.groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("_n"), F.min_by(uid, seq).alias("_uid"))
     fields = [df.schema[k] for k in keys] + [
         df.schema[ts],
@@ -84,13 +191,18 @@ def anchored_ttl_counter(
         T.StructField("anchor_uid", df.schema[uid].dataType),
         T.StructField("_before", T.LongType()),
     ]
+    by = keys
+    if found is not None:
+        by = [*keys, "_chunk"]
+        moments = _entered(split_hot(materialize(moments, "moments"), keys, found, ts, chunk_ms), keys, ttl_ms, ts)
+        fields.insert(len(keys), T.StructField("_chunk", T.LongType()))
     anchored = (
-        moments.repartition(*[F.col(k) for k in keys])
-        .sortWithinPartitions(*keys, ts)
-        .mapInPandas(_anchor_step(keys, ts, ttl_ms), T.StructType(fields))
+        moments.repartition(*[F.col(k) for k in by])
+        .sortWithinPartitions(*by, ts)
+        .mapInPandas(_anchor_step(by, ts, ttl_ms, found is not None), T.StructType(fields))
     )
     peers = Window.partitionBy(*keys, ts).orderBy(seq)
-    joined = join_groups(df, anchored, [*keys, ts])
+    joined = join_groups(df, anchored.drop("_chunk"), [*keys, ts])
     return joined.select(
         *df.columns, "anchor_ms", "anchor_uid", (F.col("_before") + F.row_number().over(peers)).cast("long").alias("ordinal")
     )

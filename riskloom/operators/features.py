@@ -60,9 +60,9 @@ def feature_vector(df: DataFrame, widths: dict = WIDTHS, card_mode: str = "ancho
         "attempt_uid", "merchant_id", "seq", "ingest_ms", "event_id", "ip", "ipua_key", "session_key", "bin",
         "card_hash", "amount_minor", "payload_digest",
     ]
-    hot = hot_keys(df, [["merchant_id", "event_id"]])
+    hot = hot_keys(df, [["merchant_id", "event_id"], ["merchant_id", "card_hash"]])
     # The counters join their input to an aggregate of it, so they come first, while that is only the narrow row.
-    out = card_seen(df.select(*inputs), widths["card_ttl"], card_mode)
+    out = card_seen(df.select(*inputs), widths["card_ttl"], card_mode, hot=hot)
     out = event_id_reuse(out, hot=hot)
     for keys, stats in window_spaces(widths).items():
         out = add_window_stats(out, list(keys), stats)

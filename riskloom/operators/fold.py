@@ -22,15 +22,15 @@ from riskloom.session import materialize
 
 
 def run_bounds(pdf: pd.DataFrame, by: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
-    """Starts, ends and keys of the runs of equal ``by`` values in a sorted batch."""
+    """Starts, ends and keys of the runs of equal ``by`` values in a sorted batch; null equals null."""
     n = len(pdf)
     change = np.zeros(n, dtype=bool)
     change[0] = True
     for k in by:
-        col = pdf[k].to_numpy()
-        change[1:] |= col[1:] != col[:-1]
+        col, null = pdf[k].to_numpy(), pdf[k].isna().to_numpy()
+        change[1:] |= (null[1:] != null[:-1]) | (~null[1:] & (col[1:] != col[:-1]))
     starts = np.flatnonzero(change)
-    keys = list(zip(*[pdf[k].to_numpy()[starts] for k in by]))
+    keys = list(zip(*[[None if pd.isna(v) else v for v in pdf[k].to_numpy()[starts]] for k in by]))
     return starts, np.append(starts[1:], n), keys
 
 
