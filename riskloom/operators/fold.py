@@ -1,10 +1,4 @@
-"""Order-dependent rules with a small state, run as chunk maps instead of one pass per key.
-
-A rule that moves between finitely many states maps start states to end states over any stretch of rows,
-and such maps compose. Pass one reduces every ``(key, chunk)`` to its map, all chunks in parallel; the
-short table of maps is chained per key; pass two replays each chunk from its known start state.
-Rows stream through Arrow batches, so no group is held in memory.
-"""
+"""Ordered passes over sorted batches: rows stream through Arrow batches, so no group is held in memory."""
 
 from __future__ import annotations
 
@@ -16,9 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom import constants as K
-from riskloom.operators.prefix import AUTO, HOT_ROWS, _resolve, split_hot
-from riskloom.session import materialize
 
 
 def run_bounds(pdf: pd.DataFrame, by: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
@@ -68,137 +59,3 @@ def ordered_fold(
     return (
         df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
     )
-
-
-def finite_state_fold(
-    df: DataFrame,
-    keys: list[str],
-    inputs: list[str],
-    start_state: int,
-    states: np.ndarray,
-    step: Callable[[np.ndarray, tuple, tuple | None], np.ndarray],
-    outputs: Callable[[int, int, tuple, tuple | None], tuple],
-    output_schema: list[T.StructField],
-    ts: str = "ingest_ms",
-    seq: str = "seq",
-    chunk_ms: int = K.HOUR_MS,
-    hot_rows: int = HOT_ROWS,
-    hot=AUTO,
-    link: Callable[[int, tuple, tuple], int] | None = None,
-    idle: Callable[[int, list[np.ndarray]], list | None] | None = None,
-) -> DataFrame:
-    """Runs a finite-state rule over each key in ``(ts, seq)`` order and adds ``outputs`` to every row.
-
-    ``step(states, row, previous_row)`` maps an array of current states through one row; rows are tuples of
-    ``inputs``. ``link(state, last_row, first_row)`` moves a state over the boundary between two chunks.
-    ``idle(state, columns)`` may return the output columns of a run that leaves ``state`` as it is.
-    Only keys above ``hot_rows`` are chunked; the others start from ``start_state`` and run in one piece.
-    """
-    by = [*keys, "_chunk"]
-    hot = _resolve(df, keys, hot, hot_rows)
-    named = {f"_i{n}": F.col(c) for n, c in enumerate(inputs)}
-    if hot is None:
-        narrow = df.withColumn("_chunk", F.lit(0).cast("long")).withColumns(named)
-    else:
-        narrow = split_hot(materialize(df, "fold"), keys, hot, ts, chunk_ms).withColumns(named)
-    cols = [f"_i{n}" for n in range(len(inputs))]
-
-    def reduce_chunks(batches):
-        """The chunk map: states that meet are merged, so the work per row shrinks to the distinct states."""
-        pending, current, index, first, last = None, None, None, None, None
-
-        def emit():
-            ends = current[index]
-            return pd.DataFrame(
-                [[*pending, ends.tolist(), [float(x) for x in first], [float(x) for x in last]]],
-                columns=[*by, "_map", "_first", "_last"],
-            )
-
-        for key, part, opens in sorted_runs(batches, by):
-            if opens:
-                if pending is not None:
-                    yield emit()
-                pending, current, index, last, first = key, states.copy(), np.arange(len(states)), None, None
-            for n, row in enumerate(zip(*[part[c].to_numpy() for c in cols])):
-                current = step(current, row, last)
-                first = row if first is None else first
-                last = row
-                if len(current) > 1 and n % 16 == 0:
-                    current, inverse = np.unique(current, return_inverse=True)
-                    index = inverse[index]
-        if pending is not None:
-            yield emit()
-
-    key_fields = [df.schema[k] for k in keys]
-    chunk_field = T.StructField("_chunk", T.LongType())
-    map_schema = T.StructType(
-        [
-            *key_fields, chunk_field,
-            T.StructField("_map", T.ArrayType(T.LongType())),
-            T.StructField("_first", T.ArrayType(T.DoubleType())),
-            T.StructField("_last", T.ArrayType(T.DoubleType())),
-        ]
-    )
-    place = {int(s): i for i, s in enumerate(states)}
-
-    def chain(batches):
-        state, last = start_state, None
-        for key, part, opens in sorted_runs(batches, keys):
-            if opens:
-                state, last = start_state, None
-            starts = []
-            for chunk_map, first, end in zip(part["_map"], part["_first"], part["_last"]):
-                if last is not None and link is not None:
-                    state = link(state, last, first)
-                starts.append(state)
-                state, last = int(chunk_map[place[state]]), end
-            out = part[by].copy()
-            out["_start"] = starts
-            yield out
-
-    start_schema = T.StructType([*key_fields, chunk_field, T.StructField("_start", T.LongType())])
-    if hot is None:
-        started = narrow.withColumn("_start", F.lit(start_state).cast("long"))
-    else:
-        chunks = narrow.filter("_hot").repartition(*[F.col(c) for c in by]).sortWithinPartitions(*by, ts, seq)
-        maps = chunks.mapInPandas(reduce_chunks, map_schema)
-        starts = maps.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*by).mapInPandas(chain, start_schema)
-        started = narrow.join(starts, by, "left").withColumn("_start", F.coalesce("_start", F.lit(start_state).cast("long")))
-
-    columns = df.columns
-
-    def replay(batches):
-        state, last, previous = None, None, None
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                continue
-            arrays = [pdf[c].to_numpy() for c in cols]
-            initial = pdf["_start"].to_numpy()
-            made = [[None] * n for _ in output_schema]
-            for i, j, key in zip(*run_bounds(pdf, by)):
-                if key != previous:
-                    state, last, previous = int(initial[i]), None, key
-                parts = [a[i:j] for a in arrays]
-                still = idle(state, parts) if idle is not None else None
-                if still is not None:
-                    for slot, values in zip(made, still):
-                        slot[i:j] = list(values)
-                    last = tuple(p[-1] for p in parts)
-                    continue
-                for at, row in enumerate(zip(*parts), start=i):
-                    after = int(step(np.array([state]), row, last)[0])
-                    for slot, value in zip(made, outputs(state, after, row, last)):
-                        slot[at] = value
-                    state, last = after, row
-            out = pdf[columns].copy()
-            for field, values in zip(output_schema, made):
-                out[field.name] = values
-            yield out
-
-    return (
-        started.select(*columns, "_chunk", "_start", *cols)
-        .repartition(*[F.col(c) for c in by])
-        .sortWithinPartitions(*by, ts, seq)
-        .mapInPandas(replay, T.StructType([*df.schema.fields, *output_schema]))
-    )
