@@ -28,12 +28,14 @@ def decide(
     cusum: dict = K.CUSUM,
     drift: dict = K.DRIFT,
     ttl_ms: int = K.IDEM_TTL_MS,
+    versions: DataFrame | None = None,
 ) -> DataFrame:
     """One decided row per accepted attempt.
 
     ``score`` adds the calibrated probability ``p`` to the feature rows; without it the rule score stands in
     under the steady-state prior. ``lam`` comes from ``baseline_lambda0``, ``q_hi`` from the learned card
-    quantiles. The regime does not feed back into ``p`` here; ``closed_loop_regime`` covers that loop.
+    quantiles. With ``versions`` (see ``resolve_pinned``) attempts are flagged by the throttle threshold of the version live at their
+    time and resolved by the one their incident pins. The regime does not feed back into ``p`` here; ``closed_loop_regime`` covers that loop.
     The feature table is written once because rows and bucket counts both read it.
     """
     thetas = thetas or C.tier_ladder_values()
@@ -46,6 +48,9 @@ def decide(
     hot = hot_keys(rows, [["merchant_id"], I.ENTITY])
     cooldown = policy["cooldown_s"] * 1000
     flagged = F.col("p") >= thetas["throttle"]
+    if versions is not None:
+        rows, limits, _ = P.version_settings(P.live_version(rows, versions, F.col("ingest_ms"), "_live", hot=hot), versions, thetas, policy, "_live")
+        flagged = F.col("p") >= F.try_element_at(limits, F.lit("throttle"))
     rows = D.sprt_drift(rows, I.ENTITY, "distinct_cards_per_ip_30m", F.lit(float(q_hi)), drift, hot=hot)
     sourced = F.col("entity_type").isin("ip", "ipua")
     rows = rows.withColumns({"drift_fired": F.col("drift_fired") & sourced, "drift_lambda": F.when(sourced, F.col("drift_lambda")).otherwise(0.0)})
@@ -53,7 +58,9 @@ def decide(
     rows = D.entity_history(D.detector_label(rows), I.ENTITY, hot=hot).withColumn("cusum_stat", F.col("s_live"))
     rows = I.corroborated(I.incident_sessions(rows, cooldown, hot=hot), hot=hot)
     rows = I.live_incident_count(rows, cooldown, hot=hot)
-    return P.policy_resolve(rows, thetas, policy, hot=hot)
+    if versions is None:
+        return P.policy_resolve(rows, thetas, policy, hot=hot)
+    return P.resolve_pinned(rows.drop("_live", "_set"), versions, thetas, policy, hot=hot)
 
 
 def score_records(decided: DataFrame, prior: Column | float = K.COST_MODEL["prior_steady_state"]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom import constants as K
 from riskloom.functions import columns as C
+from riskloom.functions.joins import join_groups
 from riskloom.operators.automaton import pack, state_before
 from riskloom.operators.incidents import ENTITY, action_id, transition_id
 from riskloom.operators.prefix import running
@@ -99,7 +100,7 @@ def policy_resolve(
     The cap counts live incidents, which no decision changes, so entities can be resolved independently.
 
     ``thetas`` is a threshold per tier or a map column; every value of ``policy`` may be a column, so a row can bring
-    the settings of its merchant's pinned version (see ``pinned_version``).
+    the settings of its merchant's pinned version (see ``resolve_pinned``).
     """
     ladder = F.col("tier_ladder") if "tier_ladder" in df.columns else F.lit("domestic")
     is_open = F.col("incident_id").isNotNull()
@@ -123,6 +124,45 @@ def policy_resolve(
     )
 
 
+# --- pinned versions --------------------------------------------------------------------
+#: What a version of a merchant's policy sets, and a row falls back on while its merchant has none.
+SETTINGS = ("hysteresis_gap", "k_max", "control_fraction", "auto_ceiling")
+
+
+def live_version(rows: DataFrame, versions: DataFrame, at: Column, name: str = "policy_version", **kw) -> DataFrame:
+    """Adds the merchant's highest version created (``created_ms``) at or before ``at``, null before its first one.
+
+    Versions are placed among the rows in time order and the highest so far is carried on, so there is no range join and a hot
+    merchant's rows stay on many tasks (see ``running``).
+    """
+    marks = versions.select("merchant_id", F.col("created_ms").cast("long").alias("_at"), F.lit(0).alias("_after"), F.col("version").alias("_version"))
+    placed = rows.withColumns({"_at": at.cast("long"), "_after": F.lit(1), "_version": F.lit(None).cast(versions.schema["version"].dataType)})
+    found = running(placed.unionByName(marks, allowMissingColumns=True), ["merchant_id"], {"_live": ("max", F.col("_version"))}, "_at", "_after", **kw)
+    return found.filter("_after = 1").select(*rows.columns, F.col("_live").alias(name))
+
+
+def version_settings(rows: DataFrame, versions: DataFrame, thetas: dict, policy: dict, name: str = "policy_version") -> tuple[DataFrame, Column, dict]:
+    """Joins the settings of each row's version as the struct ``_set``; returns them with the defaults filled in."""
+    settings = versions.select("merchant_id", F.col("version").alias(name), F.struct("thetas", *SETTINGS).alias("_set"))
+    joined = join_groups(rows, settings, ["merchant_id", name], "left")
+    standard = F.create_map(*(F.lit(x) for tier, theta in thetas.items() for x in (tier, float(theta))))
+    chosen = {**policy, **{k: F.coalesce(F.col("_set")[k], F.lit(policy[k])) for k in SETTINGS}}
+    return joined, F.coalesce(F.col("_set.thetas"), standard), chosen
+
+
+def resolve_pinned(df: DataFrame, versions: DataFrame, thetas: dict, policy: dict = K.POLICY, **kw) -> DataFrame:
+    """``policy_resolve`` where an incident keeps the policy version that was live when it opened.
+
+    ``versions`` has ``merchant_id``, ``version`` (rising with time), ``created_ms``, a map ``thetas`` and the columns of ``SETTINGS``.
+    Attempts outside incidents take the version live at their own time. Where none is, ``thetas`` and ``policy`` apply.
+    Adds ``policy_version``.
+    """
+    rows = live_version(df, versions, F.coalesce("opened_at", "ingest_ms"), **kw)
+    rows, limits, chosen = version_settings(rows, versions, thetas, policy)
+    rows = rows.withColumn("policy_version", F.coalesce("policy_version", F.lit(policy["version"])))
+    return policy_resolve(rows, limits, chosen, **kw).drop("_set")
+
+
 # --- transitions and enforcement --------------------------------------------------------
 def tier_transitions(rows: DataFrame, **kw) -> DataFrame:
     """The opening row of each incident and every rise of its proposed tier."""

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from riskloom import constants as K
 from riskloom.functions import columns as C
-from riskloom.operators import detectors, features, incidents as I, policy as P
+from riskloom.operators import detectors, features, incidents as I, policy as P, tables as TB
 from riskloom.operators.prefix import hot_keys
-from riskloom.plans.registry import query
+from riskloom.plans.registry import query, table
 from riskloom.plans.views import ATTEMPTS_SQL, HOUR, attempts
 from riskloom.plans.windows import RULES_SQL, ruled
 from riskloom.session import materialize
@@ -297,6 +297,67 @@ def _resolve(spark, sf_dir):
     )
 
 
+# Customers as policy versions of their nation's merchant, one every two days from its second day on.
+VERSION_SQL = f"""
+starts AS (SELECT merchant_id, min(ingest_ms) AS t0 FROM attempts GROUP BY 1),
+vers AS (
+  SELECT merchant_id, version, t0 + {24 * HOUR} + CAST(version - 1 AS BIGINT) * {48 * HOUR} AS created_ms, 0.02e0 * (c_custkey % 5) AS d, 0.04e0 * (c_custkey % 3) AS gap, 20 + 10 * (c_custkey % 3) AS k_max,
+    CASE c_custkey % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 0 END AS size, CASE c_custkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 5 ELSE 2 END AS ceil
+  FROM (SELECT 'm' || c_nationkey AS merchant_id, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS INTEGER) AS version, c_custkey FROM customer) JOIN starts USING (merchant_id)),
+pins AS (
+  SELECT attempt_uid, s.merchant_id, max(version) AS version FROM sess s LEFT JOIN vers v ON v.merchant_id = s.merchant_id AND v.created_ms <= CASE WHEN inside THEN o ELSE ingest_ms END GROUP BY ALL),
+setting AS (
+  SELECT attempt_uid, coalesce(p.version, 1) AS version, coalesce(d, 0e0) AS d, coalesce(gap, 0.08e0) AS gap, coalesce(k_max, 40) AS k_max, coalesce(size, 5) AS size, coalesce(ceil, 3) AS ceil
+  FROM pins p LEFT JOIN vers v ON v.merchant_id = p.merchant_id AND v.version = p.version),
+tgt AS (
+  SELECT s.*, g.* EXCLUDE (attempt_uid), l.n >= k_max AS cap,
+    CASE WHEN NOT s.inside THEN 0 WHEN NOT coalesce(c.corroborated, false) THEN 1
+         WHEN score >= 0.7e0 + d THEN 5 WHEN score >= 0.3e0 + d THEN 3 WHEN score >= 0.1e0 + d THEN 2 ELSE 1 END AS target,
+    row_number() OVER (PARTITION BY s.merchant_id, entity_type, entity_key ORDER BY ingest_ms, seq) AS rn
+  FROM sess s LEFT JOIN corr c USING (attempt_uid) JOIN live l USING (attempt_uid) JOIN setting g USING (attempt_uid)),
+fold AS (
+  SELECT merchant_id, entity_type, entity_key, rn, attempt_uid, target AS l2, cap AS advisory, CASE WHEN cap THEN 0 ELSE target END AS cur FROM tgt WHERE rn = 1
+  UNION ALL
+  SELECT merchant_id, entity_type, entity_key, rn, attempt_uid, l2, cap AND was = 0, CASE WHEN cap AND was = 0 THEN 0 ELSE l2 END
+  FROM (
+    SELECT t.*, f.cur AS was, CASE WHEN NOT t.inside THEN 0
+      WHEN t.target < f.cur AND f.cur >= 2 AND score >= (CASE f.cur WHEN 2 THEN 0.1e0 WHEN 3 THEN 0.3e0 WHEN 4 THEN 0.5e0 ELSE 0.7e0 END) + d - gap THEN f.cur ELSE t.target END AS l2
+    FROM fold f JOIN tgt t ON t.merchant_id = f.merchant_id AND t.entity_type = f.entity_type AND t.entity_key = f.entity_key AND t.rn = f.rn + 1)),
+prop AS (
+  SELECT t.*, f.advisory, greatest(f.l2, CASE rule_tier WHEN 'challenge' THEN 3 WHEN 'throttle' THEN 2 ELSE 0 END) AS pr FROM tgt t JOIN fold f USING (attempt_uid)),
+elig AS (SELECT *, least(pr, ceil) > 0 AND NOT advisory AS el, greatest(size, 1) AS n FROM prop),
+ord AS (SELECT *, coalesce(sum(CASE WHEN el THEN 1 ELSE 0 END) OVER (PARTITION BY merchant_id ORDER BY ingest_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS od FROM elig),
+arm AS (SELECT *, el AND size > 0 AND (od % n) = CAST(('0x' || sha256(merchant_id || ':' || version || ':' || CAST(od // n AS BIGINT))[1:16]) AS UBIGINT) % n AS control FROM ord),
+tiers AS (SELECT ['allow', 'monitor', 'throttle', 'challenge', 'step_up', 'block'] AS names)
+"""
+
+
+def policy_versions(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("m"), "c_nationkey").alias("merchant_id"), "c_custkey")
+    empty = spark.createDataFrame([], "merchant_id string, c_custkey long, version int")
+    numbered = TB.append_version(empty, rows, ["c_custkey"])
+    starts = attempts(spark, sf_dir).groupBy("merchant_id").agg(F.min("ingest_ms").alias("t0"))
+    step, kind = F.lit(0.02) * (F.col("c_custkey") % 5), F.col("c_custkey") % 3
+    by_kind = lambda *values: F.element_at(F.array(*map(F.lit, values)), (kind + 1).cast("int"))
+    return numbered.join(starts, "merchant_id").select(
+        "merchant_id", "version", (F.col("t0") + 24 * HOUR + (F.col("version").cast("long") - 1) * F.lit(48 * HOUR)).alias("created_ms"),
+        F.create_map(*(x for tier, theta in THETAS.items() for x in (F.lit(tier), F.lit(theta) + step))).alias("thetas"),
+        (F.lit(0.04) * kind).alias("hysteresis_gap"), (20 + 10 * kind).cast("int").alias("k_max"),
+        by_kind(0.2, 0.5, 0.0).alias("control_fraction"), by_kind("challenge", "block", "throttle").alias("auto_ceiling"),
+    )
+
+
+@query(
+    "policy_resolve_versions",
+    f"""WITH RECURSIVE {ATTEMPTS_SQL}, {EVIDENCE_SQL}, {CORR_SQL}, {LIVE_SQL}, {VERSION_SQL} SELECT attempt_uid, version AS policy_version, names[pr + 1] AS proposed_tier,
+    names[CASE WHEN advisory OR control THEN 0 ELSE least(pr, ceil) END + 1] AS in_force_tier, control AS control_arm, advisory, pr > ceil AS requires_confirmation FROM arm, tiers""",
+)
+def _resolve_versions(spark, sf_dir):
+    kw = counted(spark, sf_dir)
+    out = P.resolve_pinned(live_rows(spark, sf_dir, **kw), policy_versions(spark, sf_dir), THETAS, POLICY, **kw)
+    return out.select("attempt_uid", "policy_version", "proposed_tier", "in_force_tier", "control_arm", "advisory", "requires_confirmation")
+
+
 @query("hysteresis", f"{DECIDED} SELECT attempt_uid, CAST(l2 AS INTEGER) AS l2_tier FROM decided")
 def _hysteresis(spark, sf_dir):
     return resolved(spark, sf_dir).select("attempt_uid", F.col("l2_tier").cast("int").alias("l2_tier"))

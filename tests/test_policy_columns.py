@@ -42,3 +42,45 @@ def test_settings_as_columns(spark, second):
     one = {r.attempt_uid for r in df.filter("merchant_id = 'm1'").select("attempt_uid").collect()} if second == 2 else set(got)
     for uid, row in got.items():
         assert row == want[uid] if uid in one else (row[1], *row[5:]) == (want[uid][1], *want[uid][5:]), uid
+
+
+def _versions(spark, rows):
+    fields = ("hysteresis_gap", "k_max", "control_fraction", "auto_ceiling")
+    made = [(m, v, at, VERSIONS[m, k][0], *(VERSIONS[m, k][1][f] for f in fields)) for m, v, at, k in rows]
+    return spark.createDataFrame(made, "merchant_id string, version int, created_ms long, thetas map<string,double>, hysteresis_gap double, k_max int, control_fraction double, auto_ceiling string")
+
+
+@pytest.mark.parametrize("plan", [{}, {"hot_rows": 5, "chunk_ms": 3_000}])
+def test_incidents_keep_the_version_they_opened_under(spark, plan):
+    cooldown = 4_000
+    df = I.incident_sessions(frame(spark, evidence(8, 400)), cooldown, **plan)
+    df = I.live_incident_count(I.corroborated(df, **plan), cooldown, **plan)
+    known = df.select("ingest_ms", "opened_at").collect()
+    times = sorted(r.ingest_ms for r in known)
+    # One version starts at the very millisecond an incident opens, one before all rows, one after all; m1 has none at first.
+    opening = sorted({r.opened_at for r in known if r.opened_at})[len(times) // 60]
+    made = [("m0", 1, times[0] - 5, 1), ("m0", 2, opening, 2), ("m0", 3, times[250], 1), ("m0", 4, times[-1] + 1, 2), ("m1", 7, times[150], 7)]
+    versions = _versions(spark, made)
+    got = P.resolve_pinned(df, versions, VERSIONS["m0", 1][0], {**K.POLICY, "version": 0}, **plan).collect()
+    assert len(got) == len(known) and {"_set", "_live"}.isdisjoint(got[0].asDict())
+    split = 0
+    for r in got:
+        moment = r.ingest_ms if r.opened_at is None else r.opened_at
+        live = lambda at: max((v for m, v, since, _ in made if m == r.merchant_id and since <= at), default=0)
+        assert r.policy_version == live(moment)
+        split += live(r.ingest_ms) != live(moment)
+    assert split > 0
+
+
+def test_one_version_with_the_default_settings_changes_nothing(spark):
+    cooldown = 4_000
+    thetas = VERSIONS["m0", 1][0]
+    df = I.incident_sessions(frame(spark, evidence(9, 300)), cooldown)
+    df = I.live_incident_count(I.corroborated(df), cooldown)
+    policy = {**K.POLICY, "k_max": 3, "control_fraction": 0.25}
+    made = [(m, 1, at, thetas, policy["hysteresis_gap"], 3, 0.25, policy["auto_ceiling"]) for m, at in (("m0", 0), ("m1", 1_090_000))]
+    versions = spark.createDataFrame(made, "merchant_id string, version int, created_ms long, thetas map<string,double>, hysteresis_gap double, k_max int, control_fraction double, auto_ceiling string")
+    plain = P.policy_resolve(df, thetas, policy).select(*OUT)
+    for some in (versions, versions.limit(0)):
+        pinned = P.resolve_pinned(df, some, thetas, policy).select(*OUT)
+        assert sorted(map(tuple, pinned.collect())) == sorted(map(tuple, plain.collect()))
