@@ -15,8 +15,7 @@ from pyspark.sql import types as T
 
 from riskloom import constants as K
 from riskloom.operators import ranking as R
-from riskloom.operators.fold import sorted_runs
-from riskloom.operators.ranked import stretch_of, value_prefix
+from riskloom.operators.ranked import stretch_of, stretches, value_prefix
 
 
 def training_matrix(
@@ -210,41 +209,52 @@ def fit_platt(df: DataFrame, margin: str = "margin", label: str = "label", max_i
 
 
 # --- isotonic ---------------------------------------------------------------------------
-def fit_isotonic(df: DataFrame, score: str = "score", label: str = "label", **kw) -> DataFrame:
+#: Neighbouring minorants that one task merges.
+MERGED = 16
+
+
+def _lower_hull(batches):
+    """The points of a partition, sorted by ``x``, that are strict corners of their greatest convex minorant."""
+    hull: list[tuple] = []
+    for part in batches:
+        for x, y, s in zip(part["x"].astype(int).tolist(), part["y"].astype(int).tolist(), part["score"].tolist()):
+            while len(hull) >= 2:
+                (ax, ay, _), (bx, by, _) = hull[-2], hull[-1]
+                if (bx - ax) * (y - ay) - (by - ay) * (x - ax) > 0:
+                    break
+                hull.pop()
+            hull.append((x, y, s))
+    if hull:
+        yield pd.DataFrame(hull, columns=["x", "y", "score"])
+
+
+def fit_isotonic(df: DataFrame, score: str = "score", label: str = "label", parts: int = 0, merged: int = MERGED) -> DataFrame:
     """Steps ``(start, value)`` of the isotonic fit, equal scores pooled.
 
-    The fit is the slope of the greatest convex minorant of the cumulative (count, positives) diagram. Each
-    task drops its own points above its minorant; the survivors meet in one short final pass.
+    The fit is the slope of the greatest convex minorant of the cumulative (count, positives) diagram. Each stretch of the score
+    axis drops its own points above its minorant; the corners left are merged in a tree, ``merged`` neighbouring stretches to a
+    task, so a task sees a few minorants and never all stretches.
     """
     counts = df.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos")
     ).withColumn("_all", F.lit(0))
-    placed = value_prefix(counts, ["_all"], "score", ["n", "pos"], **kw)
-    inner = placed.select("_all", F.col("before_n").alias("x"), F.col("before_pos").alias("y"), "score")
-    end = counts.groupBy("_all").agg(F.sum("n").alias("x"), F.sum("pos").alias("y")).withColumn("score", F.lit(None).cast("double"))
+    parts = parts or stretches(counts)
+    placed = value_prefix(counts, ["_all"], "score", ["n", "pos"], parts=parts)
+    inner = placed.select(F.col("before_n").alias("x"), F.col("before_pos").alias("y"), "score")
+    end = counts.agg(F.sum("n").alias("x"), F.sum("pos").alias("y")).filter("x > 0").withColumn("score", F.lit(None).cast("double"))
     points = inner.unionByName(end)
-    schema = T.StructType([T.StructField("_all", T.IntegerType()), T.StructField("x", T.LongType()), T.StructField("y", T.LongType()), T.StructField("score", T.DoubleType())])
-
-    def minorant(batches):
-        hull: list[tuple] = []
-        for _, part, opens in sorted_runs(batches, ["_all"]):
-            if opens:
-                hull = []
-            for x, y, s in zip(part["x"].astype(int).tolist(), part["y"].astype(int).tolist(), part["score"].tolist()):
-                while len(hull) >= 2:
-                    (ax, ay, _), (bx, by, _) = hull[-2], hull[-1]
-                    if (bx - ax) * (y - ay) - (by - ay) * (x - ax) > 0:
-                        break
-                    hull.pop()
-                hull.append((x, y, s))
-        if hull:
-            yield pd.DataFrame([(0, *p) for p in hull], columns=schema.names).astype({"_all": np.int32})
-
-    local = points.sortWithinPartitions("_all", "x").mapInPandas(minorant, schema)
-    vertices = local.repartition(1).sortWithinPartitions("_all", "x").mapInPandas(minorant, schema)
-    order = Window.partitionBy("_all").orderBy("x")
+    schema = T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType()), T.StructField("score", T.DoubleType())])
+    whole = counts.agg(F.sum("n")).scalar()
+    corners = points.sortWithinPartitions("x").mapInPandas(_lower_hull, schema)
+    while parts > merged:
+        parts = -(-parts // merged)
+        cell = F.floor(F.col("x") * parts / (whole + 1))
+        corners = corners.repartition(parts, cell).sortWithinPartitions("x").mapInPandas(_lower_hull, schema)
+    # The corners of the whole fit, whose number grows far slower than the scores'.
+    corners = corners.repartition(1).sortWithinPartitions("x").mapInPandas(_lower_hull, schema)
+    order = Window.orderBy("x")
     slope = (F.lead("y").over(order) - F.col("y")) / (F.lead("x").over(order) - F.col("x"))
-    return vertices.withColumn("value", slope).filter(F.col("value").isNotNull()).select(F.col("score").alias("start"), "value")
+    return corners.withColumn("value", slope).filter(F.col("value").isNotNull()).select(F.col("score").alias("start"), "value")
 
 
 #: Steps that one stretch of scores carries.

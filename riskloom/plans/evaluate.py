@@ -48,6 +48,7 @@ def scored(spark, sf_dir):
 
 
 _SCORED = "scored AS (SELECT score, is_attack AS label, seq AS ordinal, merchant_id, user_id, k FROM attempts)"
+SCORED_SQL = f"{ATTEMPTS_SQL}, {_SCORED}"
 # The seeded scorer: 32 bits of a digest of seed and row.
 _RANDOM = "CAST('0x' || substr(sha256('42:' || seq), 1, 8) AS BIGINT) / 4294967295.0e0"
 # Coarse scores with many ties, half of the sample mixed.
@@ -320,22 +321,23 @@ def _matched(spark, sf_dir):
 
 
 # --- hull and cost ----------------------------------------------------------------------
-# A point is on the upper envelope when no segment between two other points passes on or above it.
-HULL_SQL = f"""
-pt AS (SELECT DISTINCT merchant_id, CAST(fp AS BIGINT) AS x, CAST(tp AS BIGINT) AS y, p, n FROM roc),
-top AS (SELECT merchant_id, x, max(y) AS y, max(p) AS p, max(n) AS n FROM pt GROUP BY 1, 2),
+# A point is on the upper envelope when every slope up to it is above every slope from there on.
+HULL_SQL = """
+top AS (SELECT merchant_id, CAST(fp AS BIGINT) AS x, CAST(max(tp) AS BIGINT) AS y, max(p) AS p, max(n) AS n FROM roc GROUP BY 1, 2),
+slopes AS (
+  SELECT b.merchant_id, b.x, min(CASE WHEN a.x < b.x THEN (b.y - a.y) / (b.x - a.x) END) AS before, max(CASE WHEN a.x > b.x THEN (a.y - b.y) / (a.x - b.x) END) AS after
+  FROM top a JOIN top b USING (merchant_id) GROUP BY 1, 2),
 hull AS (
-  SELECT merchant_id, CASE WHEN x = 0 THEN 0 ELSE x / n END AS fpr, y / p AS tpr FROM top t WHERE NOT EXISTS (
-    SELECT 1 FROM top a JOIN top b ON a.merchant_id = b.merchant_id AND a.x < t.x AND b.x > t.x
-    WHERE a.merchant_id = t.merchant_id AND (b.x - a.x) * (t.y - a.y) - (b.y - a.y) * (t.x - a.x) <= 0)
+  SELECT merchant_id, CASE WHEN x = 0 THEN 0 ELSE x / n END AS fpr, y / p AS tpr FROM top JOIN slopes USING (merchant_id, x) WHERE before IS NULL OR after IS NULL OR before > after
   UNION SELECT merchant_id, 0.0e0, 0.0e0 FROM top)
 """
-HULL_BASE = f"WITH {COARSE_SQL.replace('merchant_id, user_id, k FROM', chr(39) + 't' + chr(39) + ' || (user_id // 10) % 4 AS merchant_id, user_id, k FROM')}, {ROC_SQL}, {HULL_SQL}"
+_TIERED = "scored AS (SELECT score, is_attack AS label, seq AS ordinal, 't' || (user_id // 10) % 4 AS merchant_id, user_id, k FROM attempts)"
+HULL_BASE = f"WITH {ATTEMPTS_SQL}, {_TIERED}, {ROC_SQL}, {HULL_SQL}"
 
 
 def tiered(spark, sf_dir):
-    """Coarse scores grouped by stream tier, every group with both classes."""
-    return coarse(spark, sf_dir).withColumn("merchant_id", F.concat(F.lit("t"), F.floor(F.col("user_id") / 10) % 4))
+    """Scores grouped by stream tier, every group with both classes."""
+    return scored(spark, sf_dir).withColumn("merchant_id", F.concat(F.lit("t"), F.floor(F.col("user_id") / 10) % 4))
 
 
 def hull(spark, sf_dir):

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import columns as C
 from riskloom.operators import layer1 as L, outcomes as O, ranking as R
-from riskloom.plans.evaluate import coarse, scored
+from riskloom.plans.evaluate import scored
 from riskloom.plans.registry import query
 from riskloom.plans.views import ATTEMPTS_SQL, HOUR, attempts
-from riskloom.plans.evaluate import COARSE_SQL
+from riskloom.plans.evaluate import SCORED_SQL
 
 FEATURES = ["card_number", "amount", "hour", "declined", "session_open"]
 ROUNDS, DEPTH = 4, 3
@@ -79,29 +79,30 @@ def _platt(spark, sf_dir):
     return df.limit(1).select(F.lit(round(a, 6)).alias("a"), F.lit(round(b, 6)).alias("b"), F.lit(round(prevalence, 6)).alias("pi_train"), F.lit(n).cast("long").alias("n"))
 
 
-# Max-min formula of isotonic regression on pooled scores.
-ISO_SQL = f"""
+# A score starts a step when every slope up to its place in the cumulative diagram is below every slope from there on.
+ISO_SQL = """
 g AS (SELECT score, count(*) AS n, count(*) FILTER (k > 40 + 30 * (score < 0.2)::INT) AS p FROM scored GROUP BY 1),
-c AS (SELECT *, sum(n) OVER w AS cn, sum(p) OVER w AS cp FROM g WINDOW w AS (ORDER BY score)),
-lo AS (SELECT score AS i, cn - n AS bn, cp - p AS bp FROM c),
-iv AS (SELECT lo.i, c.score AS j, (c.cp - lo.bp) / (c.cn - lo.bn) AS m FROM lo JOIN c ON c.score >= lo.i),
-mn AS (SELECT i, x.score, min(m) AS v FROM iv JOIN g x ON x.score >= iv.i AND iv.j >= x.score GROUP BY 1, 2),
-iso AS (SELECT score, max(v) AS v FROM mn GROUP BY 1)
+d AS (
+  SELECT score, CAST(sum(n) OVER w - n AS BIGINT) AS x, CAST(sum(p) OVER w - p AS BIGINT) AS y FROM g WINDOW w AS (ORDER BY score)
+  UNION ALL SELECT CAST('inf' AS DOUBLE), CAST(sum(n) AS BIGINT), CAST(sum(p) AS BIGINT) FROM g),
+sl AS (SELECT b.x, max(CASE WHEN a.x < b.x THEN (b.y - a.y) / (b.x - a.x) END) AS before, min(CASE WHEN a.x > b.x THEN (a.y - b.y) / (a.x - b.x) END) AS after FROM d a, d b GROUP BY 1),
+corner AS (SELECT d.* FROM d JOIN sl USING (x) WHERE before IS NULL OR after IS NULL OR before < after),
+iso AS (SELECT score AS start, value FROM (SELECT score, (lead(y) OVER (ORDER BY x) - y) / (lead(x) OVER (ORDER BY x) - x) AS value FROM corner) WHERE value IS NOT NULL)
 """
 
 
 def _iso_rows(spark, sf_dir):
-    df = coarse(spark, sf_dir)
+    df = scored(spark, sf_dir)
     return df.withColumn("label", F.col("k") > 40 + 30 * (F.col("score") < 0.2).cast("int"))
 
 
-@query("predict_isotonic", f"WITH {COARSE_SQL}, {ISO_SQL} SELECT ordinal, round(v, 9) AS calibrated FROM scored JOIN iso USING (score)")
+@query("predict_isotonic", f"WITH {SCORED_SQL}, {ISO_SQL} SELECT ordinal, round(value, 9) AS calibrated FROM scored ASOF JOIN iso ON scored.score >= iso.start")
 def _predict(spark, sf_dir):
     df = _iso_rows(spark, sf_dir)
     return L.predict_isotonic(df, L.fit_isotonic(df)).select("ordinal", F.round("calibrated", 9).alias("calibrated"))
 
 
-@query("fit_isotonic", f"WITH {COARSE_SQL}, {ISO_SQL} SELECT min(score) AS start, round(v, 9) AS value FROM iso GROUP BY round(v, 9)")
+@query("fit_isotonic", f"WITH {SCORED_SQL}, {ISO_SQL} SELECT start, round(value, 9) AS value FROM iso")
 def _iso(spark, sf_dir):
     return L.fit_isotonic(_iso_rows(spark, sf_dir)).withColumn("value", F.round("value", 9))
 

@@ -118,8 +118,8 @@ def test_platt_isotonic_and_quantiles(spark):
             last = blocks.pop()
             blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2] + last[2]]
     want = {s: k[1] / k[0] for k in blocks for s in k[2]}
-    for parts in (1, 5):
-        steps = L.fit_isotonic(coarse, parts=parts)
+    for parts, merged in ((1, 16), (5, 16), (13, 2)):
+        steps = L.fit_isotonic(coarse, parts=parts, merged=merged)
         assert {r["score"]: r["calibrated"] for r in L.predict_isotonic(coarse, steps).collect()} == pytest.approx(want)
         merged = L._merge_steps(coarse, steps, "score", "calibrated", 4).collect()
         assert {r["score"]: r["calibrated"] for r in merged} == pytest.approx(want) and len(merged) == 400
