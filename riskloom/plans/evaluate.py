@@ -554,15 +554,19 @@ def _scorers():
 @query(
     "evaluate_all",
     f"""WITH {SAMPLES_SQL}, {_split_sql('samples', 0.7, HORIZON, ('temporal_train', 'temporal_test'), 'cut1')},
-    long AS (SELECT split, scorer, {_PICK} AS score, is_attack AS label, seq AS ordinal FROM cut1, {_SCORERS_SQL}), {_metric_sql('split, scorer', 'long')}
-    SELECT * FROM mt""",
+    long AS (SELECT split, scorer, {_PICK} AS score, is_attack AS label, seq AS ordinal FROM cut1, {_SCORERS_SQL}), {_metric_sql('split, scorer', 'long')},
+    spots AS (
+      SELECT split, scorer, CASE WHEN n > 0 THEN fp_all / n WHEN tp_all > 0 THEN 1 ELSE 0 END AS fpr, CASE WHEN p > 0 THEN tp_all / p WHEN fp_all > 0 THEN 1 ELSE 0 END AS tpr FROM mt_r
+      UNION ALL SELECT DISTINCT split, scorer, 0, 0 FROM mt_r),
+    costs AS (SELECT split, scorer, round(min({_cost('0.001e0')}), 4) AS min_cost_pi0, round(min({_cost('0.9e0')}), 4) AS min_cost_pi1 FROM spots GROUP BY 1, 2)
+    SELECT * FROM mt JOIN costs USING (split, scorer)""",
 )
 def _evaluate(spark, sf_dir):
     split = S.temporal_split(samples(spark, sf_dir), 0.7, HORIZON, ("temporal_train", "temporal_test"))
     rows = split.withColumns({"label": F.col("is_attack"), "ordinal": F.col("seq")})
     long = REP.score_long(rows, _scorers(), ["split", "label", "ordinal"])
     out = REP.evaluate_all(long)
-    return out.drop("min_cost_pi0", "min_cost_pi1").withColumns({c: F.round(c, 9) for c in _ROUNDED})
+    return out.withColumns({**{c: F.round(c, 9) for c in _ROUNDED}, **{c: F.round(c, 4) for c in ("min_cost_pi0", "min_cost_pi1")}})
 
 
 def _tiers(spark, sf_dir):
