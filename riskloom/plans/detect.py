@@ -194,12 +194,18 @@ def _distill(spark, sf_dir):
 
 @query(
     "hour_of_week_weights",
-    """WITH w AS (SELECT (isodow(ts) - 1) * 24 + hour(ts) AS hw, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1)
+    """WITH d AS (
+      SELECT user_id, CAST(ts AS DATE) AS day, min(ts) AS first_ts FROM events WHERE event_type <> 'error' AND value IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2 HAVING sum(value) > 0),
+    w AS (SELECT (isodow(first_ts) - 1) * 24 + hour(first_ts) AS hw, count(*) AS n FROM d GROUP BY 1)
     SELECT CAST(range AS INTEGER) AS hour_of_week, coalesce(n, 0) AS weight FROM range(168) LEFT JOIN w ON hw = range""",
 )
 def _weights(spark, sf_dir):
-    buys = table(spark, sf_dir, "events").filter("event_type = 'purchase'")
-    return baseline.hour_of_week_weights(buys, "ts")
+    """A user's events of a day as the lines of one invoice; errors play the cancelled ones."""
+    kind = F.when(F.col("event_type") == "error", "C").otherwise("")
+    lines = table(spark, sf_dir, "events").select(
+        F.concat(kind, F.col("user_id"), F.lit("-"), F.to_date("ts")).alias("invoice"), F.lit(1).alias("qty"), F.col("value").alias("price"), F.col("ts").alias("at")
+    )
+    return baseline.hour_of_week_weights(baseline.distill_orders(lines, "invoice", "qty", "price", "at"))
 
 
 @query(

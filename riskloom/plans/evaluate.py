@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from riskloom import constants as K
 from riskloom.functions import columns as C
 from riskloom.operators import calibration as CAL, detectors, features, incidents as I, ranking as R, reports as REP, samples as S
-from riskloom.plans import cases
+from riskloom.plans import cases, windows
 from riskloom.plans.registry import query, table
 from riskloom.plans.views import ATTEMPTS_SQL, DAY, EPISODES_SQL, HOUR, MID, attempts, episodes
-from riskloom.plans.windows import RULES_SQL, WIDTHS, _over, ruled
+from riskloom.plans.windows import RULES_SQL, WIDTHS, _over, feature_sql, ruled
+from riskloom.session import materialize
 
 HORIZON = 6 * HOUR
 _NAMES = "['easy','medium','hard','evasive']"
@@ -489,27 +490,28 @@ def _effect(spark, sf_dir):
 
 
 # --- reports ----------------------------------------------------------------------------
-_AUDIT_COLUMNS = {"score": "score", "card_number": "k", "amount": "value_c", "hour": "hod", "constant": "zero", "leak": "leak"}
+# The whole feature vector, and a column that gives the label away.
 _AUDIT_SQL = f"""
-feat AS (SELECT is_attack AS label, score, CAST(k AS DOUBLE) AS card_number, CAST(amount_minor AS DOUBLE) AS amount, CAST((ingest_ms // {HOUR}) % 24 AS DOUBLE) AS "hour", 0.0e0 AS constant,
-  CASE WHEN is_attack THEN 1.0e0 ELSE 0.0e0 END AS leak FROM attempts),
-un AS (UNPIVOT feat ON score, card_number, amount, "hour", constant, leak INTO NAME feature VALUE score),
+fv AS ({feature_sql()}),
+feat AS (SELECT is_attack AS label, {', '.join(K.FEATURE_NAMES)}, CASE WHEN is_attack THEN 1.0e0 ELSE 0.0e0 END AS leak FROM fv JOIN attempts USING (attempt_uid)),
+un AS (UNPIVOT feat ON {', '.join(K.FEATURE_NAMES)}, leak INTO NAME feature VALUE score),
 {AUC_SQL.format(by='feature', src='un')},
 audit AS (SELECT feature, (rs - p * (p + 1) / 2) / (CAST(p AS DOUBLE) * n) AS auc, n_values = 1 AS constant FROM auc)
 """
 
 
 def _audit(spark, sf_dir):
-    df = attempts(spark, sf_dir).select(
-        F.col("is_attack").alias("label"), "score", F.col("k").alias("card_number"), F.col("amount_minor").alias("amount"),
-        C.hour_of_day(F.col("ingest_ms")).alias("hour"), F.lit(0.0).alias("constant"), F.col("is_attack").cast("double").alias("leak"),
-    )
-    return REP.univariate_audit(df, ["score", "card_number", "amount", "hour", "constant", "leak"], excluded=("amount",))
+    label = attempts(spark, sf_dir).select("attempt_uid", F.col("is_attack").alias("label"), F.col("is_attack").cast("double").alias("leak"))
+    df = materialize(windows._features(spark, sf_dir).select("attempt_uid", *K.FEATURE_NAMES).join(label, "attempt_uid"), "audit")
+    return REP.univariate_audit(df, [*K.FEATURE_NAMES, "leak"], excluded=K.EXCLUDED_FEATURES)
+
+
+_EXCLUDED_SQL = "feature IN (" + ", ".join(f"'{name}'" for name in K.EXCLUDED_FEATURES) + ")"
 
 
 @query(
     "univariate_audit",
-    f"""WITH {ATTEMPTS_SQL}, {_AUDIT_SQL} SELECT feature, round(auc, 9) AS auc, constant, feature = 'amount' AS excluded, auc > 0.95 AND NOT constant AS flagged, auc > 0.95 AND NOT constant AND feature <> 'amount' AS newly_flagged FROM audit""",
+    f"""WITH {ATTEMPTS_SQL}, {_AUDIT_SQL} SELECT feature, round(auc, 9) AS auc, constant, {_EXCLUDED_SQL} AS excluded, auc > 0.95 AND NOT constant AS flagged, auc > 0.95 AND NOT constant AND NOT {_EXCLUDED_SQL} AS newly_flagged FROM audit""",
 )
 def _audit_query(spark, sf_dir):
     return _audit(spark, sf_dir).withColumn("auc", F.round("auc", 9))

@@ -273,7 +273,7 @@ windowed AS (
 """
 
 
-def _feature_sql() -> str:
+def feature_sql() -> str:
     picks = []
     for name in K.FEATURE_NAMES:
         if name in K.UNFED_FEATURES:
@@ -292,7 +292,7 @@ def _feature_sql() -> str:
     )
 
 
-@query("feature_vector", _feature_sql())
+@query("feature_vector", feature_sql())
 def _features(spark, sf_dir):
     out = features.feature_vector(enriched(spark, sf_dir), WIDTHS)
     rounded = {n: F.round(n, 6) for n in ("bin_hhi_5m", "bin_entropy_5m")}
