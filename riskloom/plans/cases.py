@@ -430,6 +430,24 @@ def _lifecycle(spark, sf_dir):
     return lifecycle(spark, sf_dir)[0].select("action_id", "requires_confirmation", "confirmed_by", "applied_at", "released_at")
 
 
+@query(
+    "enforcement_lifecycle_incidents",
+    f"""{DECIDED}, {ACTION_SQL}, {LIFE_SQL} SELECT incident_id, CASE WHEN r.moment IS NULL THEN 'OPEN' ELSE 'CLOSED' END AS state, r.moment AS closed_at, CASE WHEN r.moment IS NOT NULL THEN 'false_positive' END AS resolution,
+    CASE WHEN r.moment IS NOT NULL THEN 'operator' END AS resolved_by FROM decided LEFT JOIN res r USING (incident_id) WHERE opens AND inside""",
+)
+def _lifecycle_incidents(spark, sf_dir):
+    return lifecycle(spark, sf_dir)[1]
+
+
+@query(
+    "enforcement_lifecycle_rejects",
+    f"""{DECIDED}, {ACTION_SQL}, {LIFE_SQL} SELECT action_id AS event_id, 'confirm' AS kind, CASE WHEN c.tier <> a.tier OR c.tier NOT IN ('step_up', 'block') THEN 'tier is not a proposed enforcement' ELSE 'not awaiting confirmation' END AS reason
+    FROM conf c JOIN actions a USING (action_id) WHERE c.tier <> a.tier OR c.tier NOT IN ('step_up', 'block') OR NOT a.requires_confirmation""",
+)
+def _lifecycle_rejects(spark, sf_dir):
+    return lifecycle(spark, sf_dir)[2]
+
+
 @query(
     "active_enforcement_count",
     f"{DECIDED}, {ACTION_SQL}, {LIFE_SQL} SELECT merchant_id, count(DISTINCT entity_type || ':' || entity_key) AS active FROM life WHERE released_at IS NULL GROUP BY 1",

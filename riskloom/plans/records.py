@@ -176,9 +176,22 @@ def _pinned(spark, sf_dir):
     SELECT merchant_id, count(*) FILTER (f) AS labels_written, count(*) FILTER (NOT f) AS labels_skipped_no_attempt FROM j GROUP BY 1""",
 )
 def _truth(spark, sf_dir):
+    return _labels(spark, sf_dir)[1]
+
+
+def _labels(spark, sf_dir):
     rows = attempts(spark, sf_dir)
     labels = rows.select("merchant_id", "event_id", "is_attack", "episode_id")
-    return TB.load_truth(labels, rows.filter("k % 4 <> 1"))[1]
+    return TB.load_truth(labels, rows.filter("k % 4 <> 1"))
+
+
+@query(
+    "load_truth_labels",
+    f"""WITH {ATTEMPTS_SQL}, u AS (SELECT merchant_id, event_id, arg_min(attempt_uid, seq) AS attempt_uid FROM attempts WHERE k % 4 <> 1 GROUP BY ALL)
+    SELECT a.merchant_id, event_id, is_attack, episode_id, u.attempt_uid FROM attempts a JOIN u USING (merchant_id, event_id)""",
+)
+def _truth_labels(spark, sf_dir):
+    return _labels(spark, sf_dir)[0]
 
 
 @query(
