@@ -84,3 +84,38 @@ def test_one_version_with_the_default_settings_changes_nothing(spark):
     for some in (versions, versions.limit(0)):
         pinned = P.resolve_pinned(df, some, thetas, policy).select(*OUT)
         assert sorted(map(tuple, pinned.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_whole_path_with_versions(spark):
+    from conftest import SF
+    from riskloom.functions import columns as C
+    from riskloom.operators.decision import decide
+    from riskloom.plans import detect, flow
+    from riskloom.plans.views import DAY, attempts
+    from riskloom.plans.windows import RULES, WIDTHS
+
+    rows = attempts(spark, SF)
+    thetas = {t: float(v) for t, v in C.tier_ladder_values().items()}
+    middle = rows.agg(F.percentile_approx("ingest_ms", 0.5)).first()[0]
+    policy = flow.POLICY
+
+    def run(versions):
+        out = decide(rows, detect._lam(spark, SF), 9.5, widths=WIDTHS, rules=RULES, policy=policy, cusum=flow.CUSUM, ttl_ms=2 * DAY, versions=versions)
+        return {r.attempt_uid: r for r in out.collect()}
+
+    def versions(ceiling):
+        made = [(f"m{i}", v, at, thetas, policy["hysteresis_gap"], policy["k_max"], 0.0 if v == 2 else policy["control_fraction"], c)
+                for i in range(4) for v, at, c in ((1, 0, policy["auto_ceiling"]), (2, middle, ceiling))]
+        return spark.createDataFrame(made, "merchant_id string, version int, created_ms long, thetas map<string,double>, hysteresis_gap double, k_max int, control_fraction double, auto_ceiling string")
+
+    plain, pinned = run(None), run(versions("allow"))
+    assert plain.keys() == pinned.keys()
+    later = 0
+    for uid, r in pinned.items():
+        moment = r.ingest_ms if r.opened_at is None else r.opened_at
+        assert r.policy_version == (2 if moment >= middle else 1)
+        assert (r.proposed_tier, r.incident_id) == (plain[uid].proposed_tier, plain[uid].incident_id)
+        if r.policy_version == 2:
+            assert r.in_force_tier == "allow" and not r.control_arm
+            later += r.proposed_tier != "allow"
+    assert later > 0 and any(r.in_force_tier != "allow" for r in pinned.values())
