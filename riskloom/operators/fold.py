@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-
 def run_bounds(pdf: pd.DataFrame, by: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
     """Starts, ends and keys of the runs of equal ``by`` values in a sorted batch; null equals null."""
     n = len(pdf)
