@@ -1,9 +1,10 @@
 """Chat formatting by prefix-target expansion, in column functions only.
 
 Every turn becomes a segment of one string per conversation. Every assistant turn becomes an example: all segments
-before it are the context, its own text is the only trainable part. An example is kept as offsets into the conversation's
-string (its own string is the prefix up to ``end``), so a conversation of n turns costs n rows and not n prefixes;
-``with_strings`` writes the prefixes out.
+before it are the context, its own text is the only trainable part, marked by its offsets. Turns that no reply follows are
+an example without a target, so nothing of a conversation is left out. ``examples`` makes the strings beside their
+conversation, so they are neither shuffled nor stored; ``expand`` keeps the offsets only, which are the same in the
+conversation's string.
 """
 
 from __future__ import annotations
@@ -44,28 +45,51 @@ def format_conversations(rows: DataFrame, *, conv_id: str = "conv_id", turn: str
     return turns.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda t: segment(t["role"], t["text"])), "").alias("formatted"))
 
 
+def _read(part: Column) -> tuple[Column, Column, Column]:
+    """Role of a segment without its turn mark, characters before what follows the role's line, and text."""
+    code = F.substring_index(part, "\n", 1)
+    role, head = F.url_decode(code), F.length(code) + 1
+    opened, closed = F.when(role == ASSISTANT, 0).otherwise(len(ASK)), F.when(role == ASSISTANT, len(END)).otherwise(len(ASKED))
+    return role, head, unescaped(F.substring(part, head + opened + 1, F.length(part) - head - opened - closed))
+
+
+def prefixes(formatted: DataFrame) -> DataFrame:
+    """One row per turn: ``conv_id``, ``pos`` from 1, ``role``, ``head``, ``part`` (its segment without the turn mark), ``last``
+    (whether no turn follows) and ``example``, the segments of all turns before it and its own.
+
+    The strings grow with the square of a conversation's turns. They are made row by row beside their conversation: none is
+    shuffled or sorted here.
+    """
+    turns = formatted.select("conv_id", F.split("formatted", TURN).alias("parts")).select("conv_id", "parts", F.posexplode("parts").alias("pos", "part")).filter("pos > 0")
+    role, head, _ = _read(F.col("part"))
+    example = F.array_join(F.slice("parts", F.lit(1), F.col("pos") + 1), TURN)
+    return turns.select("conv_id", "pos", role.alias("role"), head.alias("head"), "part", (F.col("pos") + 1 == F.size("parts")).alias("last"), example.alias("example"))
+
+
+def examples(formatted: DataFrame) -> DataFrame:
+    """The prefix-target expansion: one example per assistant turn, and one without a target for turns that no reply follows.
+
+    ``conv_id``, ``pos`` of the example's last turn, ``n_context`` turns before it, ``example`` (their segments and its own),
+    ``start`` and ``end`` of the trainable text in it (code points, 0-based), ``target``, what lies between them, unescaped,
+    and ``last``, whether the example is the whole conversation. Without a target, the last three but ``last`` are null.
+    """
+    reply, size = F.col("role") == ASSISTANT, F.length("example").cast("long")
+    marked = prefixes(formatted).filter(reply | F.col("last"))
+    marked = marked.withColumn("start", F.when(reply, size - F.length("part") + F.col("head"))).withColumn("end", F.when(reply, size - len(END)))
+    cut = F.substring("example", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    return marked.select("conv_id", "pos", (F.col("pos") - 1).alias("n_context"), "example", "start", "end", unescaped(cut).alias("target"), "last")
+
+
 def read_turns(formatted: DataFrame) -> DataFrame:
-    """One row per turn, read back: ``conv_id``, ``pos`` from 1, ``role``, ``text``, ``chars`` of its segment, and for assistant turns their example: ``n_context`` turns before it, ``start`` and ``end`` of its trainable text in the string (code points, 0-based) and ``target``, what lies between them, unescaped; null for other turns."""
+    """One row per turn, read back: ``conv_id``, ``pos`` from 1, ``role``, ``text``, ``chars`` of its segment."""
     parts = formatted.select("conv_id", F.posexplode(F.split("formatted", TURN)).alias("pos", "part")).filter("pos > 0")
-    code = F.substring_index("part", "\n", 1)
-    parts = parts.withColumn("role", F.url_decode(code)).withColumn("head", F.length(code) + 1)
-    before = F.coalesce(F.sum(F.length("part") + len(TURN)).over(Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    reply = F.col("role") == ASSISTANT
-    opened, closed = F.when(reply, 0).otherwise(len(ASK)), F.when(reply, len(END)).otherwise(len(ASKED))
-    body = F.substring("part", F.col("head") + opened + 1, F.length("part") - F.col("head") - opened - closed)
-    start = F.when(reply, before + len(TURN) + F.col("head"))
-    end = F.when(reply, before + len(TURN) + F.length("part") - len(END))
-    # The mask says what is cut out: its places in the string, less those before this segment's text.
-    cut = F.substring("part", (start - before - len(TURN) + 1).cast("int"), (end - start).cast("int"))
-    return parts.select(
-        "conv_id", "pos", "role", unescaped(body).alias("text"), (F.length("part") + len(TURN)).alias("chars"),
-        F.when(reply, F.col("pos") - 1).alias("n_context"), start.alias("start"), end.alias("end"), unescaped(cut).alias("target"),
-    )
+    role, _, text = _read(F.col("part"))
+    return parts.select("conv_id", "pos", role.alias("role"), text.alias("text"), (F.length("part") + len(TURN)).alias("chars"))
 
 
 def expand(formatted: DataFrame) -> DataFrame:
-    """One example per assistant turn: ``conv_id``, ``pos``, ``n_context`` turns before it, ``start`` and ``end`` of its trainable text, ``target`` (that text, unescaped)."""
-    return read_turns(formatted).filter(F.col("start").isNotNull()).select("conv_id", "pos", "n_context", "start", "end", "target")
+    """The examples with a target, as offsets into the conversation's string: ``conv_id``, ``pos``, ``n_context`` turns before it, ``start`` and ``end`` of its trainable text, ``target`` (that text, unescaped)."""
+    return examples(formatted).filter(F.col("start").isNotNull()).select("conv_id", "pos", "n_context", "start", "end", "target")
 
 
 def with_strings(examples: DataFrame, formatted: DataFrame) -> DataFrame:
@@ -75,19 +99,27 @@ def with_strings(examples: DataFrame, formatted: DataFrame) -> DataFrame:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What the strings say, read back: one row per conversation with ``n_turns``, ``turns_sha256``, ``loss_chars``, ``loss_sha256``, ``formatted_chars``.
+    """What the examples say, read back: one row per conversation with ``n_turns``, ``turns_sha256``, ``loss_chars``, ``loss_sha256``, ``formatted_chars``.
 
-    The loss columns are the targets of the conversation's examples, cut out of the strings by the mask.
+    The turns are those of the conversation's last example, its context included; the loss columns are the targets of
+    all its examples, cut out of their strings by the mask.
     """
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "role", "text", "target")))
-    read = read_turns(formatted).groupBy("conv_id").agg(ordered.alias("turns"), F.sum("chars").alias("formatted_chars"))
-    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["target"].isNotNull()), lambda t: t["target"]), "")
+    made = examples(formatted).select("conv_id", "pos", "target", F.when(F.col("last"), F.col("example")).alias("whole"))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "target")))
+    read = made.groupBy("conv_id").agg(ordered.alias("targets"), F.max("whole").alias("whole"))
+
+    def turn(part: Column) -> Column:
+        role, _, text = _read(part)
+        return F.concat(role, F.lit("\n"), text, F.lit("\n"))
+
+    parts = F.split("whole", TURN)
+    turns = F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), turn), "")
+    loss = F.array_join(F.transform("targets", lambda t: t["target"]), "")
     return read.select(
         "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(whole, 256).alias("turns_sha256"),
+        (F.size(parts) - 1).cast("long").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"),
-        F.col("formatted_chars").cast("long").alias("formatted_chars"),
+        F.length("whole").cast("long").alias("formatted_chars"),
     )

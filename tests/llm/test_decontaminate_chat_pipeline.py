@@ -117,3 +117,35 @@ def test_registered():
 
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
+
+
+def test_chat_goes_through_examples(spark, monkeypatch):
+    """The registered columns come from the expanded examples: a wrong context or a missing example shows in them."""
+    from riskloom.llm import chat_format
+    from riskloom.llm.chat_format import digests, format_conversations
+
+    rows = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
+    formatted = format_conversations(rows)
+    made = {}
+    for e in chat_format.examples(formatted).orderBy("pos").collect():
+        made.setdefault(e.conv_id, []).append(e)
+    strings = {r.conv_id: r.formatted for r in formatted.collect()}
+    assert made.keys() == strings.keys()
+    for conv, whole in strings.items():
+        segments = whole.split("<s>")[1:]
+        replies = [k for k, s in enumerate(segments, 1) if s.startswith("assistant\n")]
+        ends = sorted({*replies, len(segments)})
+        assert [(e.pos, e.n_context, e.example) for e in made[conv]] == [(k, k - 1, "".join(f"<s>{s}" for s in segments[:k])) for k in ends]
+        assert [e.pos for e in made[conv] if e.target is not None] == replies and [e.pos for e in made[conv] if e.last] == [len(segments)]
+    right = {r.conv_id: r for r in digests(formatted).collect()}
+    prefixes = chat_format.prefixes
+
+    def without_first(given):
+        return prefixes(given).withColumn("example", F.when(F.col("pos") > 1, F.expr("substring(example, locate('<s>', example, 2))")).otherwise(F.col("example")))
+
+    monkeypatch.setattr(chat_format, "prefixes", without_first)
+    wrong = {r.conv_id: r for r in digests(formatted).collect()}
+    assert {c for c in right if wrong[c].turns_sha256 != right[c].turns_sha256} == {c for c, e in made.items() if e[-1].pos > 1}
+    monkeypatch.setattr(chat_format, "prefixes", lambda given: prefixes(given).filter("pos <> 2 or last"))
+    lost = {r.conv_id: r for r in digests(formatted).collect()}
+    assert [c for c in right if lost[c].loss_sha256 != right[c].loss_sha256] == [1]
