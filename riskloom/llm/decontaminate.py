@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.rows import ALNUM, slices
+from riskloom.llm.rows import ALNUM, giving_back, slices
 
 #: Words of an item that form a window, and the least share of hit words (1 in so many) of a contaminated document.
 WINDOW, SHARE = 13, 20
@@ -103,9 +103,9 @@ def decontaminate(
     state = docs.select(*kept, F.col(text).cast("string").alias("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
     for k in range(passes):
         rows = [(r.item, r.text.encode()) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).toLocalIterator()]
-        state = state.mapInArrow(_scan(spark.sparkContext.broadcast(rows), window), state.schema)
+        state = state.mapInArrow(giving_back(_scan(spark.sparkContext.broadcast(rows), window)), state.schema)
     found = T.StructType([*state.schema["row"].dataType.fields, *_FOUND.fields])
-    return state.mapInArrow(_finish(share, carry), found)
+    return state.mapInArrow(giving_back(_finish(share, carry)), found)
 
 
 _FOUND = T.StructType([T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()), ("items", T.ArrayType(T.StringType())))])

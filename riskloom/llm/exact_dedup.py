@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.rows import BLANKS, map_texts, slices
+from riskloom.llm.rows import BLANKS, giving_back, map_texts, slices
 
 #: Bytes of distinct content in a table before it spills; files it spills to; how often a file is dealt again.
 TABLE_BYTES, FAN_BITS, DEPTH = 48 << 20, 4, 12
@@ -156,7 +156,7 @@ def distinct_texts(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), ids, pa.int64(), pa.int64()), strict=True)], final.names)
 
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(folded, partial).repartition("digest").mapInArrow(grouped, final)
+    return rows.mapInArrow(giving_back(folded), partial).repartition("digest").mapInArrow(giving_back(grouped), final)
 
 
 def exact_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", carry: list[str] | None = None, table_bytes: int = TABLE_BYTES) -> DataFrame:

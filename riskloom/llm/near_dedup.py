@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.llm.graph import components
-from riskloom.llm.rows import LOWER, Known, map_texts, slices, stored
+from riskloom.llm.rows import LOWER, Known, giving_back, map_texts, slices, stored
 
 SHINGLE, PERCENT = 5, 85
 #: Shape of the trees; documents of a node that is compared as it is; documents of one side of a block whose texts are compared,
@@ -259,7 +259,7 @@ def _pairs(run, kind: T.DataType):
             a, b = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, ids), pa.array(b, ids)], ["a", "b"])
 
-    return mapped, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    return giving_back(mapped), T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
 
 def promising(dealt: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
