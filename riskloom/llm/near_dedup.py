@@ -200,8 +200,10 @@ class _Forest(dict):
     """Roots of merged sets."""
 
     def root(self, x):
+        """Halves the path on its way: in a large group of near copies every pair asks for it."""
         while x in self:
-            x = self[x]
+            up = self[x]
+            self[x] = x = self.get(up, up)
         return x
 
     def merge(self, a, b) -> bool:

@@ -36,3 +36,20 @@ def test_workers_are_small_after_operators(spark, hard):
     made = rows.map_texts(hard.select("doc_id", "text"), lambda: lambda texts: [[len(t or b"") for t in texts]], [("n", hard.schema["doc_id"].dataType)], carry=["doc_id"], text="text")
     want = hard.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
     assert sorted(map(str, made.collect())) == sorted(f"Row(doc_id={r[0]}, n={r[1]})" for r in want.collect())
+
+
+def test_paths_of_large_groups_are_short():
+    """Merging a group pair by pair keeps its paths short; the pairs that merge are those that connect something new."""
+    from riskloom.llm.near_dedup import _Forest
+
+    class Counted(_Forest):
+        steps = 0
+
+        def __contains__(self, x):
+            Counted.steps += 1
+            return super().__contains__(x)
+
+    n, forest = 200, Counted()
+    merged = [(a, b) for a in range(n) for b in range(n) if a != b and forest.merge(a, b)]
+    assert merged == [(0, b) for b in range(1, n)] and len({forest.root(a) for a in range(n)}) == 1
+    assert Counted.steps < 8 * n * n
