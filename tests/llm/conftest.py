@@ -8,6 +8,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from llm_cases import HARD  # noqa: E402
 
+#: As in the folder above: where both files are loaded, this one is found as ``conftest``.
+SF = "/root/testdata/sf0.001"
+
+
 @pytest.fixture(scope="session")
 def hard(spark):
     """Documents with hard cases, in columns whose names clash with those of results."""
