@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import marshal
 import re
 import struct
 import tempfile
@@ -28,8 +29,8 @@ from riskloom.llm.rows import Known, map_texts
 #: Words above this many bytes are contracted one statement a round, many pairs at once; bytes of them held at a time (one
 #: longer word is held alone), and which share of the rows a round has to contract for the next one to be alike.
 LONG_WORD, LONG_BYTES, SHARE = 256, 1 << 20, 0.01
-#: Words contracted by one recursive query; units of text and words that a worker remembers, about 100 MB each.
-QUERY_WORDS = 40_000
+#: Words contracted by one recursive query; units of text that a task remembers, and words that it does and hands on.
+QUERY_WORDS = 10_000
 KNOWN_UNITS, KNOWN_WORDS = 300_000, 500_000
 
 _MERGE = """
@@ -118,10 +119,9 @@ class Codec:
     def close(self) -> None:
         self.con.close()
 
-    def _load(self, name: str, table: pa.Table) -> None:
-        self.con.register("incoming", table)
+    def _load(self, name: str, incoming: pa.Table) -> None:
+        # The query finds ``incoming`` by its name; every registered table would leave an object behind in the worker.
         self.con.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
-        self.con.unregister("incoming")
 
     def _rows(self, words: list[bytes]) -> pa.Table:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -203,6 +203,33 @@ def _whole(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
+class Words(dict):
+    """What is known of words, at most about ``limit``: beyond it, those stay that were asked for again.
+
+    A worker keeps them from task to task ``packed`` into one value: spread over the heap they would hold all of it.
+    """
+
+    def __init__(self, packed: bytes | None = None, limit: int | None = None):
+        super().__init__(marshal.loads(packed) if packed else ())
+        self.limit, self.again = KNOWN_WORDS if limit is None else limit, set()
+
+    def packed(self) -> bytes:
+        return marshal.dumps(dict(self))
+
+    def missing(self, words: set[str]) -> list[str]:
+        """The words that are not known; all others count as asked for again."""
+        new = words.difference(self)
+        self.again.update(words.difference(new))
+        return list(new)
+
+    def trim(self) -> None:
+        if len(self) > self.limit:
+            kept = {w: self[w] for w in self.again} if len(self.again) <= self.limit // 2 else {}
+            self.clear()
+            self.update(kept)
+            self.again = set()
+
+
 class Texts:
     """Encodes whole texts unit by unit.
 
@@ -211,9 +238,9 @@ class Texts:
     worker knows already.
     """
 
-    def __init__(self, codec: Codec, words: dict[str, tuple[bytes, bytes]] | None = None):
+    def __init__(self, codec: Codec, words: Words | None = None):
         self.codec = codec
-        self.words = {} if words is None else words
+        self.words = Words() if words is None else words
         self.units: dict[str, tuple[bytes, bytes]] = {}
         self.spaced: dict[str, tuple[bytes, bytes]] = {}  # by what follows the space
 
@@ -233,7 +260,7 @@ class Texts:
         matches = [(self.units, u, findall(u)) for u in units]
         matches += [(self.spaced, p, _split(p) or findall(" " + p)) for p in spaced if not p.isalpha()]
         new = {" " + p for p in singles}.union(chain.from_iterable(ws for _, _, ws in matches))
-        words = list(new.difference(self.words))
+        words = self.words.missing(new)
         codes = self.codec.code([w.encode() for w in words])
         self.words.update(zip(words, zip(codes, self.codec.read(codes), strict=True), strict=True))
         found = self.words
@@ -243,8 +270,7 @@ class Texts:
             known[u] = codes[0] if len(codes) == 1 else (b"".join([c[0] for c in codes]), b"".join([c[1] for c in codes]))
 
     def code(self, texts: list[bytes | None]) -> list[tuple[bytes, bytes]]:
-        if len(self.words) > KNOWN_WORDS:
-            self.words.clear()
+        self.words.trim()
         if len(self.spaced) + len(self.units) > KNOWN_UNITS:
             self.units.clear()
             self.spaced.clear()
@@ -286,7 +312,7 @@ def _split(piece: str) -> list[str] | None:
 #: Of this worker, by vocabulary: tasks that it runs one after another share them.
 _RANKS: dict[str, dict[bytes, int]] = {}
 _MERGES: dict[str, pa.Table] = {}
-_WORDS: dict[str, dict[str, tuple[bytes, bytes]]] = {}
+_WORDS: dict[str, bytes] = {}
 
 
 def read_ranks(vocabulary: str) -> dict[bytes, int]:
@@ -324,13 +350,17 @@ def encode_texts(docs: DataFrame, *, vocabulary: str = "byte_bpe_multi_50k.tikto
     """
 
     def make():
-        coder = Texts(_codec(vocabulary), _WORDS.setdefault(vocabulary, {}))
+        coder = Texts(_codec(vocabulary), Words(_WORDS.get(vocabulary)))
 
         def work(texts: list[bytes | None]):
             codes = coder.code(texts)
             columns = [len(a) // 4 for a, _ in codes], [hashlib.sha256(a).hexdigest() for a, _ in codes], [hashlib.sha256(b).hexdigest() for _, b in codes]
             return (*columns, [np.frombuffer(a, "<u4").astype(np.int32) for a, _ in codes]) if keep_ids else columns
 
+        def end():
+            _WORDS[vocabulary] = coder.words.packed()
+
+        work.end = end
         return work
 
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]

@@ -55,7 +55,11 @@ def _trim() -> Callable:
 
 
 def give_back() -> None:
-    """Returns what this worker has freed to the system: workers outlive their tasks, and an executor has more than cores."""
+    """Returns what this worker has freed to the system: workers outlive their tasks, and an executor has more than cores.
+
+    Collecting first empties Python's own lists of free objects, of which a few hold up whole stretches of memory.
+    """
+    gc.collect()
     pa.default_memory_pool().release_unused()
     _trim()(0)
 
@@ -74,8 +78,8 @@ def map_texts(docs: DataFrame, make: Callable, fields: list[tuple[str, T.DataTyp
     """One output row per document: the ``carry`` columns, then ``fields``.
 
     ``make()`` runs once per task and returns a function from a list of UTF-8 texts (None where the text is null) to one
-    list of values per field. Rows stay where they are: no shuffle. A carried column that has the name of a field is
-    replaced by the field.
+    list of values per field; its ``end()``, where it has one, is called after the last text. Rows stay where they are: no
+    shuffle. A carried column that has the name of a field is replaced by the field.
     """
     new = {name for name, _ in fields}
     carry = [c for c in dict.fromkeys(carry) if c not in new]
@@ -94,6 +98,8 @@ def map_texts(docs: DataFrame, make: Callable, fields: list[tuple[str, T.DataTyp
                     gc.enable()
                 made = [pa.array(v, k) for v, (_, k) in zip(values, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in carry] + made, [*carry, *(n for n, _ in kinds)])
+        if hasattr(work, "end"):
+            work.end()
 
     return docs.select(*carry, F.col(text).cast("string").alias("__text")).mapInArrow(giving_back(run), schema)
 

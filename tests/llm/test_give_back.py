@@ -53,3 +53,34 @@ def test_paths_of_large_groups_are_short():
     merged = [(a, b) for a in range(n) for b in range(n) if a != b and forest.merge(a, b)]
     assert merged == [(0, b) for b in range(1, n)] and len({forest.root(a) for a in range(n)}) == 1
     assert Counted.steps < 8 * n * n
+
+
+def test_known_words_are_packed_between_tasks(spark, hard, monkeypatch):
+    """A task leaves what it knows of words as one value, and the next one asks the database for new words only."""
+    from riskloom.llm import byte_bpe
+
+    made, asked, code = [], [], byte_bpe.Codec.code
+    monkeypatch.setattr(byte_bpe, "map_texts", lambda docs, make, fields, **more: made.append(make))
+    monkeypatch.setattr(byte_bpe, "_WORDS", {})
+    monkeypatch.setattr(byte_bpe.Codec, "code", lambda self, words: asked.append(sorted(words)) or code(self, words))
+    byte_bpe.encode_texts(hard.select("doc_id", "text"))
+    first = made[0]()
+    want = first([b"plain words twice", None])
+    first.end()
+    assert [type(x) for x in byte_bpe._WORDS.values()] == [bytes]
+    second = made[0]()
+    assert second([b"plain words twice", None]) == want
+    second([b"plain words again"])
+    assert asked[1] == [] and asked[2] == [b" again"]
+
+
+def test_words_asked_for_again_stay():
+    from riskloom.llm.byte_bpe import Words
+
+    words = Words(limit=4)
+    for some in ({"a", "b", "c"}, {"a", "d", "e"}):
+        words.update((w, (b"", w.encode())) for w in words.missing(some))
+    assert len(words) == 5
+    words.trim()
+    assert dict(words) == {"a": (b"", b"a")} and words.again == set()
+    assert dict(Words(words.packed())) == dict(words)
