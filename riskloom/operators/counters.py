@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,11 +17,11 @@ from riskloom.operators.prefix import AUTO, HOT_ROWS, _resolve, counted_once, ru
 from riskloom.session import materialize
 
 
-def _anchor_step(keys: list[str], ts: str, ttl_ms: int, entered: bool = False):
+def _anchor_step(keys: list[str], ts: str, ttl_ms: int):
     """Batch iterator over rows sorted by key and time: the anchor each row counts from.
 
     Groups shorter than the TTL are resolved with array operations; only longer ones hop from anchor to
-    anchor by binary search. The open group is carried over to the next batch. With ``entered``, groups start from the
+    anchor by binary search. The open group is carried over to the next batch. Groups start from the
     live anchor in ``_in_ms``, ``_in_uid`` and ``_in_rows`` (the rows it has counted), unless ``_in_ms`` is null.
     """
 
@@ -45,10 +47,9 @@ def _anchor_step(keys: list[str], ts: str, ttl_ms: int, entered: bool = False):
             long_groups = list(np.flatnonzero(times[ends - 1] - times[starts] >= ttl_ms))
             resumed = carry_key is not None and _key_at(pdf, keys, 0) == carry_key
             given = {}
-            if entered:
-                firsts = pdf.iloc[starts]
-                for g in np.flatnonzero(firsts["_in_ms"].notna().to_numpy()):
-                    given[int(g)] = tuple(firsts[c].iloc[g] for c in ("_in_ms", "_in_uid", "_in_rows"))
+            firsts = pdf.iloc[starts]
+            for g in np.flatnonzero(firsts["_in_ms"].notna().to_numpy()):
+                given[int(g)] = tuple(firsts[c].iloc[g] for c in ("_in_ms", "_in_uid", "_in_rows"))
             if resumed:
                 given[0] = carry
             for g in sorted({*long_groups, *given}):
@@ -77,6 +78,64 @@ def _key_at(pdf: pd.DataFrame, keys: list[str], row: int) -> tuple:
     return tuple(None if pd.isna(value := pdf[k].iloc[row]) else value for k in keys)
 
 
+def _differs(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first is another than the one before; null is a value like any other."""
+    was, now = column.slice(0, len(column) - 1), column.slice(1)
+    empty = (pc.is_null(was, nan_is_null=True), pc.is_null(now, nan_is_null=True))
+    apart = pc.fill_null(pc.not_equal(was, now), False).to_numpy(zero_copy_only=False)
+    none, then = (e.to_numpy(zero_copy_only=False) for e in empty)
+    return (none != then) | (~none & ~then & apart)
+
+
+def _anchor_rows(keys: list[str], ts: str, ttl_ms: int, uid: str):
+    """Batch iterator over rows sorted by key, time and order: each row with its anchor and its place after it.
+
+    Rows stay in Arrow buffers. ``uid`` names the first row of each moment and is not passed on. Groups shorter than the TTL are
+    resolved with array operations, longer ones hop from anchor to anchor by binary search; only the open group's anchor is carried
+    over to the next batch. A key that begins with a row without a time has that row as its only anchor.
+    """
+
+    def step(batches):
+        carried = None
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            own = [batch.column(batch.schema.get_field_index(k)) for k in keys]
+            at, names = (batch.column(batch.schema.get_field_index(c)) for c in (ts, uid))
+            untimed, times = at.is_null().to_numpy(zero_copy_only=False), at.fill_null(0).to_numpy()
+            opens = np.ones(n, dtype=bool)
+            opens[1:] = np.logical_or.reduce([_differs(k) for k in own])
+            starts = np.flatnonzero(opens)
+            ends = np.append(starts[1:], n)
+            anchor = np.repeat(starts, ends - starts)
+            ms, none = times[anchor], untimed[anchor]
+            ordinal = np.arange(n) - anchor + 1
+            long_groups = np.flatnonzero((times[ends - 1] - times[starts] >= ttl_ms) & ~untimed[starts]).tolist()
+            first = tuple(k[0].as_py() for k in own)
+            held = carried[1:] if carried is not None and carried[0] == first else None
+            for g in sorted({*long_groups, *([0] if held is not None else [])}):
+                i, end = int(starts[g]), int(ends[g])
+                if g == 0 and held is not None:
+                    j = end if held[0] is None else i + int(np.searchsorted(times[i:end], held[0] + ttl_ms, side="left"))
+                    anchor[i:j], ms[i:j], none[i:j] = n, held[0] or 0, held[0] is None
+                    ordinal[i:j] = held[2] + 1 + np.arange(j - i)
+                    i = j
+                while i < end:
+                    j = i + int(np.searchsorted(times[i:end], times[i] + ttl_ms, side="left"))
+                    anchor[i:j], ms[i:j], none[i:j], ordinal[i:j] = i, times[i], False, 1 + np.arange(j - i)
+                    i = j
+            if held is not None:
+                names = pa.concat_arrays([names, pa.array([held[1]], names.type)])
+            who = names.take(pa.array(anchor))
+            carried = (tuple(k[n - 1].as_py() for k in own), None if none[-1] else int(ms[-1]), who[n - 1].as_py(), int(ordinal[-1]))
+            kept = [(c, batch.column(i)) for i, c in enumerate(batch.schema.names) if c != uid]
+            made = [("anchor_ms", pa.array(ms, pa.int64(), mask=none)), ("anchor_uid", who), ("ordinal", pa.array(ordinal, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([v for _, v in (*kept, *made)], names=[c for c, _ in (*kept, *made)])
+
+    return step
+
+
 def _jumps(by: list[str], ts: str, ttl_ms: int):
     """Chunks of moments, one to a group, as maps from an expiry to the last anchor of the chunk, in pieces.
 
@@ -178,28 +237,33 @@ def anchored_ttl_counter(
 ) -> DataFrame:
     """Counter that expires ``ttl_ms`` after its first row; adds ``anchor_ms``, ``anchor_uid`` and ``ordinal``.
 
-    Null is a key like any other. Rows of one key and millisecond are combined before the shuffle, so copies of one key never travel as
-    rows; the ordered pass sees one row per distinct millisecond. Keys above ``hot_rows`` rows are cut into chunks of ``chunk_ms``, at
-    most one moment a millisecond: a chunk becomes a map from the expiry carried in to the anchor carried out, the maps are
-    chained per key, and all chunks are then counted in parallel from the anchors they start with.
+    Null is a key like any other. Where no key is hot the rows are dealt and sorted by key once and counted on their way; all columns of
+    ``df`` travel, so pass those that are needed. Else rows of one key and millisecond are combined before the shuffle, so copies of
+    one key never travel as rows; the ordered pass sees one row per distinct millisecond. Keys above ``hot_rows`` rows are cut into
+    chunks of ``chunk_ms``, at most one moment a millisecond: a chunk becomes a map from the expiry carried in to the anchor carried
+    out, the maps are chained per key, and all chunks are then counted in parallel from the anchors they start with.
     """
     found = _resolve(df, keys, hot, hot_rows)
+    if found is None:
+        same = Window.partitionBy(*keys, ts).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        named = F.first(F.when(F.col(seq).isNotNull(), F.struct(uid)), ignorenulls=True).over(same)[uid]
+        dealt = df.repartition(*[F.col(k) for k in keys]).withColumn("_uid", named).sortWithinPartitions(*keys, ts, seq)
+        added = [T.StructField("anchor_ms", T.LongType()), T.StructField("anchor_uid", df.schema[uid].dataType), T.StructField("ordinal", T.LongType())]
+        return dealt.mapInArrow(_anchor_rows(keys, ts, ttl_ms, "_uid"), T.StructType([*df.schema.fields, *added]))
     moments = df.groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("_n"), F.min_by(uid, seq).alias("_uid"))
     fields = [df.schema[k] for k in keys] + [
+        T.StructField("_chunk", T.LongType()),
         df.schema[ts],
         T.StructField("anchor_ms", T.LongType()),
         T.StructField("anchor_uid", df.schema[uid].dataType),
         T.StructField("_before", T.LongType()),
     ]
-    by = keys
-    if found is not None:
-        by = [*keys, "_chunk"]
-        moments = _entered(split_hot(materialize(moments, "moments"), keys, found, ts, chunk_ms), keys, ttl_ms, ts)
-        fields.insert(len(keys), T.StructField("_chunk", T.LongType()))
+    by = [*keys, "_chunk"]
+    moments = _entered(split_hot(materialize(moments, "moments"), keys, found, ts, chunk_ms), keys, ttl_ms, ts)
     anchored = (
         moments.repartition(*[F.col(k) for k in by])
         .sortWithinPartitions(*by, ts)
-        .mapInPandas(_anchor_step(by, ts, ttl_ms, found is not None), T.StructType(fields))
+        .mapInPandas(_anchor_step(by, ts, ttl_ms), T.StructType(fields))
     )
     peers = Window.partitionBy(*keys, ts).orderBy(seq)
     joined = join_groups(df, anchored.drop("_chunk"), [*keys, ts])

@@ -27,6 +27,16 @@ def enrich_attempts(df: DataFrame) -> DataFrame:
     )
 
 
+#: What the feature vector reads and passes on.
+INPUTS = (
+    "attempt_uid", "merchant_id", "seq", "ingest_ms", "event_id", "ip", "ipua_key", "session_key", "bin", "card_hash", "amount_minor", "payload_digest",
+)
+#: The counts beside the features that rules and detectors read.
+COUNTS = ("distinct_cards_per_ip_5m", "distinct_cards_per_ip_30m", "attempts_per_merchant_5m")
+#: Key spaces in the order in which columns become free: what only one space reads goes first, the many statistics of ``ip`` come last.
+ORDER = (("merchant_id", "ipua_key"), ("merchant_id", "session_key"), ("merchant_id",), ("merchant_id", "bin"), ("merchant_id", "ip"))
+
+
 def window_spaces(widths: dict) -> dict[tuple[str, ...], list]:
     """The statistics of each key space; one shuffle per space."""
     short, mid, long_ = widths["short"], widths["mid"], widths["long"]
@@ -50,22 +60,21 @@ def window_spaces(widths: dict) -> dict[tuple[str, ...], list]:
     }
 
 
-def feature_vector(df: DataFrame, widths: dict = WIDTHS, card_mode: str = "anchored") -> DataFrame:
+def feature_vector(df: DataFrame, widths: dict = WIDTHS, card_mode: str = "anchored", hot: dict | None = None) -> DataFrame:
     """The 24 features in contract order plus the raw counts the rules and detectors read.
 
     ``df`` holds accepted attempts with the columns of ``enrich_attempts``. Statistics are added space by
-    space while the narrow row is shuffled to that space, so no feature is joined back.
+    space while the narrow row is shuffled to that space, so no feature is joined back, and columns that the caller leaves out
+    travel no farther than they are read. ``hot`` may pass a result of ``hot_keys`` on ``df`` or on a table that contains it.
     """
-    inputs = [
-        "attempt_uid", "merchant_id", "seq", "ingest_ms", "event_id", "ip", "ipua_key", "session_key", "bin",
-        "card_hash", "amount_minor", "payload_digest",
-    ]
-    hot = hot_keys(df, [["merchant_id", "event_id"], ["merchant_id", "card_hash"]])
-    # The counters join their input to an aggregate of it, so they come first, while that is only the narrow row.
+    inputs = [*INPUTS]
+    hot = hot_keys(df, [["merchant_id", "event_id"], ["merchant_id", "card_hash"]]) if hot is None else hot
+    # The counters come first: they need the rows of a key in one place, while those are narrow.
     out = card_seen(df.select(*inputs), widths["card_ttl"], card_mode, hot=hot)
     out = event_id_reuse(out, hot=hot)
-    for keys, stats in window_spaces(widths).items():
-        out = add_window_stats(out, list(keys), stats)
+    spaces = window_spaces(widths)
+    for keys in ORDER:
+        out = add_window_stats(out, list(keys), spaces[keys])
     values = {name: F.lit(0.0) for name in K.UNFED_FEATURES}
     features = []
     for name in K.FEATURE_NAMES:
@@ -74,8 +83,7 @@ def feature_vector(df: DataFrame, widths: dict = WIDTHS, card_mode: str = "ancho
         features.append(
             (value if name in values else F.when(broken, F.raise_error(F.lit(f"feature {name} is not finite"))).otherwise(value)).alias(name)
         )
-    extra = ["distinct_cards_per_ip_5m", "distinct_cards_per_ip_30m", "attempts_per_merchant_5m"]
-    return out.select(*inputs, *features, *extra)
+    return out.select(*inputs, *features, *COUNTS)
 
 
 def rule_statistics(df: DataFrame, widths: dict = WIDTHS) -> DataFrame:

@@ -22,28 +22,36 @@ AUTO = "auto"
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
+#: Buckets of keys that are counted first, by hash.
+HOT_BUCKETS = 1 << 16
+
+
 def find_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """The keys with more than ``hot_rows`` rows, or None.
 
     At most ``rows / hot_rows`` keys qualify, which bounds what reaches the driver and the broadcast. Rows are
     always counted, with a map-side combine; null is a key like any other.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    found = counts.filter(F.col("_rows") > hot_rows).select(*keys).collect()
-    return df.sparkSession.createDataFrame(found, df.select(*keys).schema) if found else None
+    return hot_keys(df, [keys], hot_rows)[tuple(keys)]
 
 
 def hot_keys(df: DataFrame, key_sets: list[list[str]], hot_rows: int = HOT_ROWS) -> dict:
     """``find_hot`` for several key sets, in one pass over ``df``. Count them on the base table and pass the result as
-    ``hot``, so that a long chain of running aggregates is not evaluated just to count its rows."""
-    columns = list(dict.fromkeys(c for keys in key_sets for c in keys))
-    sets = F.array(*(F.struct(F.lit(i).alias("_set"), *((F.col(c) if c in keys else F.lit(None).cast(df.schema[c].dataType)).alias(c) for c in columns)) for i, keys in enumerate(key_sets)))
-    counts = df.select(F.explode(sets).alias("_k")).groupBy("_k").agg(F.count(F.lit(1)).alias("_rows"))
-    found = counts.filter(F.col("_rows") > hot_rows).select("_k.*").collect()
+    ``hot``, so that a long chain of running aggregates is not evaluated just to count its rows.
+
+    Buckets of keys are counted first, a number each; keys themselves are counted only where a bucket has enough rows."""
+    bucket = lambda keys: F.pmod(F.xxhash64(*keys), F.lit(HOT_BUCKETS)).cast("int")
+    marks = F.array(*(F.struct(F.lit(i).alias("_set"), bucket(keys).alias("_bucket")) for i, keys in enumerate(key_sets)))
+    counts = df.select(F.explode(marks).alias("_k")).groupBy("_k").agg(F.count(F.lit(1)).alias("_rows"))
+    full = counts.filter(F.col("_rows") > hot_rows).select("_k.*").collect()
     hot = {}
     for i, keys in enumerate(key_sets):
-        mine = [tuple(r[c] for c in keys) for r in found if r["_set"] == i]
-        hot[tuple(keys)] = df.sparkSession.createDataFrame(mine, df.select(*keys).schema) if mine else None
+        buckets = [r["_bucket"] for r in full if r["_set"] == i]
+        found = []
+        if buckets:
+            rows = df if len(buckets) > HOT_BUCKETS // 64 else df.filter(bucket(keys).isin(buckets))
+            found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows).select(*keys).collect()
+        hot[tuple(keys)] = df.sparkSession.createDataFrame(found, df.select(*keys).schema) if found else None
     return hot
 
 
@@ -174,11 +182,24 @@ def first_occurrence(
     return join_groups(df, first, on, "left").select(*df.columns, F.coalesce(F.col(name), F.lit(False)).alias(name))
 
 
+def first_of_member(df: DataFrame, keys: list[str], member: str, name: str, hot: DataFrame | None, ts: str = "ingest_ms", seq: str = "seq", dealt: bool = False) -> DataFrame:
+    """``first_occurrence`` of every ``member`` of a key, for a running aggregate over ``keys`` that follows.
+
+    Where no key is hot (``hot`` is None) the rows are dealt once, by ``keys``, for both, or not at all if they are
+    ``dealt`` like that already; else as in ``first_occurrence``.
+    """
+    if hot is not None:
+        return first_occurrence(df, [*keys, member], name, ts, seq)
+    rows = df if dealt else df.repartition(*[F.col(k) for k in keys])
+    return rows.withColumn(name, F.rank().over(Window.partitionBy(*keys, member).orderBy(ts, seq)) == 1)
+
+
 def running_distinct(
     df: DataFrame, keys: list[str], member: str, name: str, before: bool = False, ts: str = "ingest_ms",
     seq: str = "seq", hot_rows: int = HOT_ROWS, **kw,
 ) -> DataFrame:
     """Distinct ``member`` values seen so far per key."""
-    flagged = first_occurrence(df, [*keys, member], "_is_new", ts, seq)
+    found = _resolve(df, keys, kw.pop("hot", AUTO), hot_rows)
+    flagged = first_of_member(df, keys, member, "_is_new", found, ts, seq)
     spec = ("sum", F.col("_is_new").cast("long")) + (("before",) if before else ())
-    return running(flagged, keys, {name: spec}, ts, seq, hot_rows=hot_rows, **kw).select(*df.columns, name)
+    return running(flagged, keys, {name: spec}, ts, seq, hot_rows=hot_rows, hot={tuple(keys): found}, **kw).select(*df.columns, name)

@@ -63,20 +63,17 @@ def add_window_stats(
     span = int(chunk_ms or max(K.HOUR_MS, 4 * longest))
     columns = df.columns
 
-    # Copy each row into the chunks its longest interval reaches, then shuffle once by key and chunk.
+    # Copy each row into the chunks its longest interval reaches, then shuffle once by key and chunk. A copy has only what the
+    # sweep reads, and columns that nobody asks for later can be pruned.
     own = F.expr(f"`{ts}` div {span}")
     reach = F.expr(f"(`{ts}` + {longest - 1}) div {span}")
-    halo = (
-        df.select(
-            F.struct(*[F.col(c) for c in columns]).alias("_row"),
-            *[F.col(k).alias(f"_k_{k}") for k in keys],
-            own.alias("_own"),
-            F.explode(F.sequence(own, reach)).alias("_chunk"),
-        )
-    )
-    by = [f"_k_{k}" for k in keys] + ["_chunk"]
+    halo = df.select(*columns, own.alias("_own"), F.explode(F.sequence(own, reach)).alias("_chunk"))
+    read = {*keys, ts, seq, *(s.member for s in stats if not isinstance(s, Count))}
+    emit = F.col("_own") == F.col("_chunk")
+    halo = halo.select(*((F.col(c) if c in read else F.when(emit, F.col(c)).alias(c)) for c in columns), emit.alias("_emit"), "_chunk")
+    by = [*keys, "_chunk"]
     halo = halo.repartition(*[F.col(c) for c in by])
-    time, order = F.col(f"_row.{ts}"), F.col(f"_row.{seq}")
+    time, order = F.col(ts), F.col(seq)
 
     # Arrival and last-expiry flags per member: a member opens when it was absent for a whole width and
     # closes a width after its last sighting.
@@ -84,7 +81,7 @@ def add_window_stats(
     covered = {(c.member, c.width_ms) for c in concentrations}
     flagged = [s for s in stats if isinstance(s, Distinct) and (s.member, s.width_ms) not in covered]
     for member in dict.fromkeys(s.member for s in flagged):
-        near = Window.partitionBy(*by, F.col(f"_row.{member}")).orderBy(time, order)
+        near = Window.partitionBy(*by, member).orderBy(time, order)
         halo = halo.withColumns({f"_prev_{member}": F.lag(time).over(near), f"_next_{member}": F.lead(time).over(near)})
 
     def opens(s: Distinct) -> Column:
@@ -97,40 +94,28 @@ def add_window_stats(
 
     widths = sorted({s.width_ms for s in stats})
     sums = [f"_n_{w}" for w in widths] + [f"_d_{i}" for i, _ in enumerate(flagged)]
-    shares = [f"_m_{i}" for i, _ in enumerate(concentrations)]
-    parity = [f"_c_{i}" for i, _ in enumerate(concentrations)]
-
-    def event(width: int | None) -> Column:
-        """The arrival event when ``width`` is None, else the expiry of that width."""
-        arrival = width is None
-        fields = [
-            (time if arrival else time + width).alias("at"),
-            F.lit(1 if arrival else 0).alias("kind"),
-            order.alias("seq"),
-            (F.col("_row") if arrival else F.lit(None)).alias("row"),
-            (F.col("_own") == F.col("_chunk") if arrival else F.lit(False)).alias("emit"),
-        ]
-        for w, name in zip(widths, sums):
-            fields.append(F.lit(1 if arrival else (-1 if w == width else 0)).alias(name))
-        for i, s in enumerate(flagged):
-            delta = opens(s) if arrival else (closes(s) if s.width_ms == width else F.lit(0))
-            fields.append(delta.alias(f"_d_{i}"))
-        for i, s in enumerate(concentrations):
-            fields.append(F.col(f"_row.{s.member}").alias(f"_m_{i}"))
-            fields.append(F.lit(1 if arrival else (-1 if s.width_ms == width else 0)).alias(f"_c_{i}"))
-        return F.struct(*fields)
-
-    events = halo.select(*by, F.explode(F.array(event(None), *[event(w) for w in widths])).alias("_e"))
-    events = events.filter((F.col("_e.kind") == 1) | (F.col("_e.at") < (F.col("_chunk") + 1) * F.lit(span))).select(
-        *by, *[F.col(f"_e.{n}").alias(n) for n in ["at", "kind", "seq", "row", "emit", *sums, *shares, *parity]]
-    )
+
+    # The arrival event of a row has the width 0, its expiry events have theirs and no column but what the sweep reads.
+    arrival = F.col("_width") == 0
+    at = time + F.col("_width")
+    kept = {*keys, seq, *(s.member for s in concentrations)}
+    fields = [at.alias("_at"), arrival.cast("int").alias("_kind"), (arrival & F.col("_emit")).alias("_emit"), "_chunk"]
+    fields += [F.col(c) if c in kept else F.when(arrival, F.col(c)).alias(c) for c in columns if c != ts]
+    for w, name in zip(widths, sums):
+        fields.append(F.when(arrival, 1).when(F.col("_width") == w, -1).otherwise(0).alias(name))
+    for i, s in enumerate(flagged):
+        fields.append(F.when(arrival, opens(s)).when(F.col("_width") == s.width_ms, closes(s)).otherwise(0).alias(f"_d_{i}"))
+    for i, s in enumerate(concentrations):
+        fields.append(F.when(arrival, 1).when(F.col("_width") == s.width_ms, -1).otherwise(0).alias(f"_c_{i}"))
+    events = halo.select("*", F.explode(F.array(*(F.lit(w).cast("long") for w in (0, *widths)))).alias("_width"))
+    events = events.filter(arrival | (at < (F.col("_chunk") + 1) * F.lit(span))).select(*fields)
 
     # Concentration: the running count per member gives the change of the sum of squares and of n ln n.
     running = []
-    for i, _ in enumerate(concentrations):
+    for i, s in enumerate(concentrations):
         per_member = (
-            Window.partitionBy(*by, f"_m_{i}")
-            .orderBy("at", "kind", "seq")
+            Window.partitionBy(*by, s.member)
+            .orderBy("_at", "_kind", seq)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
         after = F.col(f"_after_{i}")
@@ -147,12 +132,12 @@ def add_window_stats(
 
     sweep = (
         Window.partitionBy(*by)
-        .orderBy("at", "kind", "seq")
+        .orderBy("_at", "_kind", seq)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    swept = events.withColumns({f"_s{n}": F.sum(n).over(sweep) for n in sums + running}).filter("emit")
+    swept = events.withColumns({f"_s{n}": F.sum(n).over(sweep) for n in sums + running}).filter("_emit")
 
-    out = [F.col(f"row.{c}").alias(c) for c in columns]
+    out = [F.col("_at").alias(c) if c == ts else F.col(c) for c in columns]
     position = {(s.member, s.width_ms): i for i, s in enumerate(concentrations)}
     for s in stats:
         if isinstance(s, Count):

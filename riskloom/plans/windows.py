@@ -185,7 +185,8 @@ def _same_card(spark, sf_dir):
     SELECT attempt_uid, ordinal = 1 AS accepted, anchor_uid AS stored_attempt_uid FROM walk""",
 )
 def _accept(spark, sf_dir):
-    out = counters.idempotent_accept(_same_card(spark, sf_dir), "digest", 3 * DAY)
+    df = _same_card(spark, sf_dir).select("attempt_uid", "merchant_id", "seq", "ingest_ms", "digest")
+    out = counters.idempotent_accept(df, "digest", 3 * DAY)
     return out.select("attempt_uid", "accepted", "stored_attempt_uid")
 
 
