@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from riskloom import constants as K
 from riskloom.functions import columns as C
 from riskloom.operators.fold import ordered_fold
-from riskloom.operators.prefix import counted_once, first_occurrence, reflected_walk, running
+from riskloom.operators.prefix import HOT_ROWS, _resolve, counted_once, first_of_member, reflected_walk, running
 
 
 # --- buckets and base rate --------------------------------------------------------------
@@ -346,9 +346,13 @@ def detector_label(df: DataFrame) -> DataFrame:
     )
 
 
-def entity_history(df: DataFrame, keys: list[str], card: str = "card_hash", **kw) -> DataFrame:
-    """Attempts and distinct cards on the entity before this attempt, and when it was first seen."""
-    flagged = first_occurrence(df, [*keys, card], "_is_new")
+def entity_history(df: DataFrame, keys: list[str], card: str = "card_hash", dealt: bool = False, **kw) -> DataFrame:
+    """Attempts and distinct cards on the entity before this attempt, and when it was first seen.
+
+    ``dealt``: a step over ``keys`` came just before, whose partitioning is reused."""
+    kw = counted_once(df, keys, kw)
+    found = _resolve(df, keys, kw["hot"], kw.get("hot_rows", HOT_ROWS))
+    flagged = first_of_member(df, keys, card, "_is_new", found, dealt=dealt)
     return running(
         flagged, keys,
         {

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from riskloom import constants as K
 from riskloom.operators import counters, prefix
+from riskloom.operators.decision import decide
 from riskloom.operators.features import enrich_attempts, feature_vector
 from riskloom.operators.sweep import Count, add_window_stats
-from riskloom.plans.views import shape_attempts
-from riskloom.plans.windows import WIDTHS
+from riskloom.plans.views import DAY, shape_attempts
+from riskloom.plans.windows import RULES, WIDTHS
 from test_operators import by_uid, frame
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -58,3 +59,13 @@ def test_hot_keys_are_counted_by_hash_first(spark):
         ("merchant_id", "ip"): sorted([("m", None), (None, "k")], key=str), ("merchant_id",): sorted([("m",), (None,)], key=str), ("ip",): sorted([(None,), ("k",)], key=str),
     }
     assert prefix.find_hot(df, ["ip"], 30) is None
+
+
+def test_decide_leaves_out_only_columns_that_are_not_asked_for(spark):
+    lam = spark.createDataFrame([(f"m{i}", [0.05] * 24) for i in range(4)], "merchant_id string, lam array<double>")
+    run = lambda **kw: decide(events(spark), lam, 3.0, widths=WIDTHS, rules=RULES, policy={**K.POLICY, "cooldown_s": 12 * 3600}, cusum=K.CUSUM, ttl_ms=2 * DAY, **kw)
+    some, whole = run(columns=["attempt_uid"]), run()
+    names = sorted(set(some.columns))
+    key = lambda df: sorted(map(str, df.select(*names).collect()))
+    assert key(some) == key(whole)
+    assert "payload_digest" in whole.columns and "payload_digest" not in names and {"in_force_tier", "attempts_before", "rules_fired"} <= set(names)
